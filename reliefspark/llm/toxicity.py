@@ -119,7 +119,9 @@ def mine_lexicon(sample: DataFrame, most: int = LEXICON) -> list[str]:
             continue
         # the longest form that is found about as often says it more precisely
         forms = [t for t, bad in telling.items() if term.endswith("*") and t.startswith(term[:-1]) and bad >= 0.95 * telling[term]]
-        out.append(max([term, *forms], key=lambda t: (len(t.rstrip("*")), t)))
+        best = max([term, *forms], key=lambda t: (len(t.rstrip("*")), t))
+        if best not in out:
+            out.append(best)
     return out
 
 
