@@ -56,8 +56,9 @@ def shingles(text: str, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_hashes) > 400_000:
         _hashes.clear()
-    for w in set(words) - _hashes.keys():
-        _hashes[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
+    for w in set(words):
+        if w not in _hashes:
+            _hashes[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
