@@ -77,9 +77,9 @@ class Encoder:
                 split.append(self.rule.findall(t.lower() if self.lower else t))
         if len(self.cache) > self.most:
             self.cache.clear()
-        new = set().union(*[x for x in split if x]) - self.cache.keys()
+        new = [w for w in set().union(*[x for x in split if x]) if w not in self.cache]
         if new:
-            self._learn(list(new))
+            self._learn(new)
         get = self.cache.__getitem__
         out = [b"" if x is None else b"".join(map(get, x)) for x in split]
         rest = [i for i, x in enumerate(split) if x is None]
