@@ -88,7 +88,8 @@ def texts_of(docs: DataFrame, *more: str) -> DataFrame:
 
 def words_of(text: str) -> list[str]:
     """Lower-cased (A-Z) words of a text."""
-    return WORD.findall(text.translate(ASCII_LOWER) if not text.isascii() else text.lower())
+    # bytes.lower() touches A-Z alone
+    return WORD.findall(text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
 
 def held_out(modulus: int):
