@@ -25,24 +25,15 @@ def gradient(grid: DataFrame, step: float = 1.0) -> DataFrame:
 def box_mean(grid: DataFrame, radius: int, name: str = "mean") -> DataFrame:
     """Mean of valid cells in a square; beyond the raster's edge it is mirrored.
 
-    Mirroring adds, to a window that reaches d cells over the edge, the d cells nearest
-    to the edge again. Windows hold sums and counts only, so voids take no part.
+    Cells within reach of an edge are repeated as their mirror images, so that one sum
+    over a plain window serves every place. Sums and counts skip voids.
     """
-    z, out = F.col("z"), grid.withColumn("__s", F.coalesce(z_ := F.col("z"), F.lit(0.0))).withColumn("__n", z_.isNotNull().cast("double"))
-    for order, key in ((ALONG_ROW, "r"), (ALONG_COLUMN, "c")):
-        axis = "c" if key == "r" else "r"
-        full = Window.partitionBy(key)
-        at, last = F.col(axis), F.max(axis).over(full)
-        out = out.withColumn("__last", last)
-        for x in ("__s", "__n"):
-            run = F.sum(x).over(order.rowsBetween(Window.unboundedPreceding, 0))
-            out = out.withColumn(x + "_run", run).withColumn(x + "_in", F.sum(x).over(order.rowsBetween(-radius, radius)))
-            mirrored = out
-            heads = F.collect_list(F.col(x + "_run")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-            short_low, short_high = F.greatest(F.lit(0), radius - at), F.greatest(F.lit(0), at + radius - F.col("__last"))
-            mirrored = mirrored.withColumn("__heads", heads)
-            low = F.when(short_low > 0, F.element_at("__heads", short_low.cast("int"))).otherwise(F.lit(0.0))
-            high = F.when(short_high > 0, F.element_at("__heads", -1) - F.coalesce(F.get("__heads", (F.col("__last") - short_high).cast("int")), F.lit(0.0))).otherwise(F.lit(0.0))
-            out = mirrored.withColumn(x + "_new", F.col(x + "_in") + low + high).drop("__heads")
-        out = out.withColumn("__s", F.col("__s_new")).withColumn("__n", F.col("__n_new"))
-    return out.withColumn(name, F.when(F.col("__n") > 0, F.col("__s") / F.col("__n"))).drop(*[c for c in out.columns if c.startswith("__")])
+    ends = grid.agg(F.max("r").alias("r"), F.max("c").alias("c")).first()
+    out = grid.withColumn("__s", F.coalesce("z", F.lit(0.0))).withColumn("__n", F.col("z").isNotNull().cast("double"))
+    for key, axis in (("r", "c"), ("c", "r")):
+        at, last = F.col(axis), ends[axis] or 0
+        images = F.array(at, F.when(at < radius, -1 - at), F.when(at > last - radius, 2 * last + 1 - at))
+        out = out.withColumn("__at", F.explode(F.array_compact(images)))
+        near = Window.partitionBy(key).orderBy("__at").rowsBetween(-radius, radius)
+        out = out.withColumns({x: F.sum(x).over(near) for x in ("__s", "__n")}).where(F.col("__at") == at).drop("__at")
+    return out.withColumn(name, F.when(F.col("__n") > 0, F.col("__s") / F.col("__n"))).drop("__s", "__n")
