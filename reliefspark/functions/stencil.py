@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ALONG_ROW, ALONG_COLUMN = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
 
+def along_row() -> WindowSpec:
+    return Window.partitionBy("r").orderBy("c")
 
-def derivative(value: Column, order: Window, step: float = 1.0) -> Column:
+
+def along_column() -> WindowSpec:
+    return Window.partitionBy("c").orderBy("r")
+
+
+def derivative(value: Column, order: WindowSpec, step: float = 1.0) -> Column:
     """Central difference, second-order one-sided at both ends."""
     ahead, behind = F.lead(value, 1).over(order), F.lag(value, 1).over(order)
     first, last = F.row_number().over(order) == 1, F.lead(F.lit(1), 1).over(order).isNull()
@@ -19,7 +25,7 @@ def derivative(value: Column, order: Window, step: float = 1.0) -> Column:
 
 def gradient(grid: DataFrame, step: float = 1.0) -> DataFrame:
     """Adds p = dz/dc and q = dz/dr; one shuffle by row and one by column."""
-    return grid.withColumn("p", derivative(F.col("z"), ALONG_ROW, step)).withColumn("q", derivative(F.col("z"), ALONG_COLUMN, step))
+    return grid.withColumn("p", derivative(F.col("z"), along_row(), step)).withColumn("q", derivative(F.col("z"), along_column(), step))
 
 
 def box_mean(grid: DataFrame, radius: int, name: str = "mean") -> DataFrame:

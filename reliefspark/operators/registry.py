@@ -13,7 +13,9 @@ from ..plans.tiles import on_tiles
 from . import kernels as K
 from . import relational as R
 
-X = F.col("value")
+
+def _x() -> Column:
+    return F.col("value")
 
 
 @dataclass
@@ -27,8 +29,8 @@ class Tiled:
     after: Callable[[DataFrame, dict], DataFrame] | None = None
 
 
-def _p(q: float, x: Column = X) -> Column:
-    return F.percentile(x, F.lit(q))
+def _p(q: float, x: Column | None = None) -> Column:
+    return F.percentile(_x() if x is None else x, F.lit(q))
 
 
 def _stretch(low: float, high: float, display: bool = True):
@@ -38,7 +40,7 @@ def _stretch(low: float, high: float, display: bool = True):
         a, b = df.agg(_p(low), _p(high)).first()
         if a is None or b - a <= 1e-12:
             return df
-        return df.withColumn("value", F.when(X.isNotNull(), F.greatest((X - a) / (b - a), F.lit(0.0))))
+        return df.withColumn("value", F.when(_x().isNotNull(), F.greatest((_x() - a) / (b - a), F.lit(0.0))))
 
     return apply
 
@@ -48,7 +50,7 @@ def _above(low: float | None, power: float = 1.0):
 
     def apply(df: DataFrame, params: dict) -> DataFrame:
         base = df.agg(_p(low)).first()[0] or 0.0 if low is not None else 0.0
-        over = F.when(X.isNotNull(), F.greatest(X - base, F.lit(0.0)))
+        over = F.when(_x().isNotNull(), F.greatest(_x() - base, F.lit(0.0)))
         top = df.agg(_p(0.99, over)).first()[0] or 1.0
         return df.withColumn("value", F.pow(over / top, F.lit(power)))
 
@@ -56,24 +58,24 @@ def _above(low: float | None, power: float = 1.0):
 
 
 def _detail(df: DataFrame, params: dict) -> DataFrame:
-    top, spread = df.agg(_p(0.99, F.abs(X)), F.stddev_pop(X)).first()
-    return df.withColumn("value", X / (top or spread or 1.0))
+    top, spread = df.agg(_p(0.99, F.abs(_x())), F.stddev_pop(_x())).first()
+    return df.withColumn("value", _x() / (top or spread or 1.0))
 
 
 def _median(df: DataFrame, params: dict) -> DataFrame:
     middle = df.agg(_p(0.5)).first()[0] or 0.0
-    return df.withColumn("value", (X - middle) / max(df.agg(_p(0.99, F.abs(X - middle))).first()[0] or 0.5, 1e-6))
+    return df.withColumn("value", (_x() - middle) / max(df.agg(_p(0.99, F.abs(_x() - middle))).first()[0] or 0.5, 1e-6))
 
 
 def _surprise(df: DataFrame, params: dict) -> DataFrame:
     a, b = df.agg(_p(0.02), _p(0.99)).first()
-    return df if a is None or b <= a else df.withColumn("value", F.when(X.isNotNull(), F.pow(F.greatest((X - a) / (b - a), F.lit(0.0)), F.lit(1 / params.get("enhancement", 2)))))
+    return df if a is None or b <= a else df.withColumn("value", F.when(_x().isNotNull(), F.pow(F.greatest((_x() - a) / (b - a), F.lit(0.0)), F.lit(1 / params.get("enhancement", 2)))))
 
 
 def _texture(df: DataFrame, params: dict) -> DataFrame:
     if params.get("component", "texture") == "structure":
         return df
-    return df.withColumn("value", 0.5 + 0.5 * F.tanh(X / (df.agg(_p(0.9, F.abs(X))).first()[0] or 1.0)))
+    return df.withColumn("value", 0.5 + 0.5 * F.tanh(_x() / (df.agg(_p(0.9, F.abs(_x()))).first()[0] or 1.0)))
 
 
 def _tensor(df: DataFrame, params: dict) -> DataFrame:
@@ -84,7 +86,7 @@ def _drift(df: DataFrame, params: dict) -> DataFrame:
     kind = params.get("output", "magnitude")
     if kind == "direction":
         return df
-    return _stretch(0.02, 0.98)(df, params) if kind == "magnitude" else df.withColumn("value", 0.5 + 0.5 * F.tanh(X / (df.agg(_p(0.95, F.abs(X))).first()[0] or 1.0)))
+    return _stretch(0.02, 0.98)(df, params) if kind == "magnitude" else df.withColumn("value", 0.5 + 0.5 * F.tanh(_x() / (df.agg(_p(0.95, F.abs(_x()))).first()[0] or 1.0)))
 
 
 def _most(p: dict, key: str, default: tuple) -> float:
@@ -97,9 +99,9 @@ TILED = {
     "blur": Tiled(K.blur, lambda p: int(4 * p.get("radius", 16)) + 1),
     "topousm_fast": Tiled(K.topousm, lambda p: int(_most(p, "radii", (4, 16))) + 16, after=_detail),
     "multiscale_terrain": Tiled(K.multiscale_terrain, lambda p: int(4 * _most(p, "scales", (1, 10, 50))) + 1, after=_above(0.01, GAMMA)),
-    "specular": Tiled(K.specular, lambda p: int(p.get("size", 20)) + 8, before=(K.roughness, lambda: [_p(0.95, F.when(X > 0, X))])),
+    "specular": Tiled(K.specular, lambda p: int(p.get("size", 20)) + 8, before=(K.roughness, lambda: [_p(0.95, F.when(_x() > 0, _x()))])),
     "visual_saliency": Tiled(K.visual_saliency, lambda p: int(5 * _most(p, "scales", (16,))), after=_above(None)),
-    "npr_edges": Tiled(K.npr_edges, lambda p: int(4 * p.get("sigma", 1)) + 7, before=(K.edge_strength, lambda: [_p(0.5), _p(0.9), F.avg(X)])),
+    "npr_edges": Tiled(K.npr_edges, lambda p: int(4 * p.get("sigma", 1)) + 7, before=(K.edge_strength, lambda: [_p(0.5), _p(0.9), F.avg(_x())])),
     "ambient_occlusion": Tiled(K.ambient_occlusion, lambda p: int(p.get("radius", 10)) + 5, after=_stretch(0.01, 0.99)),
     "openness": Tiled(K.openness, lambda p: int(p.get("distance", 50)) + 1, after=_stretch(0.01, 0.99)),
     "fractal_anomaly": Tiled(K.fractal_anomaly, lambda p: int(4 * _most(p, "radii", (64,))) + 8, before=(K.mean_relief, lambda: [_p(0.1), _p(0.75)]), after=_median),

@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scales
-from ..functions.stencil import ALONG_COLUMN, ALONG_ROW, box_mean, derivative, gradient
+from ..functions.stencil import along_column, along_row, box_mean, derivative, gradient
 
-P, Q = F.col("p"), F.col("q")
 
 
 def _clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -22,14 +21,20 @@ def _out(df: DataFrame, value: Column, name: str) -> DataFrame:
     return df.select("r", "c", F.when(F.col("z").isNotNull(), value).alias(name))
 
 
+def _pq() -> tuple[Column, Column]:
+    return F.col("p"), F.col("q")
+
+
 def lambert(azimuth: float, altitude: float) -> Column:
+    p, q = _pq()
     a, h = math.radians(azimuth), math.radians(altitude)
     light = (math.sin(a) * math.cos(h), math.cos(a) * math.cos(h), math.sin(h))
-    return (-P * light[0] - Q * light[1] + light[2]) / F.sqrt(P * P + Q * Q + 1)
+    return (-p * light[0] - q * light[1] + light[2]) / F.sqrt(p * p + q * q + 1)
 
 
 def slope(grid: DataFrame, unit: str = "degree") -> DataFrame:
-    steep = F.sqrt(P * P + Q * Q)
+    p, q = _pq()
+    steep = F.sqrt(p * p + q * q)
     value = {"degree": F.degrees(F.atan(steep)), "percent": F.tan(F.atan(steep)) * 100}.get(unit, F.atan(steep))
     return _out(gradient(grid), value, "slope")
 
@@ -39,7 +44,8 @@ def hillshade(grid: DataFrame, azimuth: float = 315, altitude: float = 45, z_fac
 
 
 def atmospheric_scattering(grid: DataFrame, strength: float = 0.5) -> DataFrame:
-    mass = 1 / (F.cos(F.atan(F.sqrt(P * P + Q * Q))) + 0.001)
+    p, q = _pq()
+    mass = 1 / (F.cos(F.atan(F.sqrt(p * p + q * q))) + 0.001)
     haze = 1 - F.exp(-strength * mass)
     return _out(gradient(grid), F.pow(_clip(0.3 * (0.4 + 0.6 * haze) + 0.7 * _clip(lambert(315, 45))), F.lit(scales.GAMMA)), "scatter")
 
@@ -57,15 +63,15 @@ def multi_light_uncertainty(grid: DataFrame, azimuths: tuple[float, ...] = (315,
 
 
 def curvature(grid: DataFrame, kind: str = "mean") -> DataFrame:
-    df = gradient(grid)
-    df = df.withColumn("r_", derivative(P, ALONG_ROW)).withColumn("qx", derivative(Q, ALONG_ROW)).withColumn("py", derivative(P, ALONG_COLUMN)).withColumn("t_", derivative(Q, ALONG_COLUMN))
+    df, (p, q) = gradient(grid), _pq()
+    df = df.withColumn("r_", derivative(p, along_row())).withColumn("qx", derivative(q, along_row())).withColumn("py", derivative(p, along_column())).withColumn("t_", derivative(q, along_column()))
     r, t, py, s = F.col("r_"), F.col("t_"), F.col("py"), (F.col("py") + F.col("qx")) / 2
-    g = P * P + Q * Q
+    g = p * p + q * q
     k = {
-        "mean": -((1 + Q * Q) * r - 2 * P * Q * s + (1 + P * P) * t) / (2 * F.pow(1 + g, F.lit(1.5)) + 1e-10),
+        "mean": -((1 + q * q) * r - 2 * p * q * s + (1 + p * p) * t) / (2 * F.pow(1 + g, F.lit(1.5)) + 1e-10),
         "gaussian": (r * t - py * py) / ((1 + g) * (1 + g)),
-        "planform": -(Q * Q * r - 2 * P * Q * py + P * P * t) / (F.pow(g, F.lit(1.5)) + 1e-10),
-    }.get(kind, -(P * P * r + 2 * P * Q * py + Q * Q * t) / (g * F.pow(1 + g, F.lit(1.5)) + 1e-10))
+        "planform": -(q * q * r - 2 * p * q * py + p * p * t) / (F.pow(g, F.lit(1.5)) + 1e-10),
+    }.get(kind, -(p * p * r + 2 * p * q * py + q * q * t) / (g * F.pow(1 + g, F.lit(1.5)) + 1e-10))
     return _out(df, F.pow((F.tanh(100 * k) + 1) / 2, F.lit(scales.GAMMA)), "curvature")
 
 
