@@ -275,6 +275,21 @@ def _batches(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list[int]
         yield rows, seqs
 
 
+def _together(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterator[list[np.ndarray]]:
+    """Sequences of several batches at once: the more side by side, the fewer steps."""
+    seqs, held = [], 0
+    for b in batches:
+        for x in b.column("classes"):
+            s = np.frombuffer(x.as_buffer(), "<u2")
+            if held and held + len(s) > most:
+                yield seqs
+                seqs, held = [], 0
+            seqs.append(s)
+            held += len(s)
+    if seqs:
+        yield seqs
+
+
 def baum_welch(seqs: DataFrame, model: Model, rounds: int = 2) -> Model:
     """Rounds over all training sequences; tasks' expected counts add up across partitions."""
     k, classes = model.emit.shape[1], model.emit.shape[0]
@@ -282,10 +297,9 @@ def baum_welch(seqs: DataFrame, model: Model, rounds: int = 2) -> Model:
 
         def work(batches: Iterable[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             sums = np.zeros(k + k * k + classes * k)
-            for b in batches:
-                for _, x in _batches(b, 1 << 18):
-                    s, m, e = expected(model, x)
-                    sums += np.concatenate([s, m.ravel(), e.ravel()])
+            for x in _together(batches):
+                s, m, e = expected(model, x)
+                sums += np.concatenate([s, m.ravel(), e.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["at", "n"])
 
         rows = seqs.mapInArrow(work, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
@@ -321,6 +335,7 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = 2) -> D
             own = b.column("share").to_numpy() + score
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(own)], names=[*b.schema.names[:5], "score"])
 
+    C.short_batches(spark, 4096)  # from here on rows are class sequences, two bytes a token
     out = seqs.mapInArrow(work, "doc_id long, n_tokens long, n_known long, base_score double, share double, score double")
     return out.select("doc_id", C.held_out(10).alias("held_out"), "n_tokens", "n_known", F.lit(classes.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
