@@ -178,7 +178,8 @@ def links(docs: DataFrame, clusters: DataFrame, size: int, bands: int, percent:
     sides = F.ceil(F.col("members") / BLOCK).cast("int")
     small = max(1, -(-clusters.count() // BLOCK))  # tasks that small clusters share
     placed = clusters.join(counts, "component").select(F.col("id").alias("doc_id"), "component", sides.alias("sides"))
-    rows = C.texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).join(placed, "doc_id")
+    # a merge join at every size: a broadcast of the clusters would grow with the documents
+    rows = C.texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).join(placed.hint("merge"), "doc_id")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(bands)
