@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import shared, tiff, zarr
 from ..sources.grids import array_grid, orders_grid
 from . import kernels as K
+from . import prepare as P
 from . import registry
 from . import relational as R
 
@@ -61,6 +63,22 @@ _BOX = """, i AS (SELECT unnest(range(-{r}, {r} + 1)) AS k),
  x AS (SELECT r, c, z - m AS x FROM s2)"""
 
 
+def _cents(grid: DataFrame) -> DataFrame:
+    """Values with two decimals, which no rounding can part."""
+    return grid.withColumn("z", F.round(F.col("z") * 100000, 2))
+
+
+def _stored(store, ending: str) -> Callable[[DataFrame], DataFrame]:
+    """Writes a grid to the shared folder and reads it again."""
+
+    def there_and_back(grid: DataFrame) -> DataFrame:
+        path = shared.shared_path(grid.sparkSession, "raster") + ending
+        store.write(_cents(grid), path, 128)
+        return store.read(grid.sparkSession, path)
+
+    return there_and_back
+
+
 def _code(kind: str, low: float, high: float) -> str:
     from ..functions.scales import quantizer
 
@@ -100,6 +118,9 @@ _RELATIONAL: dict[str, tuple[Query, str]] = {
         )
         for kind, low, high in (("int16", -3.0, 3.0), ("uint8", -3.0, 3.0), ("int16", 0.0, 5.0), ("uint8", 0.0, 5.0))
     },
+    "zarr_round_trip": (_grid(_stored(zarr, ".zarr"), holes=17), _HOLES + " SELECT r, c, round(z * 100000, 2) AS z FROM px"),
+    "geotiff_round_trip": (_grid(_stored(tiff, ".tif"), holes=17), _HOLES + " SELECT r, c, round(z * 100000, 2) AS z FROM px"),
+    "prepare_nodata": (_grid(lambda g: P.prepare(_cents(g).withColumn("z", F.coalesce("z", F.lit(-9999.0))), "none"), block=True), _BLOCK + " SELECT r, c, round(z * 100000, 2) AS z FROM px"),
     "embedding_slope": (
         lambda spark, sf_dir: rounded(R.slope(array_grid(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding"))),
         "WITH e AS (SELECT vec_id AS r, unnest(range(64)) AS c, unnest(embedding)::DOUBLE AS z FROM embeddings), px AS (SELECT *, 64 AS w, (SELECT count(*) FROM embeddings) AS hh FROM e), "
@@ -149,7 +170,7 @@ def _coarse(kernel: Callable, name: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {k: q for k, (q, _) in _RELATIONAL.items()} | {k: _tiled(k, p) for k, p in _TILED.items()} | {"exterior_mask": _coarse(K.exterior, "outside"), "push_pull_fill": _coarse(K.push_pull, "filled")}
+    return {k: q for k, (q, _) in _RELATIONAL.items()} | {k: _tiled(k, p) for k, p in _TILED.items()} | {"exterior_mask": _coarse(K.exterior, "outside"), "push_pull_fill": _coarse(K.push_pull, "filled"), "prepare_enclosed": _grid(P.prepare, block=True), "prepare_all": _grid(lambda g: P.prepare(g, "all"), block=True)}
 
 
 def oracle_sql() -> dict[str, str]:
