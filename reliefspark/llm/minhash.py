@@ -35,7 +35,6 @@ ROWS, MISS, BITS = 5, 1e-7, 512
 #: Documents of a cluster that one side of a comparison holds.
 BLOCK = 2048
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
-_hashes: dict[str, int] = {}
 
 
 def bands_for(share: float) -> int:
@@ -49,17 +48,22 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def shingles(text: str, size: int) -> np.ndarray:
+class Words(dict):
+    """Hashes of words, kept for the length of a task."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+def shingles(text: str, size: int, hashes: Words | None = None) -> np.ndarray:
     """Sorted distinct 64-bit numbers of a text's shingles."""
     words = C.words_of(text)
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_hashes) > 400_000:
-        _hashes.clear()
-    for w in set(words):
-        if w not in _hashes:
-            _hashes[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map((Words() if hashes is None else hashes).__getitem__, words), np.uint64, len(words))
     n = min(size, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):
@@ -109,11 +113,11 @@ SIGNATURES = "doc_id long, n_shingles long, sum1 long, sum2 long, bands array<lo
 
 def signatures(docs: DataFrame, size: int, bands: int) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(bands)
-        for b in C.slices(batches, "text", 8 << 20):
+        sketcher, hashes = Sketcher(bands), Words()
+        for b in C.slices(batches, "text", 2 << 20):
             n, s1, s2, keys = [], [], [], []
             for t in b.column("text").to_pylist():
-                s = shingles(t, size)
+                s = shingles(t, size, hashes)
                 n.append(len(s))
                 s1.append(int(_mixed(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 s2.append(int(_mixed(s * _MIX[2] + _MIX[1]).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
@@ -182,9 +186,9 @@ def links(docs: DataFrame, clusters: DataFrame, size: int, bands: int, percent:
     rows = C.texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).join(placed.hint("merge"), "doc_id")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(bands)
-        for b in C.slices(batches, "text", 4 << 20):
-            s = [shingles(t, size) for t in b.column("text").to_pylist()]
+        sketcher, hashes = Sketcher(bands), Words()
+        for b in C.slices(batches, "text", 2 << 20):
+            s = [shingles(t, size, hashes) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("component"), b.column("sides"), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([sketcher.odd_sketch(sketcher.samples(x)) for x in s], pa.binary())], names=["doc_id", "component", "sides", "members", "sketch"])
 
     made = rows.mapInArrow(sets, "doc_id long, component long, sides int, members binary, sketch binary")

@@ -41,7 +41,8 @@ SPAN, K = 100, 24
 REACH = SPAN - K + 1
 #: Runs of one anchor, at most, that one task sorts.
 CROWD = 50_000
-_BLOCK = 2 << 20
+#: Bytes of text that are worked on at a time; longer texts are cut into overlapping pieces.
+_BLOCK = 512 << 10
 _PLACE_BITS = 24
 _M = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xD6E8FEB86659FD93))
 
@@ -58,6 +59,14 @@ def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def runs(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
     """Runs of documents laid end to end: anchor hash, run hash, document, packed place."""
     n = len(data)
+    if n > 2 * _BLOCK + SPAN:  # one very long text, or some: pieces that share SPAN - 1 bytes hold every window once
+        found = []
+        for k, (at, size) in enumerate(zip(first.tolist(), length.tolist(), strict=True)):
+            for low in range(0, max(1, size - SPAN + 1), _BLOCK):
+                part = data[at + low : at + min(size, low + _BLOCK + SPAN - 1)]
+                a, r, d, p = runs(part, np.zeros(1, np.int64), np.array([len(part)], np.int64))
+                found.append((a, r, d + k, p + (low << 14)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     ok = length >= SPAN
     if n < SPAN or not ok.any():
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
@@ -218,13 +227,13 @@ def repeated_windows(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, dat
     flat = np.frombuffer(b"".join(data) + b"\0" * SPAN, np.uint8)
     first = np.cumsum(length) - length
     _, group = np.unique(anchor, return_inverse=True)
-    ahead = np.arange(SPAN)
-    right_rows = flat[np.minimum(first[:, None] + left[:, None] + ahead, len(flat) - 1)]
-    left_rows = flat[np.maximum(first[:, None] + left[:, None] - 1 - ahead[:REACH], 0)]
     sides = []
-    for rows, size in ((right_rows, np.minimum(SPAN, length - left)), (left_rows, left)):
-        order, shared = Suffixes(rows, size).sorted_with_common(group)
-        sides.append((order, shared))
+    for back, size in ((False, np.minimum(SPAN, length - left)), (True, left)):
+        rows = np.empty((n, REACH if back else SPAN), np.uint8)
+        step = -1 - np.arange(REACH) if back else np.arange(SPAN)
+        for i in range(0, n, 4096):  # the index of all rows at once would be eight times their size
+            rows[i : i + 4096] = flat[np.clip((first + left)[i : i + 4096, None] + step, 0, len(flat) - 1)]
+        sides.append(Suffixes(rows, size).sorted_with_common(group))
     age = np.empty(n, np.int64)
     age[np.lexsort((start + left, doc))] = np.arange(n)
     repeat = np.zeros((n, REACH), bool)

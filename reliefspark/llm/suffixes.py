@@ -31,9 +31,9 @@ class Suffixes:
     def __init__(self, rows: np.ndarray, length: np.ndarray):
         self.rows, self.length = rows, length
         n, width = rows.shape
-        terms = BYTE[rows] * powers(BASE, width)
-        self.prefix = np.zeros((n, width + 1), np.uint64)
-        np.cumsum(terms, axis=1, out=self.prefix[:, 1:])
+        self.prefix, scale = np.zeros((n, width + 1), np.uint64), powers(BASE, width)
+        for i in range(0, n, 4096):
+            np.cumsum(BYTE[rows[i : i + 4096]] * scale, axis=1, out=self.prefix[i : i + 4096, 1:])
         self.steps = max(1, int(width).bit_length())
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -251,3 +251,20 @@ def test_pipeline_runs_and_keeps_ids(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     known = {r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
     assert rows and {r["doc_id"] for r in rows} <= known
+
+
+def test_long_texts_are_cut_into_pieces_that_hold_every_window_once(monkeypatch):
+    from reliefspark.llm import substrings as S
+
+    def windows(data, first, length):
+        a, r, d, p = S.runs(data, first, length)
+        start, n, left = S._unpacked(p)
+        return sorted((int(k), int(s) + i, int(x), int(s) + int(m)) for x, k, s, n_, m in zip(a, d, start, n, left, strict=True) for i in range(n_))
+
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 101, 9_000).astype(np.uint8)
+    first, length = np.array([0, 50, 8_000]), np.array([50, 7_950, 1_000])
+    whole = windows(data, first, length)
+    assert len(whole) == 7_851 + 901
+    monkeypatch.setattr(S, "_BLOCK", 700)
+    assert windows(data, first, length) == whole
