@@ -43,7 +43,9 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--algorithm", "--algo", choices=NAMES, default="topousm_fast")
     run.add_argument("--radii", type=numbers)
     run.add_argument("--weights", type=numbers)
-    run.add_argument("--agg", choices=("mean", "min", "max", "sum"))
+    run.add_argument("--agg", choices=("mean", "min", "max", "sum", "stack"))
+    run.add_argument("--pixel-size", type=numbers, help="one step, or signed steps x,y; degrees with --latitude")
+    run.add_argument("--latitude", type=float, help="centre latitude of a raster in degrees")
     run.add_argument("--output-dtype", choices=api.DTYPES, default="float32")
     run.add_argument("--output-range", type=span)
     run.add_argument("--tile-size", type=int, default=512)
@@ -59,7 +61,8 @@ def main(argv: list[str] | None = None) -> None:
         api.prepare_raster(spark, args.input, args.output, args.fill_mode, args.nodata, args.force)
         return
     params = {k: v for k in ("radii", "weights", "agg") if (v := getattr(args, k)) is not None} | dict(args.set)
-    print(json.dumps(api.run_pipeline(spark, args.input, args.output, args.algorithm, nodata=args.nodata, output_dtype=args.output_dtype, override=args.output_range, overwrite=args.force, tile=args.tile_size, **params)))
+    pixel = args.pixel_size and (args.pixel_size * 2)[:2]
+    print(json.dumps(api.run_pipeline(spark, args.input, args.output, args.algorithm, nodata=args.nodata, output_dtype=args.output_dtype, override=args.output_range, overwrite=args.force, tile=args.tile_size, pixel_size=pixel, latitude=args.latitude, **params)))
 
 
 if __name__ == "__main__":

@@ -38,6 +38,20 @@ def save(grid: DataFrame, path: str, overwrite: bool = False, tile: int = 512) -
         write_tiles(grid, path, tile, overwrite)
 
 
+def save_bands(grid: DataFrame, bands: int, path: str, overwrite: bool = False, tile: int = 512) -> None:
+    """Write r, c, band, z: Parquet as it is, other formats one raster a band."""
+    stem, dot, ending = path.rstrip("/").rpartition(".")
+    if not dot or ending.lower() not in ("zarr", "tif", "tiff"):
+        write_tiles(grid, path, tile, overwrite)
+        return
+    from .sources.shared import shared_path
+
+    kept = shared_path(grid.sparkSession, "bands")  # so that the operator runs once
+    grid.write.partitionBy("band").parquet(kept)
+    for band in range(1, bands + 1):
+        save(grid.sparkSession.read.parquet(kept).where(F.col("band") == band).select("r", "c", "z"), f"{stem}.band{band}.{ending}", overwrite, tile)
+
+
 def output_range(algorithm: str, params: dict, override: tuple[float, float] | None = None) -> tuple[float, float] | None:
     """The range that integer codes span; None where results have no fixed one."""
     if override is not None:
@@ -56,20 +70,33 @@ def output_range(algorithm: str, params: dict, override: tuple[float, float] | N
 
 def run_pipeline(
     spark: SparkSession, src: str, dst: str, algorithm: str = "topousm_fast", *, nodata: str | float | None = "none",
-    output_dtype: str = "float32", override: tuple[float, float] | None = None, overwrite: bool = False, tile: int = 512, **params,
+    output_dtype: str = "float32", override: tuple[float, float] | None = None, overwrite: bool = False, tile: int = 512,
+    pixel_size: tuple[float, float] | float | None = None, latitude: float | None = None, **params,
 ) -> dict:
     """Read `src`, run the operator, write `dst`; says how values were encoded.
 
-    Integer codes have 0 for NoData; value = scale * code + offset.
+    Integer codes have 0 for NoData; value = scale * code + offset. pixel_size is one step
+    or signed steps (x, y): metres, or degrees where the raster's centre latitude is given.
+    Stacked bands are float32; rasters get one file set a band (name.band1.tif and so on).
     """
     if output_dtype not in DTYPES:
         raise ValueError(f"output type {output_dtype!r}")
     if algorithm not in registry.NAMES:
         raise ValueError(f"operator {algorithm!r}; known: {', '.join(registry.NAMES)}")
+    if pixel_size is not None:
+        x, y = pixel_size if isinstance(pixel_size, (tuple, list)) else (pixel_size, pixel_size)
+        params["pixel"] = scales.metric_pixel(x, y, latitude)
+    elif latitude is not None:
+        raise ValueError("a latitude needs pixel sizes in degrees")
+    stack = params.get("agg") == "stack"
     grid = P.without_nodata(load(spark, src), nodata)
     out = registry.run(grid, algorithm, tile, **params)
     span = output_range(algorithm, params, override)
     note: dict = {"algorithm": algorithm, "dtype": output_dtype}
+    if stack:
+        note |= {"dtype": "float32", "bands": len(params.get("radii", (1,)))}
+        save_bands(out.select("r", "c", "band", F.col("value").alias("z")), note["bands"], dst, overwrite, tile)
+        return note
     if output_dtype == "float32" or span is None:
         note["dtype"] = "float32"
         out = out.select("r", "c", F.col("value").alias("z"))

@@ -43,6 +43,14 @@ def metres_per_degree(latitude: float) -> tuple[float, float]:
     return lat, max(1e-6, lon)
 
 
+def metric_pixel(x: float, y: float, latitude: float | None = None) -> tuple[float, float]:
+    """Signed steps in metres; with a centre latitude x and y are degrees of longitude and latitude."""
+    if not x or not y:
+        raise ValueError("pixel sizes must not be 0")
+    lat, lon = (1.0, 1.0) if latitude is None else metres_per_degree(latitude)
+    return x * lon, y * lat
+
+
 # Native ranges of results.
 RANGES = {
     "topousm_fast": (-1.176, 1.176), "fractal_anomaly": (-1.176, 1.176), "slope": (0, 90), "npr_edges": (0.2, 1),

@@ -23,9 +23,9 @@ def derivative(value: Column, order: WindowSpec, step: float = 1.0) -> Column:
     return F.when(first, at_start).when(last, at_end).otherwise((ahead - behind) / (2 * step))
 
 
-def gradient(grid: DataFrame, step: float = 1.0) -> DataFrame:
-    """Adds p = dz/dc and q = dz/dr; one shuffle by row and one by column."""
-    return grid.withColumn("p", derivative(F.col("z"), along_row(), step)).withColumn("q", derivative(F.col("z"), along_column(), step))
+def gradient(grid: DataFrame, pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """Adds p = dz/dx and q = dz/dy for signed steps; one shuffle by row and one by column."""
+    return grid.withColumn("p", derivative(F.col("z"), along_row(), pixel[0])).withColumn("q", derivative(F.col("z"), along_column(), pixel[1]))
 
 
 def box_mean(grid: DataFrame, radius: int, name: str = "mean") -> DataFrame:

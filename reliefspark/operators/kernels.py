@@ -62,8 +62,9 @@ def filled(z: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return z if ok.all() else np.where(ok, z, valid_smooth(z, sigma))
 
 
-def gradient(z: np.ndarray, step: float = 1.0, edge_order: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    q, p = np.gradient(filled(z), step, step, edge_order=edge_order if min(z.shape) > 2 else 1)
+def gradient(z: np.ndarray, step: float | tuple[float, float] = 1.0, edge_order: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    dx, dy = step if isinstance(step, (tuple, list)) else (step, step)
+    q, p = np.gradient(filled(z), dy, dx, edge_order=edge_order if min(z.shape) > 2 else 1)
     return p, q
 
 
@@ -99,12 +100,12 @@ def clip(x: np.ndarray, low: float = 0.0, high: float = 1.0) -> np.ndarray:
     return np.clip(x, low, high)
 
 
-def hillshade(z, radii=(1,), weights=None, agg="mean", **_):
-    return blend([clip(lambert(*gradient(scaled(z, r)))) for r in radii], weights, agg)
+def hillshade(z, radii=(1,), weights=None, agg="mean", pixel=(1.0, 1.0), **_):
+    return blend([clip(lambert(*gradient(scaled(z, r), pixel))) for r in radii], weights, agg)
 
 
-def slope(z, radii=(1,), weights=None, agg="mean", **_):
-    return blend([np.degrees(np.arctan(np.hypot(*gradient(scaled(z, r))))) for r in radii], weights, agg)
+def slope(z, radii=(1,), weights=None, agg="mean", pixel=(1.0, 1.0), **_):
+    return blend([np.degrees(np.arctan(np.hypot(*gradient(scaled(z, r), pixel)))) for r in radii], weights, agg)
 
 
 def blur(z, radius=16, **_):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scales
 from ..sources import shared, tiff, zarr
 from ..sources.grids import array_grid, orders_grid
 from . import kernels as K
@@ -49,6 +50,32 @@ def _clip(x: str) -> str:
 
 
 _SHADE = _clip(_lambert(315))
+#: Steps of a north-up raster in degrees at 35 N, blown up so that slopes of the grid are moderate.
+_STEPS = scales.metric_pixel(0.00002, -0.00002, 35.0)
+_GEO = _PX + f", g AS (SELECT r, c, w, ({_d('z', 'c')}) / {_STEPS[0]!r} AS p, ({_d('z', 'r')}) / {_STEPS[1]!r} AS q FROM px)"
+
+
+def _gauss(source: str, sigma: float, name: str) -> str:
+    """Separable Gaussian of a grid without voids; the edge cell is repeated beyond it."""
+    w = K.taps(sigma).tolist()
+    n = len(w) // 2
+    taps = ", ".join(f"({i - n}, {v!r})" for i, v in enumerate(w))
+    one = "SELECT b.r, b.c, any_value(b.w) AS w, sum(k.v * a.{0}) AS z FROM {1} b CROSS JOIN (VALUES {2}) k(d, v) JOIN {1} a ON {3} GROUP BY b.r, b.c"
+    down = one.format("z", source, taps, "a.c = b.c AND a.r = least(greatest(b.r + k.d, 0), b.w - 1)")
+    across = one.format("z", name + "0", taps, "a.r = b.r AND a.c = least(greatest(b.c + k.d, 0), b.w - 1)")
+    return f", {name}0 AS ({down}), {name} AS ({across})"
+
+
+def _spatial(value: str, how: str) -> str:
+    """The responses at radii 2 and 4 (Gaussians of 1 and 2), combined or as bands."""
+    start = _PX + "".join(_gauss("px", s, f"s{s}") + f", g{s} AS (SELECT r, c, {_d('z', 'c')} AS p, {_d('z', 'r')} AS q FROM s{s})" for s in (1, 2))
+    both = " UNION ALL ".join(f"SELECT r, c, {s} AS band, {value} AS x FROM g{s}" for s in (1, 2))
+    if how == "stack":
+        return start + f" SELECT r, c, band::INT AS band, round(x, 6) AS value FROM ({both})"
+    return start + f" SELECT r, c, round({how}(x), 6) AS value FROM ({both}) GROUP BY r, c"
+
+
+_STEEP = "degrees(atan(sqrt(p*p + q*q)))"
 _HAZE = "(1 - exp(-0.5 / (cos(atan(sqrt(p*p + q*q))) + 0.001)))"
 _LIGHTS = [f"greatest(0.0, {_lambert(a)})" for a in (315, 45, 135, 225)]
 _CURVES = {
@@ -96,6 +123,8 @@ _RELATIONAL: dict[str, tuple[Query, str]] = {
         _grid(R.multi_light_uncertainty),
         _G + ", l AS (SELECT r, c, " + ", ".join(f"{x} AS l{i}" for i, x in enumerate(_LIGHTS)) + " FROM g), m AS (SELECT *, (l0+l1+l2+l3)/4 AS m FROM l) SELECT r, c, round(" + _clip("m + 0.7*" + _clip("sqrt(((l0-m)*(l0-m)+(l1-m)*(l1-m)+(l2-m)*(l2-m)+(l3-m)*(l3-m))/4)/(m+1e-6)")) + ", 6) AS uncertainty FROM m",
     ),
+    "slope_geographic": (_grid(lambda g: R.slope(g, pixel=_STEPS)), _GEO + " SELECT r, c, round(degrees(atan(sqrt(p*p + q*q))), 6) AS slope FROM g"),
+    "hillshade_geographic": (_grid(lambda g: R.hillshade(g, pixel=_STEPS)), _GEO + f" SELECT r, c, round({_SHADE}, 6) AS shade FROM g"),
     **{f"curvature_{k}": (_grid(lambda g, k=k: R.curvature(g, k)), _H + f" SELECT r, c, round(pow((tanh(100*({e})) + 1)/2, 1/2.2), 6) AS curvature FROM h") for k, e in _CURVES.items()},
     "topousm_box3": (_grid(lambda g: R.topousm(g, [3]), holes=17), _HOLES + _BOX.format(r=3) + " SELECT r, c, round(x / (SELECT quantile_cont(abs(x), 0.99) FROM x), 6) AS detail FROM x"),
     "overview_coarsen": (_grid(lambda g: R.coarsen(g, 4), holes=17), _HOLES + " SELECT r // 4 AS r, c // 4 AS c, round(avg(z), 6) AS z, count(z) AS n FROM px GROUP BY ALL"),
@@ -128,9 +157,16 @@ _RELATIONAL: dict[str, tuple[Query, str]] = {
     ),
 }
 
+#: Tiled queries with an SQL twin.
+_TILED_SQL = {
+    "blur": _PX + _gauss("px", 3, "s") + " SELECT r, c, round(z, 6) AS value FROM s",
+    "slope_spatial": _spatial(_STEEP, "max"),
+    **{f"hillshade_spatial{'' if how == 'mean' else '_' + how}": _spatial(_SHADE, "avg" if how == "mean" else how) for how in ("mean", "min", "max", "sum", "stack")},
+}
+
 #: Parameters of the tiled queries: radii that keep halos within small grids.
 _TILED: dict[str, dict] = {
-    "blur": {"radius": 3}, "hillshade_spatial": {"algorithm": "hillshade", "radii": (2, 4)}, "slope_spatial": {"algorithm": "slope", "radii": (2, 4), "agg": "max"},
+    "blur": {"radius": 3}, "hillshade_spatial": {"algorithm": "hillshade", "radii": (2, 4)}, **{f"hillshade_spatial_{how}": {"algorithm": "hillshade", "radii": (2, 4), "agg": how} for how in ("min", "max", "sum", "stack")}, "slope_spatial": {"algorithm": "slope", "radii": (2, 4), "agg": "max"},
     "topousm_fast": {"radii": (2, 8)}, "multiscale_terrain": {"scales": (1, 4, 8)}, "specular": {"size": 9}, "visual_saliency": {}, "npr_edges": {}, "ambient_occlusion": {"radius": 6},
     "openness_positive": {"algorithm": "openness", "distance": 12}, "openness_negative": {"algorithm": "openness", "distance": 12, "kind": "negative"}, "fractal_anomaly": {"radii": (2, 4, 6, 8, 12)},
     "scale_space_surprise": {"scales": (1, 2, 4)}, "structure_coherence": {"algorithm": "structure_tensor"}, "structure_orientation": {"algorithm": "structure_tensor", "output": "orientation"},
@@ -174,4 +210,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _RELATIONAL.items()}
+    return {k: s for k, (_, s) in _RELATIONAL.items()} | _TILED_SQL

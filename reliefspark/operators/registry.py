@@ -119,14 +119,27 @@ RELATIONAL = {
     "multi_light_uncertainty": R.multi_light_uncertainty,
 }
 
+#: Operators that blend a response for each radius.
+BLENDED = ("hillshade", "slope")
+
 NAMES = tuple(dict.fromkeys([*TILED, *RELATIONAL]))
 
 
 def run(grid: DataFrame, algorithm: str = "topousm_fast", tile: int = 512, **params) -> DataFrame:
-    """r, c, value of a named operator; single-scale gradients need no tiles."""
+    """r, c, value of a named operator; single-scale gradients need no tiles.
+
+    agg="stack" adds a column band, one for each radius, to operators that blend radii;
+    pixel=(dx, dy) gives the steps of gradient operators.
+    """
+    stack = params.get("agg") == "stack"
+    if stack and algorithm not in BLENDED:
+        raise ValueError(f"{algorithm} has no scales to stack")
+    if params.get("pixel", (1.0, 1.0)) != (1.0, 1.0) and algorithm not in {*RELATIONAL, *BLENDED}:
+        raise ValueError(f"{algorithm} works on cells, not on pixel sizes")
     if algorithm in RELATIONAL and "radii" not in params:
-        df = RELATIONAL[algorithm](grid, **params)
-        return df.toDF("r", "c", "value")
+        df = RELATIONAL[algorithm](grid, **{k: v for k, v in params.items() if k not in ("agg", "weights")})
+        df = df.toDF("r", "c", "value")
+        return df.select("r", "c", F.lit(1).alias("band"), "value") if stack else df
     op = TILED[algorithm]
     params = op.defaults | params
     halo = op.halo(params)

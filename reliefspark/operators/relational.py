@@ -32,29 +32,29 @@ def lambert(azimuth: float, altitude: float) -> Column:
     return (-p * light[0] - q * light[1] + light[2]) / F.sqrt(p * p + q * q + 1)
 
 
-def slope(grid: DataFrame, unit: str = "degree") -> DataFrame:
+def slope(grid: DataFrame, unit: str = "degree", pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     p, q = _pq()
     steep = F.sqrt(p * p + q * q)
     value = {"degree": F.degrees(F.atan(steep)), "percent": F.tan(F.atan(steep)) * 100}.get(unit, F.atan(steep))
-    return _out(gradient(grid), value, "slope")
+    return _out(gradient(grid, pixel), value, "slope")
 
 
-def hillshade(grid: DataFrame, azimuth: float = 315, altitude: float = 45, z_factor: float = 1) -> DataFrame:
-    return _out(gradient(grid.withColumn("z", F.col("z") * z_factor)), _clip(lambert(azimuth, altitude)), "shade")
+def hillshade(grid: DataFrame, azimuth: float = 315, altitude: float = 45, z_factor: float = 1, pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    return _out(gradient(grid.withColumn("z", F.col("z") * z_factor), pixel), _clip(lambert(azimuth, altitude)), "shade")
 
 
-def atmospheric_scattering(grid: DataFrame, strength: float = 0.5) -> DataFrame:
+def atmospheric_scattering(grid: DataFrame, strength: float = 0.5, pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     p, q = _pq()
     mass = 1 / (F.cos(F.atan(F.sqrt(p * p + q * q))) + 0.001)
     haze = 1 - F.exp(-strength * mass)
-    return _out(gradient(grid), F.pow(_clip(0.3 * (0.4 + 0.6 * haze) + 0.7 * _clip(lambert(315, 45))), F.lit(scales.GAMMA)), "scatter")
+    return _out(gradient(grid, pixel), F.pow(_clip(0.3 * (0.4 + 0.6 * haze) + 0.7 * _clip(lambert(315, 45))), F.lit(scales.GAMMA)), "scatter")
 
 
-def multi_light_uncertainty(grid: DataFrame, azimuths: tuple[float, ...] = (315, 45, 135, 225), altitude: float = 45, weight: float = 0.7) -> DataFrame:
+def multi_light_uncertainty(grid: DataFrame, azimuths: tuple[float, ...] = (315, 45, 135, 225), altitude: float = 45, weight: float = 0.7, pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     if not azimuths:
         raise ValueError("no azimuths")
     lights = [F.greatest(F.lit(0.0), lambert(a, altitude)) for a in azimuths]
-    df = gradient(grid).withColumns({f"l{i}": x for i, x in enumerate(lights)})
+    df = gradient(grid, pixel).withColumns({f"l{i}": x for i, x in enumerate(lights)})
     n = len(lights)
     mean = sum((F.col(f"l{i}") for i in range(1, n)), F.col("l0")) / n
     df = df.withColumn("m", mean)
@@ -62,9 +62,11 @@ def multi_light_uncertainty(grid: DataFrame, azimuths: tuple[float, ...] = (315,
     return _out(df, _clip(F.col("m") + weight * _clip(spread / (F.col("m") + 1e-6))), "uncertainty")
 
 
-def curvature(grid: DataFrame, kind: str = "mean") -> DataFrame:
-    df, (p, q) = gradient(grid), _pq()
-    df = df.withColumn("r_", derivative(p, along_row())).withColumn("qx", derivative(q, along_row())).withColumn("py", derivative(p, along_column())).withColumn("t_", derivative(q, along_column()))
+def curvature(grid: DataFrame, kind: str = "mean", pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """The signs of the steps do not matter: turning an axis round leaves every kind as it is."""
+    (dx, dy), (p, q) = map(abs, pixel), _pq()
+    df = gradient(grid, (dx, dy))
+    df = df.withColumn("r_", derivative(p, along_row(), dx)).withColumn("qx", derivative(q, along_row(), dx)).withColumn("py", derivative(p, along_column(), dy)).withColumn("t_", derivative(q, along_column(), dy))
     r, t, py, s = F.col("r_"), F.col("t_"), F.col("py"), (F.col("py") + F.col("qx")) / 2
     g = p * p + q * q
     k = {

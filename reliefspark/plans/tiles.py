@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 def on_tiles(grid: DataFrame, kernel: Callable[..., np.ndarray], halo: int, tile: int = 512, name: str = "value", **params) -> DataFrame:
     """Apply an array kernel tile by tile; voids stay void.
 
+    With agg="stack" the kernel gives one array a band and the result has a column band, from 1.
+
     A pixel goes to each tile whose window (core plus halo, clipped at the raster's
     edge) holds it: to one tile for most pixels if the halo is small against the tile.
     """
 
+    stack = params.get("agg") == "stack"
+
     def tiles(at: str):
         low = F.greatest(F.floor((F.col(at) - halo) / tile), F.lit(0))
         return F.explode(F.sequence(low.cast("int"), F.floor((F.col(at) + halo) / tile).cast("int")))
@@ -27,14 +31,20 @@ def on_tiles(grid: DataFrame, kernel: Callable[..., np.ndarray], halo: int, tile
         ty, tx = key
         core = (df.r // tile == ty) & (df.c // tile == tx)
         if not core.any():
-            return pd.DataFrame({"r": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), name: np.zeros(0)})
+            return pd.DataFrame({"r": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), name: np.zeros(0, object if stack else float)})
         r0, c0 = int(df.r.min()), int(df.c.min())
         z = np.full((int(df.r.max()) - r0 + 1, int(df.c.max()) - c0 + 1), np.nan)
         z[df.r - r0, df.c - c0] = df.z
         out = kernel(z, **params)
         part = df[core]
-        value = np.asarray(out, float)[part.r - r0, part.c - c0]
+        value = np.asarray(out, float)[..., part.r - r0, part.c - c0]
+        if stack:
+            return pd.DataFrame({"r": part.r, "c": part.c, name: list(np.where(part.z.isna(), np.nan, value).T)})
         return pd.DataFrame({"r": part.r, "c": part.c, name: np.where(part.z.isna(), np.nan, value)})
 
-    made = dealt.groupBy("ty", "tx").applyInPandas(work, f"r long, c long, {name} double")
+    kind = "array<double>" if stack else "double"
+    made = dealt.groupBy("ty", "tx").applyInPandas(work, f"r long, c long, {name} {kind}")
+    if stack:
+        made = made.select("r", "c", F.posexplode(name).alias("band", name)).withColumn("band", F.col("band") + 1)
+        return made.select("r", "c", "band", F.when(~F.isnan(name), F.col(name)).alias(name))
     return made.select("r", "c", F.when(~F.isnan(name), F.col(name)).alias(name))
