@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,14 +56,19 @@ _STEPS = scales.metric_pixel(0.00002, -0.00002, 35.0)
 _GEO = _PX + f", g AS (SELECT r, c, w, ({_d('z', 'c')}) / {_STEPS[0]!r} AS p, ({_d('z', 'r')}) / {_STEPS[1]!r} AS q FROM px)"
 
 
-def _gauss(source: str, sigma: float, name: str) -> str:
-    """Separable Gaussian of a grid without voids; the edge cell is repeated beyond it."""
+def _mirrored(axis: str) -> str:
+    return f"CASE WHEN b.{axis} + k.d < 0 THEN -1 - b.{axis} - k.d WHEN b.{axis} + k.d > b.w - 1 THEN 2*b.w - 1 - b.{axis} - k.d ELSE b.{axis} + k.d END"
+
+
+def _gauss(source: str, sigma: float, name: str, mirror: bool = False) -> str:
+    """Separable Gaussian of a grid without voids; beyond its edge the edge cell is repeated or the grid mirrored."""
     w = K.taps(sigma).tolist()
     n = len(w) // 2
     taps = ", ".join(f"({i - n}, {v!r})" for i, v in enumerate(w))
     one = "SELECT b.r, b.c, any_value(b.w) AS w, sum(k.v * a.{0}) AS z FROM {1} b CROSS JOIN (VALUES {2}) k(d, v) JOIN {1} a ON {3} GROUP BY b.r, b.c"
-    down = one.format("z", source, taps, "a.c = b.c AND a.r = least(greatest(b.r + k.d, 0), b.w - 1)")
-    across = one.format("z", name + "0", taps, "a.r = b.r AND a.c = least(greatest(b.c + k.d, 0), b.w - 1)")
+    at = _mirrored if mirror else "least(greatest(b.{0} + k.d, 0), b.w - 1)".format
+    down = one.format("z", source, taps, f"a.c = b.c AND a.r = {at('r')}")
+    across = one.format("z", name + "0", taps, f"a.r = b.r AND a.c = {at('c')}")
     return f", {name}0 AS ({down}), {name} AS ({across})"
 
 
@@ -75,6 +81,41 @@ def _spatial(value: str, how: str) -> str:
     return start + f" SELECT r, c, round({how}(x), 6) AS value FROM ({both}) GROUP BY r, c"
 
 
+def _box(r: int, name: str) -> str:
+    """Mean of a square of a grid without voids, mirrored beyond the edge."""
+    one = f"SELECT b.r, b.c, any_value(b.w) AS w, sum(a.z) / {2 * r + 1} AS z FROM {{0}} b CROSS JOIN (SELECT unnest(range({-r}, {r + 1})) AS d) k JOIN {{0}} a ON {{1}} GROUP BY b.r, b.c"
+    down, across = one.format("px", f"a.c = b.c AND a.r = {_mirrored('r')}"), one.format(name + "0", f"a.r = b.r AND a.c = {_mirrored('c')}")
+    return f", {name}0 AS ({down}), {name} AS ({across})"
+
+
+def _over_means(shares: dict[int, float], mean: Callable[[int, str], str]) -> str:
+    """x: the weighted height above the means of several scales."""
+    names = {k: f"m{k}" for k in shares}
+    x = " + ".join(f"{v!r} * (px.z - {names[k]}.z)" for k, v in shares.items())
+    return _PX + "".join(mean(k, n) for k, n in names.items()) + f", x AS (SELECT r, c, {x} AS x FROM px " + " ".join(f"JOIN {n} USING (r, c)" for n in names.values()) + ")"
+
+
+def _around(directions: int, distances: list[tuple[float, float]], clamped: bool = False) -> str:
+    """Cells in all directions at some distances (and weights): k, rise over run, weight; beyond the edge none, or the edge cell."""
+    to = ("least(greatest(b.{0} + k.{1}, 0), b.w - 1)" if clamped else "b.{0} + k.{1}").format
+    at = [(k, round(d * math.cos(2 * math.pi * k / directions)), round(d * math.sin(2 * math.pi * k / directions)), f) for d, f in distances for k in range(directions)]
+    cells = ", ".join(f"({k}, {x}, {y}, {math.hypot(x, y)!r}, {f})" for k, x, y, f in at if x or y)
+    return _PX + f", k AS (SELECT * FROM (VALUES {cells}) t(k, x, y, d, f)), up AS (SELECT b.r, b.c, b.w, k.k, (a.z - b.z) / k.d::DOUBLE AS rise, k.f::DOUBLE AS f FROM px b CROSS JOIN k JOIN px a ON a.r = {to('r', 'y')} AND a.c = {to('c', 'x')})"
+
+
+def _stretched(source: str) -> str:
+    ends = ", ".join(f"quantile_cont(z, {q}) AS {n}" for q, n in ((0.01, "lo"), (0.99, "hi")))
+    return f", e AS (SELECT {ends} FROM {source}) SELECT r, c, round(greatest((z - lo) / (hi - lo), 0.0), 6) AS value FROM {source}, e"
+
+
+def _open(sign: int, distance: int) -> str:
+    rings = sorted({int((0.1 + 0.1 * i) * distance + 1e-9) for i in range(10)} - {0})
+    far = f"max(atan({sign} * rise))"
+    return _around(16, [(d, 1.0) for d in rings]) + (
+        f", far AS (SELECT r, c, k, {far} AS far FROM up GROUP BY r, c, k), o AS (SELECT r, c, pow({_clip('avg(pi() / 2 - far) / (pi() / 2)')}, 1/2.2) AS z FROM far GROUP BY r, c)"
+    ) + _stretched("o")
+
+
 _STEEP = "degrees(atan(sqrt(p*p + q*q)))"
 _HAZE = "(1 - exp(-0.5 / (cos(atan(sqrt(p*p + q*q))) + 0.001)))"
 _LIGHTS = [f"greatest(0.0, {_lambert(a)})" for a in (315, 45, 135, 225)]
@@ -160,6 +201,15 @@ _RELATIONAL: dict[str, tuple[Query, str]] = {
 #: Tiled queries with an SQL twin.
 _TILED_SQL = {
     "blur": _PX + _gauss("px", 3, "s") + " SELECT r, c, round(z, 6) AS value FROM s",
+    "topousm_fast": _over_means({2: 0.5, 8: 0.5}, _box) + " SELECT r, c, round(x / (SELECT quantile_cont(abs(x), 0.99) FROM x), 6) AS value FROM x",
+    "multiscale_terrain": _over_means({s: 1 / s / (1 + 1 / 4 + 1 / 8) for s in (1, 4, 8)}, lambda s, name: _gauss("px", s, name))
+    + ", o AS (SELECT r, c, greatest(x - (SELECT quantile_cont(x, 0.01) FROM x), 0.0) AS x FROM x) SELECT r, c, round(pow(x / (SELECT quantile_cont(x, 0.99) FROM o), 1/2.2), 6) AS value FROM o",
+    "ambient_occlusion": _around(16, [(6 * f, f) for f in (0.25, 0.5, 0.75, 1.0)], True)
+    + f", o AS (SELECT r, c, any_value(w) AS w, {_clip('1 - avg(least(greatest(atan(rise), 0.0) / (pi() / 4), 1.0) * (1 - 0.3 * f))')} AS z FROM up GROUP BY r, c)"
+    + _gauss("o", 1, "s") + ", g AS (SELECT r, c, pow(z, 1/2.2) AS z FROM s)" + _stretched("g"),
+    "openness_positive": _open(1, 12), "openness_negative": _open(-1, 12),
+    "scale_space_surprise": _PX + "".join(_gauss("px", s, f"s{s}", True) for s in (1, 2, 4))
+    + ", x AS (SELECT r, c, (abs(s2.z - s1.z) + abs(s4.z - s2.z)) / 2 AS x FROM s1 JOIN s2 USING (r, c) JOIN s4 USING (r, c)), e AS (SELECT quantile_cont(x, 0.02) AS lo, quantile_cont(x, 0.99) AS hi FROM x) SELECT r, c, round(sqrt(greatest((x - lo) / (hi - lo), 0.0)), 6) AS value FROM x, e",
     "slope_spatial": _spatial(_STEEP, "max"),
     **{f"hillshade_spatial{'' if how == 'mean' else '_' + how}": _spatial(_SHADE, "avg" if how == "mean" else how) for how in ("mean", "min", "max", "sum", "stack")},
 }
