@@ -18,9 +18,10 @@ at equal places. Consecutive windows of one anchor form a run.
 4. Repeats of a document are united and cut out.
 
 Equal runs of step 2 are known by two independent 64-bit hashes. Null texts are empty;
-texts below SPAN bytes lose nothing. doc_id is taken to be unique: of several rows with
-one doc_id, what is found for any is cut at the same places from all. Lone surrogates
-can't occur in UTF-8 input. Other columns are ignored.
+texts below SPAN bytes lose nothing. Rows of equal doc_id and text are one document given
+several times: they are no repeats of each other and are cut alike. Rows of equal doc_id
+and different texts are documents of their own, in the order of their texts' hashes
+(`copy`). Lone surrogates can't occur in UTF-8 input. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -102,9 +103,9 @@ def runs(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.nd
     return h[m], run, d, _packed(s - first[d], windows, m - s)
 
 
-FOUND = "kind int, anchor long, run long, doc_id long, place long"
-_FOUND = [("kind", pa.int32()), ("anchor", pa.int64()), ("run", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())]
-#: Kinds of FOUND rows: bytes run..place of doc_id are a repeat; a run; a run whose bytes are asked for.
+FOUND = "kind int, anchor long, run long, doc_id long, copy long, place long"
+_FOUND = [("kind", pa.int32()), ("anchor", pa.int64()), ("run", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("place", pa.int64())]
+#: Kinds of FOUND rows: bytes run..place of a document are a repeat; a run; a run whose bytes are asked for.
 REPEAT, RUN, ASK = 0, 1, 2
 
 
@@ -114,26 +115,34 @@ def _rows(kind: int, *columns: np.ndarray, step: int = 65_536) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind), pa.int32()), *(pa.array(c.view(np.int64) if c.dtype == np.uint64 else c, pa.int64()) for c in part)], names=[x for x, _ in _FOUND])
 
 
-def _united(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _united(doc: np.ndarray, copy: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
     """Ranges that touch or overlap in a document become one."""
     if not len(doc):
-        return doc, low, high
-    by = np.lexsort((low, doc))
-    doc, low, high = doc[by], low[by], high[by]
-    _, rank = np.unique(doc, return_inverse=True)
+        return doc, copy, low, high
+    by = np.lexsort((low, copy, doc))
+    doc, copy, low, high = doc[by], copy[by], low[by], high[by]
+    rank = np.zeros(len(doc), np.int64)
+    rank[1:] = np.cumsum((doc[1:] != doc[:-1]) | (copy[1:] != copy[:-1]))
     shift = rank * (np.int64(high.max()) + 2)
     reach = np.maximum.accumulate(high + shift)
     new = np.ones(len(doc), bool)
     new[1:] = low[1:] + shift[1:] > reach[:-1]
     at = np.flatnonzero(new)
     ends = np.append(at[1:], len(doc)) - 1
-    return doc[at], low[at], reach[ends] - shift[at]
+    return doc[at], copy[at], low[at], reach[ends] - shift[at]
 
 
-def _repeats(doc: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _repeats(doc: np.ndarray, copy: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
     start, windows, _ = _unpacked(place)
-    d, low, high = _united(doc, start, start + windows + SPAN - 1)
-    return _rows(REPEAT, d * 0x9E3779B1 % (1 << 40), low, d, high)
+    d, c, low, high = _united(doc, copy, start, start + windows + SPAN - 1)
+    return _rows(REPEAT, d * 0x9E3779B1 % (1 << 40), low, d, c, high)
+
+
+def _again(*columns: np.ndarray) -> np.ndarray:
+    """Which of the sorted rows equal the row before in all columns."""
+    out = np.zeros(len(columns[0]), bool)
+    out[1:] = np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
+    return out
 
 
 def find_runs(docs: DataFrame, flush: int = 1_000_000) -> DataFrame:
@@ -141,21 +150,21 @@ def find_runs(docs: DataFrame, flush: int = 1_000_000) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
 
         def send() -> Iterator[pa.RecordBatch]:
-            a, r, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
-            by = np.lexsort((p, d, r, a))
-            a, r, d, p = a[by], r[by], d[by], p[by]
-            again = np.zeros(len(a), bool)
-            again[1:] = (a[1:] == a[:-1]) & (r[1:] == r[:-1])
-            yield from _rows(RUN, a[~again], r[~again], d[~again], p[~again])
-            yield from _repeats(d[again], p[again])
+            a, r, d, c, p = (np.concatenate(x) for x in zip(*held, strict=True))
+            by = np.lexsort((p, c, d, r, a))
+            by = by[~_again(a[by], r[by], d[by], c[by], p[by])]  # the run of a repeated row is the same run
+            a, r, d, c, p = a[by], r[by], d[by], c[by], p[by]
+            again = _again(a, r)
+            yield from _rows(RUN, a[~again], r[~again], d[~again], c[~again], p[~again])
+            yield from _repeats(d[again], c[again], p[again])
 
         for b in C.slices(batches, "text", _BLOCK):
             texts = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
             length = np.array([len(t) for t in texts], np.int64)
-            ids = b.column("doc_id").to_numpy()
+            ids, copies = b.column("doc_id").to_numpy(), b.column("copy").to_numpy()
             data = np.frombuffer(b"".join(texts), np.uint8)
             a, r, d, p = runs(data, np.cumsum(length) - length, length)
-            held.append((a, r, ids[d], p))
+            held.append((a, r, ids[d], copies[d], p))
             if sum(len(x[0]) for x in held) > flush:
                 yield from send()
                 held = []
@@ -169,36 +178,37 @@ def settle_runs(found: DataFrame) -> DataFrame:
     """Repeats of equal runs, and the runs whose anchor has others beside it."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # anchor, run, document, place of the last first-of-its-kind run, and whether it was asked for
+        last: tuple | None = None  # anchor, run, document, copy, place of the last first-of-its-kind run, and whether it was asked for
         for b in batches:
             kind = b.column("kind").to_numpy()
             out = kind == REPEAT
             if out.any():
                 yield b.filter(pa.array(out))
-            a, r, d, p = (b.column(c).to_numpy()[~out] for c in ("anchor", "run", "doc_id", "place"))
+            a, r, d, c, p = (b.column(x).to_numpy()[~out] for x in ("anchor", "run", "doc_id", "copy", "place"))
             if not len(a):
                 continue
             if last:
-                a, r, d, p = (np.concatenate([[x], y]) for x, y in zip(last[:4], (a, r, d, p), strict=True))
-            again = np.zeros(len(a), bool)
-            again[1:] = (a[1:] == a[:-1]) & (r[1:] == r[:-1])
-            yield from _repeats(d[again], p[again])
-            asked_before = bool(last and last[4])
-            a, r, d, p = a[~again], r[~again], d[~again], p[~again]
+                a, r, d, c, p = (np.concatenate([[x], y]) for x, y in zip(last[:5], (a, r, d, c, p), strict=True))
+            new = ~_again(a, r, d, c, p)
+            a, r, d, c, p = a[new], r[new], d[new], c[new], p[new]
+            again = _again(a, r)
+            yield from _repeats(d[again], c[again], p[again])
+            asked_before = bool(last and last[5])
+            a, r, d, c, p = a[~again], r[~again], d[~again], c[~again], p[~again]
             beside = np.zeros(len(a), bool)
             beside[1:] |= a[1:] == a[:-1]
             beside[:-1] |= a[1:] == a[:-1]
             asked = bool(beside[-1]) or (len(a) == 1 and asked_before)
             if asked_before:
                 beside[0] = False  # it has been sent
-            yield from _rows(ASK, a[beside], r[beside], d[beside], p[beside])
-            last = (a[-1], r[-1], d[-1], p[-1], asked)
+            yield from _rows(ASK, a[beside], r[beside], d[beside], c[beside], p[beside])
+            last = (a[-1], r[-1], d[-1], c[-1], p[-1], asked)
 
-    dealt = found.repartition(C.partitions(found.sparkSession), "anchor").sortWithinPartitions("anchor", "run", "doc_id", "place")
+    dealt = found.repartition(C.partitions(found.sparkSession), "anchor").sortWithinPartitions("anchor", "run", "doc_id", "copy", "place")
     return dealt.mapInArrow(work, FOUND)
 
 
-RUNS = "anchor long, doc_id long, place long, bytes binary"
+RUNS = "anchor long, doc_id long, copy long, place long, bytes binary"
 
 
 def read_runs(docs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -206,20 +216,20 @@ def read_runs(docs: DataFrame, asked: DataFrame) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches, "text", _BLOCK):
-            out: list[list] = [[], [], [], []]
-            for d, t, want in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("asked").to_pylist(), strict=True):
+            out: list[list] = [[], [], [], [], []]
+            for d, k, t, want in zip(*(b.column(x).to_pylist() for x in ("doc_id", "copy", "text", "asked")), strict=True):
                 data = t.encode("utf-8", "surrogatepass")
                 for x in want:
                     start, windows = x["place"] >> 14, x["place"] >> 7 & 127
-                    for c, v in zip(out, (x["anchor"], d, x["place"], data[start : start + windows + SPAN - 1]), strict=True):
+                    for c, v in zip(out, (x["anchor"], d, k, x["place"], data[start : start + windows + SPAN - 1]), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.binary()], strict=True)], names=["anchor", "doc_id", "place", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["anchor", "doc_id", "copy", "place", "bytes"])
 
-    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))
-    return docs.join(wanted, "doc_id").mapInArrow(work, RUNS)
+    wanted = asked.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("anchor", "place")).alias("asked"))
+    return docs.join(wanted, ["doc_id", "copy"]).mapInArrow(work, RUNS)
 
 
-def repeated_windows(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(anchor: np.ndarray, doc: np.ndarray, copy: np.ndarray, place: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, ...]:
     """Byte ranges of the windows that an earlier run of the same anchor has too."""
     start, windows, left = _unpacked(place)
     n = len(data)
@@ -235,7 +245,7 @@ def repeated_windows(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, dat
             rows[i : i + 4096] = flat[np.clip((first + left)[i : i + 4096, None] + step, 0, len(flat) - 1)]
         sides.append(Suffixes(rows, size).sorted_with_common(group))
     age = np.empty(n, np.int64)
-    age[np.lexsort((start + left, doc))] = np.arange(n)
+    age[np.lexsort((start + left, copy, doc))] = np.arange(n)
     repeat = np.zeros((n, REACH), bool)
     classes = [np.empty(n, np.int64), np.empty(n, np.int64)]
     for back in range(REACH):  # bytes of the window before the anchor
@@ -249,14 +259,14 @@ def repeated_windows(anchor: np.ndarray, doc: np.ndarray, place: np.ndarray, dat
         again = np.flatnonzero(key[by][1:] == key[by][:-1]) + 1
         repeat[rows[by[again]], left[rows[by[again]]] - back] = True
     row, at = np.nonzero(repeat)
-    return _united(doc[row], start[row] + at, start[row] + at + SPAN)
+    return _united(doc[row], copy[row], start[row] + at, start[row] + at + SPAN)
 
 
-RANGES = "doc_id long, low long, high long"
+RANGES = "doc_id long, copy long, low long, high long"
 
 
-def _ranges(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, low, high)], names=["doc_id", "low", "high"])
+def _ranges(doc: np.ndarray, copy: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, copy, low, high)], names=["doc_id", "copy", "low", "high"])
 
 
 def compare_runs(read: DataFrame, hold: int = 20_000) -> DataFrame:
@@ -266,10 +276,13 @@ def compare_runs(read: DataFrame, hold: int = 20_000) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def close(t: pa.Table) -> pa.RecordBatch:
-            return _ranges(*repeated_windows(t["anchor"].to_numpy(), t["doc_id"].to_numpy(), t["place"].to_numpy(), t["bytes"].to_pylist()))
+            return _ranges(*repeated_windows(t["anchor"].to_numpy(), t["doc_id"].to_numpy(), t["copy"].to_numpy(), t["place"].to_numpy(), t["bytes"].to_pylist()))
 
+        end: list = [np.zeros(0, np.int64)] * 4
         for b in batches:
-            held.append(b)
+            key = [np.concatenate([e, b.column(c).to_numpy()]) for e, c in zip(end, ("anchor", "doc_id", "copy", "place"), strict=True)]
+            again, end = _again(*key)[len(end[0]) :], [k[-1:] for k in key]
+            held.append(b.filter(pa.array(~again)) if again.any() else b)  # repeated rows give the same runs
             if sum(x.num_rows for x in held) >= hold:
                 t = pa.Table.from_batches(held)
                 a = t["anchor"].to_numpy()
@@ -280,7 +293,7 @@ def compare_runs(read: DataFrame, hold: int = 20_000) -> DataFrame:
         if held:
             yield close(pa.Table.from_batches(held))
 
-    dealt = read.repartition(C.partitions(read.sparkSession), "anchor").sortWithinPartitions("anchor", "doc_id", "place")
+    dealt = read.repartition(C.partitions(read.sparkSession), "anchor").sortWithinPartitions("anchor", "doc_id", "copy", "place")
     return dealt.mapInArrow(work, RANGES)
 
 
@@ -289,26 +302,33 @@ def compare_crowded(read: DataFrame) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, doc, start = [], [], []
-            for d, p, x in zip(b.column("doc_id").to_pylist(), b.column("place").to_pylist(), b.column("bytes").to_pylist(), strict=True):
+            key, doc, copy, start = [], [], [], []
+            for d, c, p, x in zip(*(b.column(n).to_pylist() for n in ("doc_id", "copy", "place", "bytes")), strict=True):
                 for i in range(len(x) - SPAN + 1):
                     key.append(hashlib.blake2b(x[i : i + SPAN], digest_size=16).digest())
                     doc.append(d)
+                    copy.append(c)
                     start.append((p >> 14) + i)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(start, pa.int64())], names=["window", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(start, pa.int64())], names=["window", "doc_id", "copy", "start"])
 
-    windows = read.mapInArrow(work, "window binary, doc_id long, start long")
+    windows = read.mapInArrow(work, "window binary, doc_id long, copy long, start long")
     # the two paths read the same files; the earliest window is found with map-side aggregation
-    least = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").select("window", "least")
-    again = windows.join(least, "window").where(F.struct("doc_id", "start") != F.col("least"))
-    return again.select("doc_id", F.col("start").alias("low"), (F.col("start") + SPAN).alias("high"))
+    least = windows.groupBy("window").agg(F.min(F.struct("doc_id", "copy", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").select("window", "least")
+    again = windows.join(least, "window").where(F.struct("doc_id", "copy", "start") != F.col("least"))
+    return again.select("doc_id", "copy", F.col("start").alias("low"), (F.col("start") + SPAN).alias("high"))
+
+
+def copy_of(docs: DataFrame) -> Column:
+    """What tells rows of one doc_id with different texts apart: 0 where no doc_id is repeated."""
+    once = docs.groupBy(F.col("doc_id").cast("long")).count().where(F.col("count") > 1).isEmpty()
+    return F.lit(0).cast("long") if once else F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """Byte ranges (doc_id, low, high) to remove; they may overlap."""
+    """Byte ranges (doc_id, copy, low, high) of documents (doc_id, copy, text) to remove; they may overlap."""
     settled = C.cut(settle_runs(find_runs(docs)), "settled-runs")
     asked = settled.where(F.col("kind") == ASK)
-    whole = settled.where(F.col("kind") == REPEAT).select("doc_id", F.col("run").alias("low"), F.col("place").alias("high"))
+    whole = settled.where(F.col("kind") == REPEAT).select("doc_id", "copy", F.col("run").alias("low"), F.col("place").alias("high"))
     crowded = [r["anchor"] for r in asked.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor").collect()]  # at most one for each `crowd` runs
     if not crowded:
         return whole.unionByName(compare_runs(read_runs(docs, asked)))
@@ -337,11 +357,11 @@ def _kept(data: bytes, cuts: list[tuple[int, int]]) -> bytes:
 
 
 def with_cuts(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
-    """doc_id, text and cuts (array of low, high) of every document."""
+    """doc_id, copy, text and cuts (array of low, high) of every document."""
     C.short_batches(docs.sparkSession)
-    rows = C.texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    by = repeats(rows, crowd).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("cuts"))
-    return rows.join(by, "doc_id", "left")
+    rows = C.texts_of(docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "copy": copy_of(docs)}), "copy")
+    by = repeats(rows, crowd).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("low", "high")).alias("cuts"))
+    return rows.join(by, ["doc_id", "copy"], "left")
 
 
 def removed_substrings(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -368,9 +388,11 @@ def without_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     byte stays with an empty text; a null text stays null.
     """
     C.short_batches(docs.sparkSession)
-    rows = C.texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    by = repeats(rows, crowd).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("__cuts")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(by, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+    copy = copy_of(docs)
+    rows = C.texts_of(docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "copy": copy}), "copy")
+    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__copy": copy})
+    by = repeats(rows, crowd).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("low", "high")).alias("__cuts"))
+    joined = marked.join(by.select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), "__cuts"), ["__id", "__copy"], "left")
     columns = docs.columns
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -182,6 +182,31 @@ def test_op8_equals_brute_force(spark, crowd):
         assert r["n_spans"] == int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
 
 
+@pytest.mark.parametrize("crowd", [50_000, 1])
+def test_op8_repeated_rows(spark, crowd):
+    rng = np.random.default_rng(8)
+    a, b, c, d = ("".join(map(chr, rng.integers(97, 123, n))) for n in (700, 900, 300, 250))
+    given = [(3, a), (5, b), (5, b), (5, a + c), (7, c), (7, c), (7, d + c), (8, "z" * 40 + b[:300]), (9, d), (9, d), (9, d), (11, None), (11, None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").withColumn("copy", F.lit("clash")).repartition(3)
+    want, seen = Counter(), set()
+    # rows of equal doc_id and text are one document; other rows of a doc_id come in the order of their texts' hashes
+    for r in docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).distinct().orderBy("doc_id", "h").collect():
+        gone = np.zeros(len(r["text"]), bool)
+        for i in range(len(r["text"]) - 99):
+            w = r["text"][i : i + 100]
+            if w in seen:
+                gone[i : i + 100] = True
+            seen.add(w)
+        kept = "".join(x for x, g in zip(r["text"], gone, strict=True) if not g)
+        want[r["doc_id"], r["text"], kept] += sum((k, t or "") == (r["doc_id"], r["text"]) for k, t in given)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in substrings.removed_substrings(docs, crowd).collect())
+    assert got == Counter({(k, len(t), len(t) - len(x), hashlib.sha256(x.encode()).hexdigest()): n for (k, t, x), n in want.items()})
+    left = substrings.without_repeats(docs, crowd)
+    assert left.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"] or "") for r in left.collect()) == Counter((k, x) for (k, _, x), n in want.items() for _ in range(n))
+    assert [k for k, t, x in want if t == x] and want[5, b, b] == 2
+
+
 def test_op9_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
     base = ("alpha beta gamma delta " + " ".join(f"w{i}" for i in range(60))).split()
