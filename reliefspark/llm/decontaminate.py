@@ -57,6 +57,15 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def _keys(ids: np.ndarray, n: int) -> np.ndarray:
+    """64-bit mix of all words of each n-gram."""
+    key = np.zeros(len(ids) - n + 1, np.uint64)
+    for i in range(n):
+        key = (key ^ ids[i : len(ids) - n + 1 + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
 class Seeds:
     """Seed tables of a part of the benchmark."""
 
@@ -74,19 +83,12 @@ class Seeds:
                 grams[tuple(ids[at : at + n].tolist())].append((k, at))
         uncommon = {g for g, at in grams.items() if len({k for k, _ in at}) <= rare}
         served = {k for g in uncommon for k, _ in grams[g]}
-        chosen: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(dict)
+        chosen: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for g, at in grams.items():
             kept = at if g in uncommon else [x for x in at if x[0] not in served]
             if kept:
-                chosen[len(g)][self._key(g)] = kept
-        self.tables = {n: (np.array(sorted(t)), t) for n, t in chosen.items()}
-
-    def _key(self, gram: Iterable[int]) -> int:
-        """Word numbers are below 2^21: three fit one key, longer grams are mixed and then confirmed by alignment."""
-        key = 0
-        for w in gram:
-            key = (key * 2097152 + w) & 0x7FFFFFFFFFFFFFFF
-        return key
+                chosen[len(g)][int(_keys(np.array(g, np.int64), len(g))[0])] += kept
+        self.tables = {n: (np.array(sorted(t), np.uint64), t) for n, t in chosen.items()}
 
     def leaks(self, text: str, threshold: float) -> list[tuple[int, float, int, int]]:
         """item_id, score, first word and words of the best window of each leaked item."""
@@ -98,10 +100,9 @@ class Seeds:
             if len(ids) < n:
                 continue
             whole = known[: len(ids) - n + 1].copy()
-            key = np.zeros(len(whole), np.int64)
+            key = _keys(ids, n)
             for i in range(n):
                 whole &= known[i : len(ids) - n + 1 + i]
-                key = (key * 2097152 + ids[i : len(ids) - n + 1 + i]) & 0x7FFFFFFFFFFFFFFF
             at = np.flatnonzero(whole)
             place = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
             for p in at[keys[place] == key[at]].tolist():

@@ -120,6 +120,13 @@ def test_op4_finds_copies_and_edits(spark):
     assert sorted(r["doc_id"] for r in decontaminate.clean_documents(docs, bench).collect()) == [2, 3, 4]
 
 
+def test_op4_items_with_equal_endings(spark):
+    items = ["one two same last words", "three four same last words", "five six seven same last words", "eight same last words"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.find_leaks(docs_of(spark, [f"x {i} y" for i in items]), bench).collect()}
+    assert {(i, i): 1.0 for i in range(len(items))}.items() <= got.items()
+
+
 def test_alignment_equals_full_table():
     rng = np.random.default_rng(4)
     for _ in range(20):
