@@ -1,21 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram hits by count, then Smith-Waterman alignment.
 
-Each benchmark item gives its n-grams of words that few items share as seeds (an item
-without rare ones keeps all of its own). Seeds are looked up in whole documents; places
-where an item's seeds fall on near diagonals become windows, and a local alignment of
-words (match 2, mismatch -1, gap -1) between item and window scores it against a
-perfect copy. Pairs from the threshold up are leaks.
+An alignment of words (match 2, mismatch -1, gap -1) scores against a perfect copy of the
+item's n words; pairs from the threshold t up are leaks. With m <= n matches and e errors
+2m - e >= 2tn holds, so the matches form at most e + 1 unbroken runs and hold at least
+m - e - 1 >= (2t - 1)n - 1 of the item's pairs of neighbouring words. Items for which that is
+less than one are known by their single words, of which at least tn match. Every pair (or
+word) of every item is looked up in whole documents, shared or not; an item with enough
+different ones of them is aligned around these hits.
 
 The benchmark goes to tasks in parts of bounded size, one pass over the documents for
 each part; items are never cut. Null or wordless texts on either side match nothing.
 Repeated doc_ids or item_ids give a pair for each row; other columns are ignored.
-Items of fewer words than a seed use their whole word sequence as one seed.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SEED, RARE, THRESHOLD = 5, 4, 0.6
+THRESHOLD = 0.6
 #: Characters of benchmark text that one pass carries to every task.
 PART_CHARS = 4 << 20
 _WORDS = re.compile(r"[^\W_]+")
@@ -58,76 +58,85 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 
 
 def _keys(ids: np.ndarray, n: int) -> np.ndarray:
-    """64-bit mix of all words of each n-gram."""
-    key = np.zeros(len(ids) - n + 1, np.uint64)
-    for i in range(n):
-        key = (key ^ ids[i : len(ids) - n + 1 + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key
+    """Numbers of the words (n = 1) or of the pairs of neighbouring words (n = 2); 0 is no word of the benchmark."""
+    return ids if n == 1 else np.where((ids[:-1] > 0) & (ids[1:] > 0), ids[:-1] << 31 | ids[1:], 0)
 
 
 class Seeds:
-    """Seed tables of a part of the benchmark."""
+    """Pairs of neighbouring words (or single words) of a part of the benchmark."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int = SEED, rare: int = RARE):
-        self.seed, self.words = seed, {}
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+        self.threshold, self.words = threshold, {}
         self.items: list[tuple[int, np.ndarray]] = []
-        grams: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             ids = np.array([self.words.setdefault(w, len(self.words) + 1) for w in _WORDS.findall((text or "").lower())], np.int64)
-            if not len(ids):
+            if len(ids):
+                self.items.append((item_id, ids))
+        self.size = np.array([len(ids) for _, ids in self.items], np.int64)
+        pairs = np.ceil((2 * threshold - 1) * self.size - 1 - 1e-9).astype(np.int64)
+        #: Words of a gram and different grams that an alignment from the threshold up holds at least.
+        self.gram = np.where(pairs >= 1, 2, 1)
+        self.need = np.where(pairs >= 1, pairs, np.maximum(1, np.ceil(threshold * self.size - 1e-9).astype(np.int64)))
+        #: Words of a document that such an alignment covers at most.
+        self.reach = self.size + np.floor(2 * (1 - threshold) * self.size + 1e-9).astype(np.int64)
+        self.tables = []
+        for n in (1, 2):
+            which = np.flatnonzero(self.gram == n)
+            if len(which):
+                key = np.concatenate([_keys(self.items[k][1], n) for k in which])
+                grams = self.size[which] - n + 1
+                item, offset = np.repeat(which, grams), C.ragged(np.zeros(len(which), np.int64), grams)
+                by = np.argsort(key, kind="stable")
+                keys, first, count = np.unique(key[by], return_index=True, return_counts=True)
+                self.tables.append((n, keys, first, count, item[by], offset[by]))
+
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Items with enough different grams in a document: their number, and place and offset of each hit."""
+        for n, keys, first, count, item, offset in self.tables:
+            if len(ids) < n:
+                continue
+            key = _keys(ids, n)
+            place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            at = np.flatnonzero(keys[place] == key)
+            place = place[at]
+            found = C.ragged(first[place], count[place])
+            if not len(found):
+                continue
+            enough = np.bincount(item[np.unique(found)], minlength=len(self.items)) >= self.need
+            if not enough.any():
                 continue
-            k, n = len(self.items), min(seed, len(ids))
-            self.items.append((item_id, ids))
-            for at in range(len(ids) - n + 1):
-                grams[tuple(ids[at : at + n].tolist())].append((k, at))
-        uncommon = {g for g, at in grams.items() if len({k for k, _ in at}) <= rare}
-        served = {k for g in uncommon for k, _ in grams[g]}
-        chosen: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for g, at in grams.items():
-            kept = at if g in uncommon else [x for x in at if x[0] not in served]
-            if kept:
-                chosen[len(g)][int(_keys(np.array(g, np.int64), len(g))[0])] += kept
-        self.tables = {n: (np.array(sorted(t), np.uint64), t) for n, t in chosen.items()}
-
-    def leaks(self, text: str, threshold: float) -> list[tuple[int, float, int, int]]:
+            p = np.repeat(at, count[place])
+            kept = np.flatnonzero(enough[item[found]])
+            kept = kept[np.lexsort((p[kept], item[found[kept]]))]
+            k = item[found[kept]]
+            for part in np.split(kept, np.flatnonzero(k[1:] != k[:-1]) + 1):
+                yield int(item[found[part[0]]]), p[part], offset[found[part]]
+
+    def _windows(self, k: int, begin: np.ndarray, words: int) -> Iterator[tuple[int, int]]:
+        """Parts of a document where hits fall on near diagonals."""
+        slack = int(self.size[k]) // 4 + 2
+        for near in np.split(begin, np.flatnonzero(np.diff(begin) > slack) + 1):
+            yield max(0, int(near[0]) - slack), min(words, int(near[-1] + self.size[k]) + slack)
+
+    def leaks(self, text: str) -> list[tuple[int, float, int, int]]:
         """item_id, score, first word and words of the best window of each leaked item."""
         found = _WORDS.findall(text.lower())
         ids = np.fromiter(map(self.words.get, found, repeat(0)), np.int64, len(found))
-        known = ids > 0
-        near: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, (keys, table) in self.tables.items():
-            if len(ids) < n:
-                continue
-            whole = known[: len(ids) - n + 1].copy()
-            key = _keys(ids, n)
-            for i in range(n):
-                whole &= known[i : len(ids) - n + 1 + i]
-            at = np.flatnonzero(whole)
-            place = np.minimum(np.searchsorted(keys, key[at]), len(keys) - 1)
-            for p in at[keys[place] == key[at]].tolist():
-                for k, offset in table[int(key[p])]:
-                    near[k].append((p - offset, p))
         out = []
-        for k, hits in near.items():
+        for k, p, offset in self.hits(ids):
             item_id, item = self.items[k]
-            slack, best, most = len(item) // 4 + 2, (0.0, 0, 0), 2 * len(item)
-            hits.sort()
-            i = 0
-            while i < len(hits) and best[0] < 1:
-                j = i
-                while j + 1 < len(hits) and hits[j + 1][0] - hits[j][0] <= slack:
-                    j += 1
-                lo, hi = max(0, hits[i][0] - slack), min(len(ids), hits[j][0] + len(item) + slack)
-                first = max(0, hits[i][0])
-                if np.array_equal(ids[first : first + len(item)], item):
-                    best = (1.0, first, len(item))
-                elif 2 * int(np.isin(item, ids[lo:hi]).sum()) >= threshold * most:  # no alignment scores more than its matches
-                    score, a, b = align(item, ids[lo:hi])
-                    if score / most > best[0]:
-                        best = (score / most, lo + a, b - a)
-                i = j + 1
-            if best[0] >= threshold:
+            best, most = (0.0, 0, 0), 2 * len(item)
+            begin, grams = np.unique(p - offset, return_counts=True)
+            verbatim = begin[grams == len(item) - self.gram[k] + 1]
+            if len(verbatim):
+                best = (1.0, int(verbatim[0]), len(item))
+            else:
+                for lo, hi in self._windows(k, begin, len(ids)):
+                    if 2 * int(np.isin(item, ids[lo:hi]).sum()) >= self.threshold * most:  # no alignment scores more than its matches
+                        score, a, b = align(item, ids[lo:hi])
+                        if score / most > best[0]:
+                            best = (score / most, lo + a, b - a)
+            if best[0] >= self.threshold:
                 out.append((item_id, *best))
         return out
 
@@ -153,9 +162,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
     def one(items: list[tuple[int, str]]) -> DataFrame:
         def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds = Seeds(items)
+            seeds = Seeds(items, threshold)
             for b in batches:
-                found = [(d, *x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for x in seeds.leaks(t, threshold)]
+                found = [(d, *x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for x in seeds.leaks(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()])], names=["doc_id", "item_id", "score", "start_word", "n_words"])
 
         return rows.mapInArrow(work, PAIRS)
@@ -172,9 +181,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     for items in parts(benchmark):
 
         def work(batches: Iterable[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            seeds = Seeds(items)
+            seeds = Seeds(items, threshold)
             for b in batches:
-                yield b.filter(pa.array([not seeds.leaks(t or "", threshold) for t in b.column("text").to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not seeds.leaks(t or "") for t in b.column("text").to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(work, docs.schema)
     return docs

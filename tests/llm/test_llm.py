@@ -127,6 +127,37 @@ def test_op4_items_with_equal_endings(spark):
     assert {(i, i): 1.0 for i in range(len(items))}.items() <= got.items()
 
 
+def leaks_by_alignment(items, text):
+    """item_id and score of leaked items by Smith-Waterman over the whole text."""
+    number, out = {}, {}
+    doc = np.array([number.setdefault(w, len(number)) for w in text.split()])
+    for k, item in enumerate(items):
+        a = np.array([number.setdefault(w, len(number)) for w in item.split()])
+        score = decontaminate.align(a, doc)[0] / (2 * len(a))
+        if score >= decontaminate.THRESHOLD:
+            out[k] = score
+    return out
+
+
+def found_leaks(items, text):
+    return {k: score for k, score, _, _ in decontaminate.Seeds(list(enumerate(items))).leaks(text)}
+
+
+def test_op4_edited_short_and_templated_items():
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(400)]
+    noise = " ".join(rng.choice(words, 60))
+    short = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 9), ("b", 14), ("c", 20), ("d", 7), ("e", 4), ("f", 5))]
+    head, tail = (" ".join(f"{c}{i}" for i in range(8)) for c in "gh")
+    items = [*short, *(f"{head} name{k} {tail}" for k in range(12))]
+    for item in items:
+        w, every = item.split(), {len(item.split()) // 2}
+        for gone in (every, set(range(4, len(w), 5)), set(range(3, len(w), 4)), set(range(len(w) // 4))):
+            text = f"{noise} {' '.join('edit' if i in gone else x for i, x in enumerate(w))} {noise}"
+            assert found_leaks(items, text) == leaks_by_alignment(items, text)
+    assert {0, 5} <= {k for k in leaks_by_alignment(items, f"{noise} {short[0].replace('a4', 'edit')} {short[5]}")}
+
+
 def test_alignment_equals_full_table():
     rng = np.random.default_rng(4)
     for _ in range(20):
