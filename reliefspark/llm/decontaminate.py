@@ -112,11 +112,21 @@ class Seeds:
             for part in np.split(kept, np.flatnonzero(k[1:] != k[:-1]) + 1):
                 yield int(item[found[part[0]]]), p[part], offset[found[part]]
 
-    def _windows(self, k: int, begin: np.ndarray, words: int) -> Iterator[tuple[int, int]]:
-        """Parts of a document where hits fall on near diagonals."""
-        slack = int(self.size[k]) // 4 + 2
-        for near in np.split(begin, np.flatnonzero(np.diff(begin) > slack) + 1):
-            yield max(0, int(near[0]) - slack), min(words, int(near[-1] + self.size[k]) + slack)
+    def _windows(self, k: int, p: np.ndarray, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Parts of a document that hold every alignment from the threshold up whole."""
+        reach = int(self.reach[k])
+        ahead = np.searchsorted(p, p + reach)
+        dense = np.flatnonzero(ahead - np.arange(len(p)) >= self.need[k])
+        if not len(dense):
+            return
+        lo, hi = np.maximum(0, p[dense] + 1 - reach), np.minimum(len(ids), p[dense] + reach)
+        apart = np.flatnonzero(lo[1:] >= hi[:-1]) + 1
+        for i, j in zip([0, *apart.tolist()], [*apart.tolist(), len(dense)], strict=True):
+            a, b = int(lo[i]), int(hi[j - 1])
+            shared = np.concatenate(([0], np.cumsum(np.isin(ids[a:b], self.items[k][1]))))
+            span = min(reach, b - a)
+            if (shared[span:] - shared[: len(shared) - span]).max() >= self.threshold * self.size[k] - 1e-9:
+                yield a, b
 
     def leaks(self, text: str) -> list[tuple[int, float, int, int]]:
         """item_id, score, first word and words of the best window of each leaked item."""
@@ -131,7 +141,7 @@ class Seeds:
             if len(verbatim):
                 best = (1.0, int(verbatim[0]), len(item))
             else:
-                for lo, hi in self._windows(k, begin, len(ids)):
+                for lo, hi in self._windows(k, p, ids):
                     if 2 * int(np.isin(item, ids[lo:hi]).sum()) >= self.threshold * most:  # no alignment scores more than its matches
                         score, a, b = align(item, ids[lo:hi])
                         if score / most > best[0]:

@@ -158,6 +158,23 @@ def test_op4_edited_short_and_templated_items():
     assert {0, 5} <= {k for k in leaks_by_alignment(items, f"{noise} {short[0].replace('a4', 'edit')} {short[5]}")}
 
 
+def test_op4_copies_with_insertions():
+    rng = np.random.default_rng(12)
+    item = [f"a{i}" for i in range(40)]
+    noise = [f"n{i}" for i in range(100)]
+    for k in range(0, 36):
+        text = " ".join([*noise, *item[:20], *(f"x{i}" for i in range(k)), *item[20:], *noise])
+        assert found_leaks([" ".join(item)], text) == leaks_by_alignment([" ".join(item)], text)
+        assert bool(found_leaks([" ".join(item)], text)) == (k <= 32)
+    items = [" ".join(rng.choice([f"v{i}" for i in range(size)], n)) for n in (2, 5, 6, 9, 16, 30) for size in (6, 60)]
+    for item in items:
+        w = item.split()
+        for rate in (0.1, 0.3):
+            edited = [y for x in w for y in (["x", x], [x], ["x"], [])[min(3, int(rng.choice(4, p=[rate, 1 - 1.5 * rate, rate / 4, rate / 4])))]]
+            text = " ".join([*noise, *edited, *noise[:5], *rng.choice([f"v{i}" for i in range(6)], 30), *noise])
+            assert found_leaks(items, text) == leaks_by_alignment(items, text)
+
+
 def test_alignment_equals_full_table():
     rng = np.random.default_rng(4)
     for _ in range(20):
