@@ -15,7 +15,8 @@ cut lies six standard deviations below it.
 
 Empty, wordless and null texts have an empty set and are linked with nothing. Texts with
 fewer words than a shingle have their whole word sequence as one shingle. Rows of equal
-doc_id are documents of their own that happen to share an id. Other columns are ignored.
+doc_id are documents of their own that happen to share an id; `copy`, the text's hash, tells
+them apart, and of rows equal in both one is kept. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -108,7 +109,16 @@ class Sketcher:
         return int(np.ceil(z + 6 * np.sqrt(z * (1 - z / BITS))))
 
 
-SIGNATURES = "doc_id long, n_shingles long, sum1 long, sum2 long, bands array<long>"
+SIGNATURES = "doc_id long, copy long, n_shingles long, sum1 long, sum2 long, bands array<long>"
+
+
+def copy_of() -> Column:
+    """Hash of a text, which tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return C.texts_of(docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "copy": copy_of()}), "copy")
 
 
 def signatures(docs: DataFrame, size: int, bands: int) -> DataFrame:
@@ -124,9 +134,9 @@ def signatures(docs: DataFrame, size: int, bands: int) -> DataFrame:
                 keys.append(sketcher.band_keys(sketcher.samples(s)) if len(s) else np.zeros(0, np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], names=["doc_id", "n_shingles", "sum1", "sum2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists], names=["doc_id", "copy", "n_shingles", "sum1", "sum2", "bands"])
 
-    return C.texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).mapInArrow(work, SIGNATURES)
+    return keyed(docs).mapInArrow(work, SIGNATURES)
 
 
 class Links:
@@ -175,30 +185,31 @@ class Links:
 EDGES = "a long, b long"
 
 
-def links(docs: DataFrame, clusters: DataFrame, size: int, bands: int, percent: int) -> DataFrame:
-    """Confirmed links inside clusters (id, component), as edges that connect what they link."""
+def links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, size: int, bands: int, percent: int) -> DataFrame:
+    """Confirmed links inside clusters (id, component) of classes (node, doc_id, copy), as edges that connect what they link."""
     spark = docs.sparkSession
     counts = clusters.groupBy("component").agg(F.count("*").alias("members"))
     sides = F.ceil(F.col("members") / BLOCK).cast("int")
     small = max(1, -(-clusters.count() // BLOCK))  # tasks that small clusters share
-    placed = clusters.join(counts, "component").select(F.col("id").alias("doc_id"), "component", sides.alias("sides"))
+    placed = clusters.join(counts, "component").select(F.col("id").alias("node"), "component", sides.alias("sides"))
+    placed = placed.join(classes.select("node", "doc_id", "copy"), "node")
     # a merge join at every size: a broadcast of the clusters would grow with the documents
-    rows = C.texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).join(placed.hint("merge"), "doc_id")
+    rows = keyed(docs).join(placed.hint("merge"), ["doc_id", "copy"]).select("node", "text", "component", "sides")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher, hashes = Sketcher(bands), Words()
         for b in C.slices(batches, "text", 2 << 20):
             s = [shingles(t, size, hashes) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("component"), b.column("sides"), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([sketcher.odd_sketch(sketcher.samples(x)) for x in s], pa.binary())], names=["doc_id", "component", "sides", "members", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("component"), b.column("sides"), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([sketcher.odd_sketch(sketcher.samples(x)) for x in s], pa.binary())], names=["node", "component", "sides", "members", "sketch"])
 
-    made = rows.mapInArrow(sets, "doc_id long, component long, sides int, members binary, sketch binary")
-    side = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.col("sides")).cast("int")
+    made = rows.mapInArrow(sets, "node long, component long, sides int, members binary, sketch binary")
+    side = F.pmod(F.xxhash64("node", F.lit(9)), F.col("sides")).cast("int")
     made = made.withColumn("side", side)
     # a block meets every block of its cluster once, itself included
     other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
     made = made.withColumn("other", other).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
     task = F.when(F.col("sides") == 1, F.pmod(F.xxhash64("component"), F.lit(small))).otherwise(F.xxhash64("component", "i", "j"))
-    made = made.withColumn("task", task).select("task", "component", "i", "j", "side", "doc_id", "members", "sketch")
+    made = made.withColumn("task", task).select("task", "component", "i", "j", "side", "node", "members", "sketch")
     most = Sketcher(bands).most_apart(percent / 100)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,43 +225,67 @@ def links(docs: DataFrame, clusters: DataFrame, size: int, bands: int, percent:
 
         key = None
         for b in batches:
-            for c, i, j, s, d, m, k in zip(*(b.column(x).to_pylist() for x in ("component", "i", "j", "side", "doc_id", "members", "sketch")), strict=True):
+            for c, i, j, s, d, m, k in zip(*(b.column(x).to_pylist() for x in ("component", "i", "j", "side", "node", "members", "sketch")), strict=True):
                 if key != (c, i, j):
                     if held:
                         yield close()
                     key, held = (c, i, j), []
+                elif held[-1][3] == d:  # a repeated row
+                    continue
                 held.append((c, (i, j), s, d, m, k))
         if held:
             yield close()
 
-    dealt = made.repartition(max(C.partitions(spark), 1), "task").sortWithinPartitions("component", "i", "j", "doc_id")
+    dealt = made.repartition(max(C.partitions(spark), 1), "task").sortWithinPartitions("component", "i", "j", "node")
     return dealt.mapInArrow(work, EDGES)
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
-    spark = docs.sparkSession
-    C.short_batches(spark)
+def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, copy, n_shingles, component_id and chosen of every row; equal rows are chosen alike."""
+    C.short_batches(docs.sparkSession)
     bands = bands_for(percent / 100)
     signed = C.cut(signatures(docs, size, bands), "signatures")
     same = ["n_shingles", "sum1", "sum2"]
-    classes = C.cut(signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("first")), "classes")
-    firsts = signed.join(classes.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    posted = firsts.select("doc_id", F.explode("bands").alias("band"))
-    shared = posted.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("band", "least")
-    ties = posted.join(shared, "band").where("doc_id != least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")).distinct()
+    first = signed.where("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "copy")).alias("first"))
+    # written once, so the numbers stay
+    classes = C.cut(first.select(*same, "first.doc_id", "first.copy", F.monotonically_increasing_id().alias("node")), "classes")
+    firsts = signed.select("doc_id", "copy", "bands").join(classes.select("doc_id", "copy", "node"), ["doc_id", "copy"])
+    posted = firsts.select("node", F.explode("bands").alias("band"))
+    shared = posted.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
+    ties = posted.join(shared, "band").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     clusters = C.cut(components(ties), "clusters")
-    groups = components(links(docs, clusters, size, bands, percent))
-    named = signed.select("doc_id", *same).join(classes, same, "left")
-    out = named.join(groups.select(F.col("id").alias("first"), "component"), "first", "left")
-    found = F.coalesce("component", "first", "doc_id")
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), (F.col("doc_id") == found).alias("kept"))
+    groups = components(links(docs, clusters, classes, size, bands, percent)).withColumnRenamed("id", "node")
+    own = F.struct("doc_id", "copy")
+    tops = groups.join(classes, "node").groupBy("component").agg(F.min(own).alias("top"))
+    known = classes.join(groups.join(tops, "component").select("node", "top"), "node", "left").select(*same, F.coalesce("top", own).alias("top"))
+    named = signed.select("doc_id", "copy", *same).join(known, same, "left")
+    return named.select("doc_id", "copy", "n_shingles", F.coalesce("top.doc_id", "doc_id").alias("component_id"), F.coalesce(own == F.col("top"), F.lit(True)).alias("chosen"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    columns = ["doc_id", "copy", "n_shingles", "component_id", "chosen"]
+    counted = _judged(docs, size, percent).groupBy(*columns).agg(F.count("*").alias("n"))
+    rows = counted.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return rows.select("doc_id", "n_shingles", "component_id", (F.col("chosen") & ((F.col("i") == 1) | (F.col("n_shingles") == 0))).alias("kept"))
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns as they are, that are the first of their group."""
-    gone = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
+    """The documents, all columns as they are, that are the first of their group: one row of each."""
+    judged = C.cut(_judged(docs, size, percent).groupBy("doc_id", "copy").agg(F.min("n_shingles").alias("n_shingles"), F.min("chosen").alias("chosen"), F.count("*").alias("n")), "judged")
+    names = [F.col("doc_id").alias("__gone"), F.col("copy").alias("__twin")]
+    gone = judged.where("not chosen").select(*names)
+    twice = judged.where("chosen and n > 1 and n_shingles > 0").select(*names)
+
+    def of(marks: DataFrame) -> Column:
+        return (F.col("doc_id").cast("long") == marks["__gone"]) & (copy_of() == marks["__twin"])
+
+    left = docs.join(gone, of(gone), "left_anti")
+    if twice.isEmpty():
+        return left
+    equal = docs.join(twice, of(twice), "left_semi").withColumns({"__id": F.col("doc_id").cast("long"), "__copy": copy_of()})
+    nth = F.row_number().over(Window.partitionBy("__id", "__copy").orderBy("__id"))
+    return left.join(twice, of(twice), "left_anti").unionByName(equal.withColumn("__nth", nth).where("__nth = 1").select(docs.columns))
 
 
 def op9_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:

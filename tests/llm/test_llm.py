@@ -287,6 +287,17 @@ def test_op9_equals_brute_force(spark, monkeypatch):
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    given = [(3, a), (5, a), (5, b), (7, c), (7, c), (8, c.replace("c30", "edit")), (9, ""), (9, ""), (9, None)]
+    docs = spark.createDataFrame(given, "doc_id long, text string").withColumn("copy", F.lit("clash"))
+    rows = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()]
+    assert Counter(rows) == Counter([(3, 3, True), (5, 3, False), (5, 5, True), (7, 7, True), (7, 7, False), (8, 7, False), *[(9, 9, True)] * 3])
+    left = minhash.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(3, a), (5, b), (7, c), *given[6:]])
+
+
 def test_odd_sketches_estimate(spark):
     s = minhash.Sketcher(40)
     a = np.unique(np.random.default_rng(5).integers(0, 1 << 62, 1000).astype(np.uint64))
