@@ -2,16 +2,18 @@
 
 A shard file holds, little-endian throughout:
 
-    header   8 bytes magic, u32 bits, u32 ids a block, u64 position of the index
+    header   8 bytes magic, u32 bits, u32 ids a block, u64 zero
     blocks   the ids of a block, `bits` bits each, lowest bit first, padded to a byte
     index    u64 blocks, u64 documents, u64 ids, then u64 position of each block,
              i64 doc_id and u64 first id (within the shard) of each document
+    end      u64 position of the index
 
 Block positions make any id reachable by one seek and one shift; a block is
 unpacked by numpy at once. Shards hold ascending doc_id ranges, so that the
 documents of all shards, one after the other, are in ascending doc_id order.
 
-Null texts count as empty. Documents with equal doc_id stay apart and keep their
+Null texts count as empty; null doc_ids stand first, as the least number there is, and
+come back as null. Documents with equal doc_id stay apart and keep their
 own ids; their order among each other follows their text. Columns other than
 doc_id and text are ignored. No documents: no shards and no rows.
 """
@@ -213,7 +215,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Write the documents' ids as shard files in the shared folder and read them back."""
     spark = docs.sparkSession
     manifest = write_ids(docs, C.fresh_path(spark, "token-ids"), tokenizer_path, end_id).collect()
-    return read_ids(spark, manifest)
+    return C.given_ids(read_ids(spark, manifest))
 
 
 def op2_bit_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

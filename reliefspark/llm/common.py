@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words as the contracts define them: runs of anything but ASCII white space.
@@ -20,6 +20,10 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Rows in one Arrow batch; documents are long, so batches are short.
 BATCH_ROWS = 512
+#: Bytes in one Arrow batch, one row at least.
+BATCH_BYTES = 8 << 20
+#: Stands for a null doc_id inside operators, so that joins and arrays can hold it.
+NO_ID = -(1 << 63)
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -27,10 +31,13 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (spark.checkpoint.dir).
 
-    Only where the session names none (tests, local mode) a temporary one is set.
+    Only where the session names none in local mode (tests) a temporary one is set; on a
+    cluster executors would not see it, so its absence is an error there.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="reliefspark-")
         spark.sparkContext.setCheckpointDir(base)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -61,29 +68,49 @@ def _clean() -> None:
             return
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     """Write a DataFrame to the shared folder and read it again.
 
-    This cuts lineage: after an executor is lost, later steps read the files again.
+    This cuts lineage: after an executor is lost, later steps read the files again. The
+    files of `done`, which cut() gave and nothing will read any more, are removed.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in done:
+        if at := getattr(old, "_kept_at", None):
+            drop(spark, at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
 
 
-def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound Arrow batches by rows, since one row may hold a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def short_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by rows and bytes, since one row may hold a very long text.
+
+    The setting is read when a plan runs, so every operator sets the same values.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def texts_of(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text (null: empty) and named columns, whatever else the table has."""
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+def id_column() -> Column:
+    """doc_id as a long, NO_ID where it is null."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long"))
+
+
+def texts_of(docs: DataFrame, *more: str | Column) -> DataFrame:
+    """doc_id (null: NO_ID), text (null: empty) and further columns, whatever else the table has."""
+    return docs.select(id_column().alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def given_ids(df: DataFrame, *names: str) -> DataFrame:
+    """The rows with NO_ID turned back into null in doc_id and the named columns."""
+    return df.withColumns({n: F.when(F.col(n) != NO_ID, F.col(n)) for n in ("doc_id", *names)})
 
 
 def words_of(text: str) -> list[str]:
@@ -92,9 +119,10 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
 
-def held_out(modulus: int):
-    """Column: crc32 of doc_id as text is divisible by `modulus`."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 0
+def held_out(modulus: int) -> Column:
+    """crc32 of doc_id as text is divisible by `modulus`; from rows without an id nothing is learned."""
+    own = F.col("doc_id").cast("long")
+    return own.isNull() | (own == NO_ID) | (F.crc32(own.cast("string").cast("binary")) % modulus == 0)
 
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

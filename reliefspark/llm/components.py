@@ -36,5 +36,5 @@ def components(edges: DataFrame) -> DataFrame:
         if not now["n"] or mark == tuple(now):
             break
         mark = tuple(now)
-        edges = C.cut(_star(_star(edges, True), False), "edges")
+        edges = C.cut(_star(_star(edges, True), False), "edges", edges)
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -11,7 +11,7 @@ attention cost (sum of squared piece lengths), so that groups cost about the sam
 
 A task packs its own partition block by block, so nothing is shuffled and memory holds
 one block. Every id lies in exactly one piece. Null texts count as empty (their piece
-is the end id alone); repeated doc_ids are packed row by row; other columns are
+is the end id alone); repeated and null doc_ids are packed row by row; other columns are
 ignored; no documents give no rows.
 """
 
@@ -139,7 +139,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, tiers: tup
                 held = packer.waiting()
         yield from rows(packer, ids, state, True)
 
-    return C.texts_of(docs).mapInArrow(work, SCHEMA)
+    return C.given_ids(C.texts_of(docs).mapInArrow(work, SCHEMA))
 
 
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
