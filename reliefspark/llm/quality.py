@@ -6,7 +6,7 @@ them; the kept rules are compiled into one Spark column expression that scores a
 documents. Neither labels nor lang, source or doc_id enter a score.
 
 Null and empty texts have all statistics 0 and are scored like any other. Repeated
-doc_ids are scored row by row. Without two classes of labels the score is the share
+doc_ids are scored row by row, null ones too (nothing is learned from them). Without two classes of labels the score is the share
 of label 1 (0.5 without labels). Other columns are ignored.
 """
 
@@ -50,7 +50,7 @@ def statistics(text: str) -> tuple[float, ...]:
         float(np.log1p(m)), sum(map(len, words)) / m, float(max(map(len, words))), symbols, punctuation, digits, upper, letters, newlines,
         len(count) / m**0.75, max(count.values()) / m, 1 - len(pairs) / max(1, m - 1), 1 - len(set(lines)) / max(1, len(lines)), m / max(1, len(lines)),
         float(-(p * np.log2(p)).sum()), sum(not w[-1].isalnum() and w[-1] not in ".,;:!?" for w in words) / m, sum(w == "|" for w in words) / m, sum(w[0].isupper() for w in words) / m,
-        len(zlib.compress(data[:65536], 1)) / max(1, len(data[:65536])) if len(data) <= 65536 else np.mean([len(zlib.compress(data[i : i + 65536], 1)) / len(data[i : i + 65536]) for i in range(0, len(data), 65536)]),
+        len(zlib.compress(data, 1)) / len(data),
     )
 
 
@@ -64,7 +64,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             rows = np.array([statistics(t.as_py()) for t in b.column("text")], np.float64).reshape(b.num_rows, len(STATS))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(rows[:, i]) for i in range(len(STATS)))], names=names)
 
-    return C.texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).mapInArrow(work, ", ".join(["doc_id long", *(f"{s} double" for s in STATS)]))
+    return C.texts_of(docs).mapInArrow(work, ", ".join(["doc_id long", *(f"{s} double" for s in STATS)]))
 
 
 def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, n_bins: int = 48, penalty: float = 0.0008, seed: int = 5) -> tuple[list[tuple[list[tuple[int, float, bool]], float]], float]:
@@ -111,7 +111,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     x = np.stack([rows[s].to_numpy() for s in STATS], 1) if rows.num_rows else np.zeros((0, len(STATS)))
     score = compile_rules(*fit_rules(x, rows["y"].to_numpy()))
     out = stats.select("doc_id", C.held_out(5).alias("held_out"), score.alias("score"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return C.given_ids(out.withColumn("predicted", (F.col("score") >= threshold).cast("int")))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
