@@ -9,8 +9,8 @@ classifier is trained on the posterior labels and scores whole texts.
 
 Labels choose the lexicon and the class balance only, on a bounded sample of training
 rows. Neither labels nor lang, source or doc_id enter a score. Null and empty texts
-cast no lexicon vote and are scored like any other. Repeated doc_ids are scored row by
-row. With no toxic label to learn from every score is 0.
+cast no lexicon vote and are scored like any other. Repeated and null doc_ids are scored
+row by row (nothing is learned from null ones). With no toxic label to learn from every score is 0.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import learn
 
-#: Lexicon voters, at most, and the lengths of word beginnings that may be entries.
+#: Lexicon voters, at most (a parameter of the model's size), and the lengths of word beginnings that may be entries.
 LEXICON, STEMS = 400, (3, 4, 5, 6, 7, 8)
 #: Chance, at most, that a term without meaning becomes an entry, over all terms of the sample.
 CHANCE = 1e-2
@@ -102,7 +102,7 @@ def mine_lexicon(sample: DataFrame, most: int = LEXICON) -> list[str]:
     toxic = sample.where("y = 1").mapInArrow(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"))
     # of so many terms one is found in `least` toxic documents alone by chance no more often than CHANCE
     least = max(4, int(np.ceil(np.log(max(1, toxic.count()) / CHANCE) / -np.log(min(share, 0.9)))))
-    kept = {r["term"]: r["bad"] for r in toxic.where(F.col("bad") >= least).orderBy(F.desc("bad"), "term").limit(50_000).collect()}
+    kept = {r["term"]: r["bad"] for r in toxic.where(F.col("bad") >= least).collect()}  # terms of the bounded sample
 
     def clean(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
@@ -228,8 +228,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
         for b in C.slices(batches, "text", 4 << 20):
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.scores(b.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    scored = C.texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).mapInArrow(work, "doc_id long, score double")
-    return scored.select("doc_id", C.held_out(5).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = C.texts_of(docs).mapInArrow(work, "doc_id long, score double")
+    return C.given_ids(scored.select("doc_id", C.held_out(5).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
