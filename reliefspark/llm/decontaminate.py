@@ -4,13 +4,15 @@ An alignment of words (match 2, mismatch -1, gap -1) scores against a perfect co
 item's n words; pairs from the threshold t up are leaks. With m <= n matches and e errors
 2m - e >= 2tn holds, so the matches form at most e + 1 unbroken runs and hold at least
 m - e - 1 >= (2t - 1)n - 1 of the item's pairs of neighbouring words. Items for which that is
-less than one are known by their single words, of which at least tn match. Every pair (or
-word) of every item is looked up in whole documents, shared or not; an item with enough
-different ones of them is aligned around these hits.
+less than one are known by their single words, of which at least tn match. So of an item's
+g grams any g - need + 1 hold one that a leak must show: the rarest ones, by their number in
+the benchmark, are its seeds. Documents are joined with items on seeds; an item with enough
+different grams in the document is then aligned around their hits. Longer rare n-grams would
+lose edited, short and templated items, which these seeds can't.
 
 The benchmark goes to tasks in parts of bounded size, one pass over the documents for
 each part; items are never cut. Null or wordless texts on either side match nothing.
-Repeated doc_ids or item_ids give a pair for each row; other columns are ignored.
+Repeated or null doc_ids or item_ids give a pair for each row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,15 +38,13 @@ PAIRS = "doc_id long, item_id long, score double, start_word int, n_words int"
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman over word numbers: best score and the range of b it covers."""
     n, m = len(a), len(b)
-    same = a[:, None] == b[None, :]
-    gain = np.where(same, 2, -1)
     # cells of one antidiagonal depend on the two before it only
     before, last, best = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32), (0, 0, 0)
     begin_before, begin_last = np.full(n + 1, -1), np.full(n + 1, -1)
     for d in range(2, n + m + 1):
         i = np.arange(max(1, d - m), min(n, d - 1) + 1)
         j = d - i
-        diagonal, up, left = before[i - 1] + gain[i - 1, j - 1], last[i - 1] - 1, last[i] - 1
+        diagonal, up, left = before[i - 1] + np.where(a[i - 1] == b[j - 1], 2, -1), last[i - 1] - 1, last[i] - 1
         score = np.maximum(np.maximum(diagonal, 0), np.maximum(up, left))
         from_diagonal = np.where(before[i - 1] > 0, begin_before[i - 1], j - 1)
         begin = np.where(score == diagonal, from_diagonal, np.where(score == up, begin_last[i - 1], begin_last[i]))
@@ -88,14 +88,23 @@ class Seeds:
                 item, offset = np.repeat(which, grams), C.ragged(np.zeros(len(which), np.int64), grams)
                 by = np.argsort(key, kind="stable")
                 keys, first, count = np.unique(key[by], return_index=True, return_counts=True)
-                self.tables.append((n, keys, first, count, item[by], offset[by]))
+                self.tables.append((n, keys, first, count, item[by], offset[by], np.unique(key[self._rare(item, np.repeat(count, count)[np.argsort(by)])])))
+
+    def _rare(self, item: np.ndarray, often: np.ndarray) -> np.ndarray:
+        """Places of the rarest grams of each item, so many that every leak shows one."""
+        by = np.lexsort((often, item))
+        begin = np.searchsorted(item[by], item[by])
+        grams = np.bincount(item, minlength=len(self.items))
+        return by[np.arange(len(by)) - begin < (grams - self.need + 1)[item[by]]]
 
     def hits(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Items with enough different grams in a document: their number, and place and offset of each hit."""
-        for n, keys, first, count, item, offset in self.tables:
+        for n, keys, first, count, item, offset, seeds in self.tables:
             if len(ids) < n:
                 continue
             key = _keys(ids, n)
+            if not (seeds[np.minimum(np.searchsorted(seeds, key), len(seeds) - 1)] == key).any():
+                continue
             place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             at = np.flatnonzero(keys[place] == key)
             place = place[at]
@@ -168,13 +177,13 @@ def parts(benchmark: DataFrame, most: int = PART_CHARS) -> Iterator[list[tuple[i
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, start_word and n_words of every leaked pair."""
     C.short_batches(docs.sparkSession)
-    rows = C.texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
+    rows = C.texts_of(docs)
 
     def one(items: list[tuple[int, str]]) -> DataFrame:
         def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seeds = Seeds(items, threshold)
             for b in batches:
-                found = [(d, *x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for x in seeds.leaks(t)]
+                found = [(None if d == C.NO_ID else d, *x) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) for x in seeds.leaks(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()])], names=["doc_id", "item_id", "score", "start_word", "n_words"])
 
         return rows.mapInArrow(work, PAIRS)
