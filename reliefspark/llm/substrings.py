@@ -12,27 +12,31 @@ at equal places. Consecutive windows of one anchor form a run.
    several different runs ask for the runs' bytes.
 3. Around each such anchor the runs' right and (reversed) left contexts are suffix-
    sorted by hash comparison with byte verification; common extensions to both sides tell
-   which windows are equal, and all but the earliest of them are repeats. Anchors with
-   more than CROWD runs (the edges of a passage that very many texts share) are compared
-   window by window through aggregation instead, which no single task has to hold.
+   which windows are equal, and all but the earliest of them are repeats. Runs of anchors
+   with more than CROWD of them (the edges of a passage that very many texts share) are
+   first split by the bytes around the anchor, so that no task has to hold them all.
 4. Repeats of a document are united and cut out.
 
-Equal runs of step 2 are known by two independent 64-bit hashes. Null texts are empty;
+Equal runs of steps 1 and 2 are known by two independent 64-bit hashes, of the anchor and of
+the run; their bytes are not compared, since sending all repeated bytes would not fit the
+disk budget. Everything that step 3 finds is verified byte by byte. Null texts are empty;
 texts below SPAN bytes lose nothing. Rows of equal doc_id and text are one document given
 several times: they are no repeats of each other and are cut alike. Rows of equal doc_id
 and different texts are documents of their own, in the order of their texts' hashes
-(`copy`). Lone surrogates can't occur in UTF-8 input. Other columns are ignored.
+(`copy`). A null doc_id is an id like any other, the least there is. Lone surrogates can't occur in UTF-8 input. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import common as C
 from .suffixes import BASE, INVERSE, Suffixes, powers
@@ -297,30 +301,52 @@ def compare_runs(read: DataFrame, hold: int = 20_000) -> DataFrame:
     return dealt.mapInArrow(work, RANGES)
 
 
-def compare_crowded(read: DataFrame) -> DataFrame:
-    """Step 3 for crowded anchors: the earliest of equal windows by aggregation."""
+#: Bytes before a window's anchor from which a part of a crowded anchor's windows begins: few windows where contexts part.
+_STEPS = (0, 1, 2, 4, 8, 16, 32, 45, 61, 69, 73, 75, 76, REACH)
+
+
+def split_crowds(read: DataFrame) -> DataFrame:
+    """Runs of crowded anchors in parts by their windows' place and surroundings.
+
+    A part holds the windows that have between two of _STEPS bytes before the anchor. All of
+    its windows hold the same bytes next to the anchor, so parts meet by these instead of by
+    the anchor alone: equal windows still meet, and what shares one side only is dealt out.
+    """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, doc, copy, start = [], [], [], []
-            for d, c, p, x in zip(*(b.column(n).to_pylist() for n in ("doc_id", "copy", "place", "bytes")), strict=True):
-                for i in range(len(x) - SPAN + 1):
-                    key.append(hashlib.blake2b(x[i : i + SPAN], digest_size=16).digest())
-                    doc.append(d)
-                    copy.append(c)
-                    start.append((p >> 14) + i)
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(doc, pa.int64()), pa.array(copy, pa.int64()), pa.array(start, pa.int64())], names=["window", "doc_id", "copy", "start"])
-
-    windows = read.mapInArrow(work, "window binary, doc_id long, copy long, start long")
-    # the two paths read the same files; the earliest window is found with map-side aggregation
-    least = windows.groupBy("window").agg(F.min(F.struct("doc_id", "copy", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").select("window", "least")
-    again = windows.join(least, "window").where(F.struct("doc_id", "copy", "start") != F.col("least"))
-    return again.select("doc_id", "copy", F.col("start").alias("low"), (F.col("start") + SPAN).alias("high"))
+            out: list[list] = [[], [], [], [], []]
+            for a, d, c, p, x in zip(*(b.column(n).to_pylist() for n in ("anchor", "doc_id", "copy", "place", "bytes")), strict=True):
+                start, windows, left = p >> 14, p >> 7 & 127, p & 127
+                for least, end in zip(_STEPS, _STEPS[1:], strict=False):
+                    # window w of the run has left - w bytes before the anchor
+                    first, last = max(0, left - end + 1), min(windows - 1, left - least)
+                    if first > last:
+                        continue
+                    shared = x[left - least : left + SPAN - end + 1]
+                    key = int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=struct.pack("<qq", a, least)).digest(), "little", signed=True)
+                    for o, v in zip(out, (key, d, c, (start + first) << 14 | (last - first + 1) << 7 | (left - first), x[first : last + SPAN]), strict=True):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, [pa.int64()] * 4 + [pa.binary()], strict=True)], names=["anchor", "doc_id", "copy", "place", "bytes"])
+
+    return read.mapInArrow(work, RUNS)
+
+
+def compare_crowded(read: DataFrame) -> DataFrame:
+    """Step 3 for crowded anchors: equal parts by their bytes, through aggregation, then the same suffix sort on the rest."""
+    same = ["anchor", "bytes", "windows", "left"]
+    parts = C.cut(split_crowds(read), "crowded-parts").withColumns({"windows": F.shiftright("place", 7).bitwiseAND(127), "left": F.col("place").bitwiseAND(127)})
+    own = F.struct("doc_id", "copy", "place")
+    least = parts.groupBy(*same).agg(F.min(own).alias("least"), F.count("*").alias("n"))
+    again = parts.join(least.where("n > 1").select(*same, "least"), same).where(own != F.col("least"))
+    start = F.shiftright("place", 14)
+    whole = again.select("doc_id", "copy", start.alias("low"), (start + F.col("windows") + SPAN - 1).alias("high"))
+    return whole.unionByName(compare_runs(least.select("anchor", "least.*", "bytes")))
 
 
 def copy_of(docs: DataFrame) -> Column:
     """What tells rows of one doc_id with different texts apart: 0 where no doc_id is repeated."""
-    once = docs.groupBy(F.col("doc_id").cast("long")).count().where(F.col("count") > 1).isEmpty()
+    once = docs.groupBy(C.id_column().alias("id")).count().where(F.col("count") > 1).isEmpty()
     return F.lit(0).cast("long") if once else F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
@@ -359,7 +385,7 @@ def _kept(data: bytes, cuts: list[tuple[int, int]]) -> bytes:
 def with_cuts(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     """doc_id, copy, text and cuts (array of low, high) of every document."""
     C.short_batches(docs.sparkSession)
-    rows = C.texts_of(docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "copy": copy_of(docs)}), "copy")
+    rows = C.texts_of(docs, copy_of(docs).alias("copy"))
     by = repeats(rows, crowd).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("low", "high")).alias("cuts"))
     return rows.join(by, ["doc_id", "copy"], "left")
 
@@ -378,7 +404,7 @@ def removed_substrings(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
                     x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 4 + [pa.string()], strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_cuts(docs, crowd).mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return C.given_ids(with_cuts(docs, crowd).mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def without_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -388,23 +414,22 @@ def without_repeats(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     byte stays with an empty text; a null text stays null.
     """
     C.short_batches(docs.sparkSession)
-    copy = copy_of(docs)
-    rows = C.texts_of(docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "copy": copy}), "copy")
-    marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__copy": copy})
-    by = repeats(rows, crowd).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("low", "high")).alias("__cuts"))
-    joined = marked.join(by.select(F.col("doc_id").alias("__id"), F.col("copy").alias("__copy"), "__cuts"), ["__id", "__copy"], "left")
-    columns = docs.columns
+    copy, inner = copy_of(docs), [f.name for f in docs.schema if f.name.lower() == "text"][0]
+    by = repeats(C.texts_of(docs, copy.alias("copy")), crowd).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("low", "high")).alias("cuts"))
+    # the table's own columns travel in one, so that none can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"), C.id_column().alias("doc_id"), copy.alias("copy"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = []
-            for t, c in zip(b.column("text").to_pylist(), b.column("__cuts").to_pylist(), strict=True):
+            for t, c in zip(b.column("text").to_pylist(), b.column("cuts").to_pylist(), strict=True):
                 data = (t or "").encode("utf-8", "surrogatepass")
                 text.append(t if t is None or not c else _kept(data, _cuts(c, len(data))).decode("utf-8", "ignore"))
-            at = b.schema.get_field_index("text")
-            yield b.set_column(at, b.schema.field(at), pa.array(text, b.schema.field(at).type)).select(columns)
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(text, pa.string())], names=["row", "text"])
 
-    return joined.mapInArrow(work, docs.schema)
+    joined = rows.join(by, ["doc_id", "copy"], "left").select("row", "text", "cuts")
+    cut = joined.mapInArrow(work, StructType([StructField("row", docs.schema), StructField("text", StringType())]))
+    return cut.select(*[F.col("text").alias(inner) if c == inner else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
