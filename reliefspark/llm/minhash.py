@@ -1,7 +1,7 @@
 """Near duplicates: MinHash bands, odd sketches, then full shingle sets.
 
 A text's set holds its distinct word shingles. Documents of equal sets form a class,
-found by a 128-bit sum over the set, and one of each class goes on. MinHash samples are
+found by a 128-bit sum over the set and confirmed on the sets, and one of each class goes on. MinHash samples are
 cut into bands; documents that share a band are candidates. Every band bucket is tied
 to its least document only, so candidates are never written out as pairs; components of
 these ties are the clusters within which links can lie. Inside a cluster pairs that are
@@ -16,7 +16,8 @@ cut lies six standard deviations below it.
 Empty, wordless and null texts have an empty set and are linked with nothing. Texts with
 fewer words than a shingle have their whole word sequence as one shingle. Rows of equal
 doc_id are documents of their own that happen to share an id; `copy`, the text's hash, tells
-them apart, and of rows equal in both one is kept. Other columns are ignored.
+them apart, and of rows equal in both one is kept. A null doc_id is an id like any other,
+the least there is. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ from . import common as C
 from .components import components
 
 ROWS, MISS, BITS = 5, 1e-7, 512
-#: Documents of a cluster that one side of a comparison holds.
-BLOCK = 2048
+#: Documents of a cluster, and numbers of their sets, that one side of a comparison holds.
+BLOCK, BLOCK_SHINGLES = 2048, 4 << 20
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD))
 
 
@@ -118,7 +119,7 @@ def copy_of() -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return C.texts_of(docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "copy": copy_of()}), "copy")
+    return C.texts_of(docs, copy_of().alias("copy"))
 
 
 def signatures(docs: DataFrame, size: int, bands: int) -> DataFrame:
@@ -185,31 +186,57 @@ class Links:
 EDGES = "a long, b long"
 
 
-def links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, size: int, bands: int, percent: int) -> DataFrame:
-    """Confirmed links inside clusters (id, component) of classes (node, doc_id, copy), as edges that connect what they link."""
+def _placed(clusters: DataFrame, classes: DataFrame, members: DataFrame) -> DataFrame:
+    """Where the set of a row (doc_id, copy) is needed: component, sides, turn, node.
+
+    Representatives of classes meet those of their cluster (component from 0 up). Every row
+    of a class with several meets the class's first row (turn 0; component below 0). Sides
+    are so many that none holds much more than BLOCK documents or BLOCK_SHINGLES numbers.
+    """
+
+    def sides(rows: DataFrame, by: str) -> DataFrame:
+        size = F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+        return rows.groupBy(by).agg(F.greatest(F.ceil(size), F.lit(1)).cast("int").alias("sides"))
+
+    inside = clusters.join(classes.select(F.col("node").alias("id"), "doc_id", "copy", "n_shingles"), "id")
+    links = inside.join(sides(inside, "component"), "component").select("doc_id", "copy", "component", "sides", F.lit(1).alias("turn"), F.col("id").alias("node"))
+    same = members.join(sides(members, "node"), "node").select("doc_id", "copy", (-1 - F.col("node")).alias("component"), "sides", F.when(F.col("first"), 0).otherwise(1).alias("turn"), "node")
+    return links.unionByName(same)
+
+
+def links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, members: DataFrame, size: int, bands: int, percent: int) -> DataFrame:
+    """Confirmed links inside clusters (id, component) of classes, as edges that connect what they link.
+
+    Rows of one class are confirmed on their full sets too: two different sets of one class
+    would be a collision of its 128-bit sum, which ends the job.
+    """
     spark = docs.sparkSession
-    counts = clusters.groupBy("component").agg(F.count("*").alias("members"))
-    sides = F.ceil(F.col("members") / BLOCK).cast("int")
-    small = max(1, -(-clusters.count() // BLOCK))  # tasks that small clusters share
-    placed = clusters.join(counts, "component").select(F.col("id").alias("node"), "component", sides.alias("sides"))
-    placed = placed.join(classes.select("node", "doc_id", "copy"), "node")
+    placed = _placed(clusters, classes, members)
+    few = max(1, -(-(clusters.count() + members.count()) // BLOCK))  # tasks that small groups share
+    roles = placed.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("component", "sides", "turn", "node")).alias("roles"))  # two at most
     # a merge join at every size: a broadcast of the clusters would grow with the documents
-    rows = keyed(docs).join(placed.hint("merge"), ["doc_id", "copy"]).select("node", "text", "component", "sides")
+    rows = keyed(docs).join(roles.hint("merge"), ["doc_id", "copy"]).select("doc_id", "copy", "text", "roles")
 
     def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher, hashes = Sketcher(bands), Words()
         for b in C.slices(batches, "text", 2 << 20):
             s = [shingles(t, size, hashes) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("component"), b.column("sides"), pa.array([x.tobytes() for x in s], pa.binary()), pa.array([sketcher.odd_sketch(sketcher.samples(x)) for x in s], pa.binary())], names=["node", "component", "sides", "members", "sketch"])
-
-    made = rows.mapInArrow(sets, "node long, component long, sides int, members binary, sketch binary")
-    side = F.pmod(F.xxhash64("node", F.lit(9)), F.col("sides")).cast("int")
-    made = made.withColumn("side", side)
-    # a block meets every block of its cluster once, itself included
-    other = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
-    made = made.withColumn("other", other).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
-    task = F.when(F.col("sides") == 1, F.pmod(F.xxhash64("component"), F.lit(small))).otherwise(F.xxhash64("component", "i", "j"))
-    made = made.withColumn("task", task).select("task", "component", "i", "j", "side", "node", "members", "sketch")
+            compared = [any(r["component"] >= 0 for r in x) for x in b.column("roles").to_pylist()]
+            sketch = [sketcher.odd_sketch(sketcher.samples(x)) if c else b"" for x, c in zip(s, compared, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("copy"), b.column("roles"), pa.array([x.tobytes() for x in s], pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "copy", "roles", "members", "sketch"])
+
+    role = "struct<component:bigint,sides:int,turn:int,node:bigint>"
+    made = rows.mapInArrow(sets, f"doc_id long, copy long, roles array<{role}>, members binary, sketch binary")
+    made = made.select("doc_id", "copy", F.explode("roles").alias("r"), "members", "sketch").select("doc_id", "copy", "r.*", "members", "sketch")
+    made = made.withColumn("side", F.pmod(F.xxhash64("doc_id", "copy", F.lit(9)), F.col("sides")).cast("int"))
+    # a block meets every block of its cluster once, itself included; a class's first row goes to all sides, another to its own
+    every = F.sequence(F.lit(0), F.col("sides") - 1)
+    own = F.col("component") < 0
+    other = F.explode(F.when(own & (F.col("turn") == 1), F.array("side")).otherwise(every))
+    made = made.withColumn("other", other)
+    made = made.withColumn("i", F.when(own, F.col("other")).otherwise(F.least("side", "other"))).withColumn("j", F.when(own, F.col("other")).otherwise(F.greatest("side", "other")))
+    task = F.when(F.col("sides") == 1, F.pmod(F.xxhash64("component"), F.lit(few))).otherwise(F.xxhash64("component", "i", "j"))
+    made = made.withColumn("task", task).select("task", "component", "i", "j", "turn", "side", "node", "doc_id", "copy", "members", "sketch")
     most = Sketcher(bands).most_apart(percent / 100)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,20 +250,26 @@ def links(docs: DataFrame, clusters: DataFrame, classes: DataFrame, size: int, b
             edges = found.run(np.flatnonzero(side == i), np.flatnonzero(side == j)) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        key = None
+        key, seen, first = None, None, None
         for b in batches:
-            for c, i, j, s, d, m, k in zip(*(b.column(x).to_pylist() for x in ("component", "i", "j", "side", "node", "members", "sketch")), strict=True):
+            for c, i, j, s, turn, d, doc, copy, m, k in zip(*(b.column(x).to_pylist() for x in ("component", "i", "j", "side", "turn", "node", "doc_id", "copy", "members", "sketch")), strict=True):
                 if key != (c, i, j):
                     if held:
                         yield close()
-                    key, held = (c, i, j), []
-                elif held[-1][3] == d:  # a repeated row
+                    key, seen, first, held = (c, i, j), None, None, []
+                if seen == (doc, copy):  # a repeated row
                     continue
-                held.append((c, (i, j), s, d, m, k))
+                seen = (doc, copy)
+                if c >= 0:
+                    held.append((c, (i, j), s, d, m, k))
+                elif turn == 0:
+                    first = m
+                elif first is not None and first != m:
+                    raise ValueError(f"documents of one 128-bit sum differ in their shingles, such as {doc}")
         if held:
             yield close()
 
-    dealt = made.repartition(max(C.partitions(spark), 1), "task").sortWithinPartitions("component", "i", "j", "node")
+    dealt = made.repartition(max(C.partitions(spark), 1), "task").sortWithinPartitions("component", "i", "j", "turn", "node", "doc_id", "copy")
     return dealt.mapInArrow(work, EDGES)
 
 
@@ -245,21 +278,25 @@ def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
     C.short_batches(docs.sparkSession)
     bands = bands_for(percent / 100)
     signed = C.cut(signatures(docs, size, bands), "signatures")
-    same = ["n_shingles", "sum1", "sum2"]
-    first = signed.where("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "copy")).alias("first"))
+    same, own = ["n_shingles", "sum1", "sum2"], F.struct("doc_id", "copy")
+    filled = signed.where("n_shingles > 0")
+    first = filled.groupBy(*same).agg(F.min(own).alias("first"), F.max(own).alias("last"))
     # written once, so the numbers stay
-    classes = C.cut(first.select(*same, "first.doc_id", "first.copy", F.monotonically_increasing_id().alias("node")), "classes")
-    firsts = signed.select("doc_id", "copy", "bands").join(classes.select("doc_id", "copy", "node"), ["doc_id", "copy"])
+    classes = C.cut(first.select(*same, "first.doc_id", "first.copy", (F.col("first") != F.col("last")).alias("several"), F.monotonically_increasing_id().alias("node")), "classes")
+    members = filled.select("doc_id", "copy", *same).join(classes.where("several").select(*same, "node", F.struct("doc_id", "copy").alias("top")), same)
+    members = C.cut(members.select("doc_id", "copy", "node", "n_shingles", (own == F.col("top")).alias("first")).distinct(), "class-members")
+    firsts = filled.select("doc_id", "copy", "bands").join(classes.select("doc_id", "copy", "node"), ["doc_id", "copy"])
     posted = firsts.select("node", F.explode("bands").alias("band"))
     shared = posted.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
     ties = posted.join(shared, "band").where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     clusters = C.cut(components(ties), "clusters")
-    groups = components(links(docs, clusters, classes, size, bands, percent)).withColumnRenamed("id", "node")
-    own = F.struct("doc_id", "copy")
+    groups = components(links(docs, clusters, classes, members, size, bands, percent)).withColumnRenamed("id", "node")
     tops = groups.join(classes, "node").groupBy("component").agg(F.min(own).alias("top"))
     known = classes.join(groups.join(tops, "component").select("node", "top"), "node", "left").select(*same, F.coalesce("top", own).alias("top"))
-    named = signed.select("doc_id", "copy", *same).join(known, same, "left")
-    return named.select("doc_id", "copy", "n_shingles", F.coalesce("top.doc_id", "doc_id").alias("component_id"), F.coalesce(own == F.col("top"), F.lit(True)).alias("chosen"))
+    named = filled.select("doc_id", "copy", *same).join(known, same)
+    judged = named.select("doc_id", "copy", "n_shingles", F.col("top.doc_id").alias("component_id"), (own == F.col("top")).alias("chosen"))
+    # empty sets are linked with nothing and meet in no join
+    return judged.unionByName(signed.where("n_shingles = 0").select("doc_id", "copy", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("chosen")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -267,25 +304,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     columns = ["doc_id", "copy", "n_shingles", "component_id", "chosen"]
     counted = _judged(docs, size, percent).groupBy(*columns).agg(F.count("*").alias("n"))
     rows = counted.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    return rows.select("doc_id", "n_shingles", "component_id", (F.col("chosen") & ((F.col("i") == 1) | (F.col("n_shingles") == 0))).alias("kept"))
+    kept = F.col("chosen") & ((F.col("i") == 1) | (F.col("n_shingles") == 0))
+    return C.given_ids(rows.select("doc_id", "n_shingles", "component_id", kept.alias("kept")), "component_id")
 
 
 def without_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns as they are, that are the first of their group: one row of each."""
     judged = C.cut(_judged(docs, size, percent).groupBy("doc_id", "copy").agg(F.min("n_shingles").alias("n_shingles"), F.min("chosen").alias("chosen"), F.count("*").alias("n")), "judged")
-    names = [F.col("doc_id").alias("__gone"), F.col("copy").alias("__twin")]
-    gone = judged.where("not chosen").select(*names)
-    twice = judged.where("chosen and n > 1 and n_shingles > 0").select(*names)
-
-    def of(marks: DataFrame) -> Column:
-        return (F.col("doc_id").cast("long") == marks["__gone"]) & (copy_of() == marks["__twin"])
-
-    left = docs.join(gone, of(gone), "left_anti")
-    if twice.isEmpty():
-        return left
-    equal = docs.join(twice, of(twice), "left_semi").withColumns({"__id": F.col("doc_id").cast("long"), "__copy": copy_of()})
-    nth = F.row_number().over(Window.partitionBy("__id", "__copy").orderBy("__id"))
-    return left.join(twice, of(twice), "left_anti").unionByName(equal.withColumn("__nth", nth).where("__nth = 1").select(docs.columns))
+    # the table's own columns travel in one, so that none can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), C.id_column().alias("doc_id"), copy_of().alias("copy"))
+    left = rows.join(judged.where("not chosen"), ["doc_id", "copy"], "left_anti")
+    twice = judged.where("chosen and n > 1 and n_shingles > 0")
+    if not twice.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("doc_id", "copy").orderBy("doc_id"))
+        equal = left.join(twice, ["doc_id", "copy"], "left_semi").withColumn("nth", nth).where("nth = 1").drop("nth")
+        left = left.join(twice, ["doc_id", "copy"], "left_anti").unionByName(equal)
+    return left.select("row.*")
 
 
 def op9_minhash_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
