@@ -6,36 +6,39 @@ ending. Latent states emit classes; a class emits its tokens by their smoothed c
 whatever the state, so the probability of a text is the forward probability of its
 class sequence times its tokens' shares of their classes.
 
-Counts cover all training documents. Documents are dealt to groups of bounded size; a
-group sends each distinct token once, with its count, to the token's bucket, and gets
-back the global counts of its own tokens. Baum-Welch starts from a model fitted on a
-bounded sample and then runs over the whole training set: each task adds up the
-expected counts of its documents, and these sums add up across tasks. The scaled
-forward recursion then gives each text's exact likelihood.
+Counts cover all training documents. Each task numbers the tokens of its documents group
+by group; groups' counts are added up by token and come back to the groups, so texts are
+read once and never shuffled. Baum-Welch starts from a clustering of a bounded sample and
+runs over the whole training set until the likelihood settles: each task adds up the
+expected counts of its documents, and these sums add up across tasks. The scaled forward
+recursion then gives each text's exact likelihood.
 
 Null texts count as empty (one end token). Repeated doc_ids are scored row by row, and
-all count in training. Without training documents counts are 0 and only smoothing is
-left. Other columns are ignored.
+all count in training; rows without a doc_id are held out. Without training documents
+counts are 0 and only smoothing is left. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-STATES, OWN, ENDINGS = 6, 1000, 1021
-#: Training documents, at most, that the starting point of Baum-Welch is fitted on.
-START_SAMPLE = 1500
-#: Compressed or not, about so many characters of text go to one group.
-GROUP_CHARS = 12 << 20
+STATES, ENDINGS = 6, 1021
+#: Tokens with a class of their own: one in OWN_SHARE of the distinct ones, within bounds.
+OWN_SHARE, OWN = 64, (1000, 4096)
+#: Training documents, at most, that the starting point of Baum-Welch is found on, and tokens of one of them.
+START_SAMPLE, START_TOKENS = 1500, 10_000
+#: Rounds of Baum-Welch over the corpus, at most, and the gain in log10 likelihood a token below which it has settled.
+ROUNDS, SETTLED = 4, 2e-3
+#: Characters, rows and distinct tokens beyond which a group of documents ends.
+GROUP_CHARS, GROUP_ROWS, GROUP_TOKENS = 12 << 20, 50_000, 60_000
 #: The end token: no word, since words hold no white space.
 END = "\n"
 ADD = 0.1
@@ -47,132 +50,103 @@ def tokens(text: str) -> list[str]:
     return out
 
 
-def ending(token: str) -> int:
-    return zlib.crc32(token[-3:].encode("utf-8", "replace")) % ENDINGS
+class Vocabulary(dict):
+    """Numbers of the distinct tokens of a group, in order of first sight."""
 
+    def __missing__(self, token: str) -> int:
+        self[token] = n = len(self)
+        return n
 
-def _grouped(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Documents with a group number that depends on their content alone."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    groups = max(1, -(-chars // GROUP_CHARS))
-    rows = C.texts_of(docs.withColumn("doc_id", F.col("doc_id").cast("long")))
-    return rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")), groups
 
+_CODED = "kind int, grp long, doc_id long, held_out boolean, ids binary, at int, token string, n long"
 
-def _packed(words: list[str]) -> bytes:
-    return zlib.compress(" ".join(words).encode("utf-8", "surrogatepass"), 1)
 
+def coded(rows: DataFrame) -> DataFrame:
+    """Documents as numbers of their group's tokens (kind 0), and each group's tokens with training counts (kind 1).
 
-def _unpacked(data: bytes) -> list[str]:
-    text = zlib.decompress(data).decode("utf-8", "surrogatepass")
-    return text.split(" ") if text else []
+    A group is a stretch of a task's rows, bounded by characters, rows and distinct tokens,
+    so no key decides its size. The result is written once, so group numbers stay.
+    """
+    types = dict(zip([x.split()[0] for x in _CODED.split(", ")], [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.string(), pa.int64()], strict=True))
 
-
-def local_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """For each group and bucket its distinct tokens, sorted, and their training counts."""
+    def rows_of(rows: int, **given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(rows, t) for k, t in types.items()], names=list(types))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grp, seen, every = None, Counter(), set()
-
-        def send() -> pa.RecordBatch:
-            by: dict[int, list[str]] = {}
-            for w in every:
-                by.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % buckets, []).append(w)
-            rows = [(grp, k, _packed(w := sorted(ws)), np.array([seen[x] for x in w], "<i8").tobytes()) for k, ws in by.items()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["grp", "bucket", "words", "counts"])
-
-        for b in batches:
-            for d, t, g in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "grp")), strict=True):
-                if g != grp:
-                    if every:
-                        yield send()
-                    grp, seen, every = g, Counter(), set()
-                words = tokens(t)
-                if _trains(d):
-                    seen.update(words)
-                every.update(words)
-        if every:
-            yield send()
-
-    return docs.sortWithinPartitions("grp").mapInArrow(work, "grp int, bucket int, words binary, counts binary")
-
-
-def _trains(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 10 != 0
-
-
-def global_counts(local: DataFrame) -> DataFrame:
-    """The same rows with global counts, and one row (group -1) of sums for each bucket."""
-
-    def work(key: tuple, rows: pa.Table) -> pa.Table:
-        groups = rows["grp"].to_pylist()
-        words = [_unpacked(x) for x in rows["words"].to_pylist()]
-        total: dict[str, int] = {}
-        for ws, c in zip(words, rows["counts"].to_pylist(), strict=True):
-            for w, n in zip(ws, np.frombuffer(c, "<i8").tolist(), strict=True):
-                total[w] = total.get(w, 0) + n
-        out = [(g, key[0].as_py(), _packed(ws), np.array([total[w] for w in ws], "<i8").tobytes()) for g, ws in zip(groups, words, strict=True)]
-        # sums of the bucket: for each ending class its tokens and counts, then the most frequent tokens
-        known = {w: n for w, n in total.items() if n}
-        size, mass = np.zeros(ENDINGS, "<i8"), np.zeros(ENDINGS, "<i8")
-        for w, n in known.items():
-            k = ending(w)
-            size[k] += 1
-            mass[k] += n
-        best = sorted(known, key=lambda w: (-known[w], w))[:OWN]
-        out.append((-1, key[0].as_py(), _packed(best), np.concatenate([size, mass, np.array([known[w] for w in best], "<i8")]).tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32(), pa.int32(), pa.binary(), pa.binary()], strict=True)], names=["grp", "bucket", "words", "counts"])
-
-    return local.groupBy("bucket").applyInArrow(work, "grp int, bucket int, words binary, counts binary")
+        grp, seen, chars, held, trained = TaskContext.get().partitionId() << 32, Vocabulary(), 0, 0, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            n = np.bincount(np.concatenate(trained), minlength=len(seen)) if trained else np.zeros(len(seen), np.int64)
+            words = list(seen)
+            for i in range(0, len(words), 65_536):
+                part = words[i : i + 65_536]
+                yield rows_of(len(part), kind=pa.array(np.ones(len(part), np.int32)), grp=pa.array(np.full(len(part), grp)), at=pa.array(np.arange(i, i + len(part), dtype=np.int32)), token=pa.array(part, pa.string()), n=pa.array(n[i : i + len(part)].astype(np.int64)))
+
+        for b in C.slices(batches, "text", 4 << 20):
+            ids = []
+            for t, out in zip(b.column("text").to_pylist(), b.column("held_out").to_pylist(), strict=True):
+                w = tokens(t)
+                k = np.fromiter(map(seen.__getitem__, w), np.uint32, len(w))
+                chars += len(t)
+                ids.append(k)
+                if not out:
+                    trained.append(k)
+            held += b.num_rows
+            wide = 4 if len(seen) > 1 << 16 else 2
+            yield rows_of(len(ids), kind=pa.array(np.zeros(len(ids), np.int32)), grp=pa.array(np.full(len(ids), grp)), doc_id=b.column("doc_id"), held_out=b.column("held_out"), ids=pa.array([k.astype(f"<u{wide}").tobytes() for k in ids], pa.binary()), at=pa.array(np.full(len(ids), wide, np.int32)))
+            if chars > GROUP_CHARS or held > GROUP_ROWS or len(seen) > GROUP_TOKENS:
+                yield from close()
+                grp, seen, chars, held, trained = grp + 1, Vocabulary(), 0, 0, []
+        if held:
+            yield from close()
+
+    return rows.mapInArrow(work, _CODED)
+
+
+def ending_column(token: Column) -> Column:
+    return (F.crc32(F.right(token, F.lit(3)).cast("binary")) % ENDINGS).cast("int")
 
 
 class Classes:
     """Classes of tokens and their sizes; small, so tasks carry it."""
 
-    def __init__(self, sums: list):
-        size, mass, best = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64), Counter()
-        for r in sums:
-            c = np.frombuffer(bytes(r["counts"]), "<i8")
-            size += c[:ENDINGS]
-            mass += c[ENDINGS : 2 * ENDINGS]
-            best.update(dict(zip(_unpacked(bytes(r["words"])), c[2 * ENDINGS :].tolist(), strict=True)))
+    def __init__(self, totals: DataFrame):
+        known = totals.where("n > 0").withColumn("ending", ending_column(F.col("token")))
+        size, mass = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
+        for r in known.groupBy("ending").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect():  # at most ENDINGS rows
+            size[r["ending"]], mass[r["ending"]] = r["k"], r["n"]
         self.n_tokens, self.n_distinct = int(mass.sum()), int(size.sum())
-        top = sorted(best, key=lambda w: (-best[w], w))[:OWN]
-        self.own = {w: ENDINGS + i for i, w in enumerate(top)}
-        for w in top:
-            size[ending(w)] -= 1
-            mass[ending(w)] -= best[w]
-        self.n = ENDINGS + OWN
+        n_own = int(np.clip(self.n_distinct // OWN_SHARE, OWN[0], OWN[1]))
+        top = known.orderBy(F.desc("n"), "token").limit(n_own).collect()
+        self.top = [(r["token"], ENDINGS + i) for i, r in enumerate(top)]
+        for r in top:
+            size[r["ending"]] -= 1
+            mass[r["ending"]] -= r["n"]
+        self.n = ENDINGS + len(top)
         # every ending class also has room for one unseen token
-        self.total = np.concatenate([mass + ADD * (size + 1), [best[w] + ADD for w in top], np.full(OWN - len(top), ADD)])
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.array([self.own[w] if w in self.own else ending(w) for w in words], np.int64)
+        self.total = np.concatenate([mass + ADD * (size + 1), np.array([r["n"] + ADD for r in top])])
 
 
 def sequences(docs: DataFrame, counted: DataFrame, classes: Classes) -> DataFrame:
     """Per document: base score, known tokens, log10 shares within classes, class sequence."""
     base = np.log10(classes.n_tokens + ADD * (classes.n_distinct + 1))
-    schema = "doc_id long, n_tokens long, n_known long, base_score double, share double, classes binary"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, share double, classes binary"
+    total = np.log10(classes.total)
 
     def work(key: tuple, docs: pa.Table, counted: pa.Table) -> pa.Table:
-        words, counts = [], []
-        for ws, c in zip(counted["words"].to_pylist(), counted["counts"].to_pylist(), strict=True):
-            words += _unpacked(ws)
-            counts.append(np.frombuffer(c, "<i8"))
-        at = {w: i for i, w in enumerate(words)}
-        count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        cls = classes.of(words)
+        at = counted["place"].to_numpy()
+        count, cls = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        count[at], cls[at] = counted["n"].to_numpy(), counted["class"].to_numpy()
         log = np.log10(count + ADD)
-        share = log - np.log10(classes.total[cls])
-        out: list[list] = [[] for _ in range(6)]
-        for d, t in zip(docs["doc_id"].to_pylist(), docs["text"].to_pylist(), strict=True):
-            k = np.array([at[w] for w in tokens(t)], np.int64)
-            for c, v in zip(out, (d, len(k), int((count[k] > 0).sum()), float(log[k].sum() - len(k) * base), float(share[k].sum()), cls[k].astype("<u2").tobytes()), strict=True):
+        share, code, known = log - total[cls], cls.astype("<u2"), count > 0
+        out: list[list] = [[] for _ in range(5)]
+        for x, wide in zip(docs["ids"].to_pylist(), docs["wide"].to_pylist(), strict=True):
+            k = np.frombuffer(x, f"<u{wide}")
+            for c, v in zip(out, (len(k), int(known[k].sum()), float(log[k].sum() - len(k) * base), float(share[k].sum()), code[k].tobytes()), strict=True):
                 c.append(v)
-        return pa.table([pa.array(c, t) for c, t in zip(out, [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.binary()], strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+        return pa.table([docs["doc_id"], docs["held_out"], *(pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()], strict=True))], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.groupBy("grp").cogroup(counted.groupBy("grp")).applyInArrow(work, schema)
+    return docs.groupBy("grp").cogroup(counted.groupBy("group")).applyInArrow(work, schema)
 
 
 class Model:
@@ -219,9 +193,9 @@ def forward(model: Model, seqs: list[np.ndarray], keep: bool = False):
     return (out, flat, alive, alphas, scales) if keep else out
 
 
-def expected(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of the sequences (one Baum-Welch E-step)."""
-    _, flat, alive, alphas, scales = forward(model, seqs, True)
+def expected(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, moves and emissions of the sequences (one Baum-Welch E-step), and their log10 likelihood."""
+    likelihood, flat, alive, alphas, scales = forward(model, seqs, True)
     k, classes = len(model.start), len(model.emit)
     move, at = np.zeros((k, k)), len(flat)
     gammas = np.empty((len(flat), k))
@@ -236,11 +210,11 @@ def expected(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarr
         b = now
         gammas[at : at + n] = alphas[t] * b
     emit = np.stack([np.bincount(flat, gammas[:, s], classes) for s in range(k)], 1)
-    return gammas[: alive[0]].sum(0), move, emit
+    return gammas[: alive[0]].sum(0), move, emit, float(likelihood.sum())
 
 
-def start_model(seqs: list[np.ndarray], classes: int, states: int, rounds: int = 12) -> Model:
-    """A starting point: texts dealt to states by k-means-like passes, then Baum-Welch."""
+def start_model(seqs: list[np.ndarray], classes: int, states: int) -> Model:
+    """A starting point alone: texts dealt to states by k-means-like passes."""
     counts = np.stack([np.bincount(s, minlength=classes) for s in seqs]).astype(float)
     prior = (counts.sum(0) + 0.5) / (counts.sum() + 0.5 * classes)
     rng = np.random.default_rng(3)
@@ -255,10 +229,7 @@ def start_model(seqs: list[np.ndarray], classes: int, states: int, rounds: int =
         side = np.argmax(counts @ logs.T + 1e-6 * rng.random((len(seqs), states)), 1)
         sums = np.stack([counts[side == s].sum(0) for s in range(states)])
         logs = np.log(sums + 20 * prior) - np.log(sums.sum(1, keepdims=True) + 20)
-    model = Model(np.full(states, 1 / states), np.full((states, states), 0.02 / states) + 0.98 * np.eye(states), np.exp(logs).T)
-    for _ in range(rounds):
-        model = Model.from_counts(*expected(model, seqs), prior)
-    return model
+    return Model(np.full(states, 1 / states), np.full((states, states), 0.02 / states) + 0.98 * np.eye(states), np.exp(logs).T)
 
 
 def _batches(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -275,6 +246,18 @@ def _batches(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list[int]
         yield rows, seqs
 
 
+def _joined(batches: Iterable[pa.RecordBatch], most: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Several batches as one: the more sequences side by side, the fewer steps."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _together(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterator[list[np.ndarray]]:
     """Sequences of several batches at once: the more side by side, the fewer steps."""
     seqs, held = [], 0
@@ -290,54 +273,63 @@ def _together(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iterato
         yield seqs
 
 
-def baum_welch(seqs: DataFrame, model: Model, rounds: int = 2) -> Model:
-    """Rounds over all training sequences; tasks' expected counts add up across partitions."""
+def baum_welch(seqs: DataFrame, model: Model, most: int = ROUNDS, settled: float = SETTLED) -> Model:
+    """Rounds over all training sequences until their likelihood settles; tasks' expected counts add up across partitions."""
     k, classes = model.emit.shape[1], model.emit.shape[0]
-    for _ in range(rounds):
+    width, before = k + k * k + classes * k, None
+    for _ in range(most):
 
         def work(batches: Iterable[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(k + k * k + classes * k)
+            sums = np.zeros(width + 2)
             for x in _together(batches):
-                s, m, e = expected(model, x)
-                sums += np.concatenate([s, m.ravel(), e.ravel()])
+                s, m, e, likelihood = expected(model, x)
+                sums += np.concatenate([s, m.ravel(), e.ravel(), [likelihood, sum(map(len, x))]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["at", "n"])
 
-        rows = seqs.mapInArrow(work, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-        sums = np.zeros(k + k * k + classes * k)
+        rows = seqs.mapInArrow(work, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # one row for each parameter of the model
+        sums = np.zeros(width + 2)
         sums[rows["at"].to_numpy()] = rows["n"].to_numpy()
-        emit = sums[k + k * k :].reshape(classes, k)
+        emit = sums[k + k * k : width].reshape(classes, k)
         prior = (emit.sum(1) + 0.5) / (emit.sum() + 0.5 * classes)
         model = Model.from_counts(sums[:k], sums[k : k + k * k].reshape(k, k), emit, prior)
+        now = sums[width] / max(1.0, sums[width + 1])
+        if before is not None and now - before < settled:
+            break
+        before = now
     return model
 
 
-def score_documents(docs: DataFrame, states: int = STATES, rounds: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     C.short_batches(spark)
-    rows, groups = _grouped(docs)
-    dealt = rows.repartition(groups, "grp")
-    counted = C.cut(global_counts(local_counts(dealt, max(8, groups))), "token-counts")
-    classes = Classes(counted.where("grp = -1").select("words", "counts").collect())  # one row for each bucket, of bounded size
-    seqs = C.cut(sequences(rows, counted.where("grp >= 0"), classes), "class-sequences")
-    train = seqs.where(~C.held_out(10))
-    sample = [np.frombuffer(bytes(r["classes"]), "<u2").astype(np.int64) for r in train.orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_SAMPLE).select("classes").collect()]
-    if sample:
-        model = baum_welch(train.select("classes"), start_model(sample, classes.n, states), rounds)
+    known = C.cut(coded(C.texts_of(docs, C.held_out(10).alias("held_out"))), "coded-documents")
+    words = known.where("kind = 1").select("grp", "at", "token", "n")
+    # a token has a row for each group; partial sums leave one for each task
+    totals = C.cut(words.groupBy("token").agg(F.sum("n").alias("n")), "token-totals")
+    classes = Classes(totals)
+    own = spark.createDataFrame(classes.top, "token string, own int")  # at most OWN[1] rows
+    placed = totals.join(F.broadcast(own), "token", "left").select("token", "n", F.coalesce("own", ending_column(F.col("token"))).alias("class"))
+    counted = words.select("grp", "at", "token").join(placed, "token").select(F.col("grp").alias("group"), F.col("at").alias("place"), "n", "class")
+    coded_docs = known.where("kind = 0").select("grp", "doc_id", "held_out", "ids", F.col("at").alias("wide"))
+    seqs = C.cut(sequences(coded_docs, counted, classes), "class-sequences", known, totals)
+    train = seqs.where("not held_out")
+    start = train.where(F.col("n_tokens") <= START_TOKENS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_SAMPLE).select("classes").collect()
+    if start:
+        first = start_model([np.frombuffer(bytes(r["classes"]), "<u2").astype(np.int64) for r in start], classes.n, states)
+        model = baum_welch(train.select("classes"), first, rounds)
     else:
         model = Model(np.ones(1), np.ones((1, 1)), np.full((classes.n, 1), 1 / classes.n))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _joined(batches):
             score = np.zeros(b.num_rows)
             for at, x in _batches(b):
                 score[at] = forward(model, x)
-            own = b.column("share").to_numpy() + score
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(own)], names=[*b.schema.names[:5], "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(b.column("share").to_numpy() + score)], names=[*b.schema.names[:5], "score"])
 
-    C.short_batches(spark, 4096)  # from here on rows are class sequences, two bytes a token
-    out = seqs.mapInArrow(work, "doc_id long, n_tokens long, n_known long, base_score double, share double, score double")
-    return out.select("doc_id", C.held_out(10).alias("held_out"), "n_tokens", "n_known", F.lit(classes.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    out = seqs.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return C.given_ids(out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(classes.n_tokens).cast("long").alias("train_tokens"), "base_score", "score"))
 
 
 def op10_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
