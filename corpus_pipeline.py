@@ -41,12 +41,12 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: No stage can be stated in SQL; tests/llm holds the pipeline to brute force.
+#: Classifier and tokenizer can't be stated in SQL; tests/llm holds the pipeline to a brute-force one.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = common.cut(stage(spark, docs, sf_dir), f"stage-{name}", docs)
     return docs
