@@ -7,8 +7,8 @@ whatever the state, so the probability of a text is the forward probability of i
 class sequence times its tokens' shares of their classes.
 
 Counts cover all training documents. Each task numbers the tokens of its documents group
-by group; groups' counts are added up by token and come back to the groups, so texts are
-read once and never shuffled. Baum-Welch starts from a clustering of a bounded sample and
+by group; groups' tokens meet in hash buckets, where counts are added up, and the counts
+come back to the groups, so texts are tokenized once and never shuffled. Baum-Welch starts from a clustering of a bounded sample and
 runs over the whole training set until the likelihood settles: each task adds up the
 expected counts of its documents, and these sums add up across tasks. The scaled forward
 recursion then gives each text's exact likelihood.
@@ -20,12 +20,14 @@ counts are 0 and only smoothing is left. Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -37,8 +39,10 @@ OWN_SHARE, OWN = 64, (1000, 4096)
 START_SAMPLE, START_TOKENS = 1500, 10_000
 #: Rounds of Baum-Welch over the corpus, at most, and the gain in log10 likelihood a token below which it has settled.
 ROUNDS, SETTLED = 4, 2e-3
-#: Characters, rows and distinct tokens beyond which a group of documents ends.
-GROUP_CHARS, GROUP_ROWS, GROUP_TOKENS = 12 << 20, 50_000, 60_000
+#: Characters and rows beyond which a group of documents ends.
+GROUP_CHARS, GROUP_ROWS = 24 << 20, 50_000
+#: Characters of text for one bucket of tokens.
+BUCKET_CHARS = 8 << 20
 #: The end token: no word, since words hold no white space.
 END = "\n"
 ADD = 0.1
@@ -50,6 +54,10 @@ def tokens(text: str) -> list[str]:
     return out
 
 
+def ending(token: str) -> int:
+    return zlib.crc32(token[-3:].encode("utf-8", "surrogatepass")) % ENDINGS
+
+
 class Vocabulary(dict):
     """Numbers of the distinct tokens of a group, in order of first sight."""
 
@@ -58,19 +66,43 @@ class Vocabulary(dict):
         return n
 
 
-_CODED = "kind int, grp long, doc_id long, held_out boolean, ids binary, at int, token string, n long"
+def _packed(words: list[str]) -> bytes:
+    return zlib.compress(" ".join(words).encode("utf-8", "surrogatepass"), 1)
 
 
-def coded(rows: DataFrame) -> DataFrame:
-    """Documents as numbers of their group's tokens (kind 0), and each group's tokens with training counts (kind 1).
+def _unpacked(data: bytes) -> list[str]:
+    text = zlib.decompress(data).decode("utf-8", "surrogatepass")
+    return text.split(" ") if text else []
 
-    A group is a stretch of a task's rows, bounded by characters, rows and distinct tokens,
-    so no key decides its size. The result is written once, so group numbers stay.
-    """
-    types = dict(zip([x.split()[0] for x in _CODED.split(", ")], [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.string(), pa.int64()], strict=True))
 
-    def rows_of(rows: int, **given) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([given[k] if k in given else pa.nulls(rows, t) for k, t in types.items()], names=list(types))
+def _squeezed(ids: np.ndarray) -> bytes:
+    """Numbers below 2^24 in three bytes: the lower two of all, then the upper one of all, which is nearly always 0."""
+    return ids.astype("<u2").tobytes() + (ids >> 16).astype(np.uint8).tobytes()
+
+
+def _spread(data: bytes) -> np.ndarray:
+    n = len(data) // 3
+    return np.frombuffer(data, "<u2", n).astype(np.uint32) | np.frombuffer(data, np.uint8, n, 2 * n).astype(np.uint32) << 16
+
+
+#: A document (kind 0): ids. Tokens of a group in a bucket (kind 1): words, their numbers in the group, their training counts.
+_CODED = "kind int, grp long, doc_id long, held_out boolean, ids binary, bucket int, words binary, at binary, n binary"
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+
+
+def _batch(schema: str, rows: int, **given) -> pa.RecordBatch:
+    """The given columns and nulls for the others."""
+    types = {name: _TYPES[kind] for name, kind in (x.split() for x in schema.split(", "))}
+    columns = [given[k] if isinstance(given.get(k), pa.Array) else pa.array(given[k], t) if k in given else pa.nulls(rows, t) for k, t in types.items()]
+    return pa.RecordBatch.from_arrays(columns, names=list(types))
+
+
+def coded(rows: DataFrame, buckets: int) -> DataFrame:
+    """Documents as numbers of their group's tokens, and each group's tokens, dealt to buckets by hash.
+
+    A group is a stretch of a task's rows, bounded by characters and rows, so no key decides
+    its size. The result is written once, so group numbers stay.
+    """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grp, seen, chars, held, trained = TaskContext.get().partitionId() << 32, Vocabulary(), 0, 0, []
@@ -78,9 +110,13 @@ def coded(rows: DataFrame) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             n = np.bincount(np.concatenate(trained), minlength=len(seen)) if trained else np.zeros(len(seen), np.int64)
             words = list(seen)
-            for i in range(0, len(words), 65_536):
-                part = words[i : i + 65_536]
-                yield rows_of(len(part), kind=pa.array(np.ones(len(part), np.int32)), grp=pa.array(np.full(len(part), grp)), at=pa.array(np.arange(i, i + len(part), dtype=np.int32)), token=pa.array(part, pa.string()), n=pa.array(n[i : i + len(part)].astype(np.int64)))
+            home = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words)) % buckets
+            by = np.argsort(home, kind="stable")
+            cuts = np.searchsorted(home[by], np.arange(buckets + 1))
+            for i in range(0, buckets, 64):
+                parts = [(k, by[cuts[k] : cuts[k + 1]]) for k in range(i, min(buckets, i + 64)) if cuts[k] < cuts[k + 1]]
+                if parts:
+                    yield _batch(_CODED, len(parts), kind=[1] * len(parts), grp=[grp] * len(parts), bucket=[k for k, _ in parts], words=[_packed([words[x] for x in at]) for _, at in parts], at=[at.astype("<i4").tobytes() for _, at in parts], n=[n[at].astype("<i8").tobytes() for _, at in parts])
 
         for b in C.slices(batches, "text", 4 << 20):
             ids = []
@@ -88,13 +124,12 @@ def coded(rows: DataFrame) -> DataFrame:
                 w = tokens(t)
                 k = np.fromiter(map(seen.__getitem__, w), np.uint32, len(w))
                 chars += len(t)
-                ids.append(k)
+                ids.append(_squeezed(k))
                 if not out:
                     trained.append(k)
             held += b.num_rows
-            wide = 4 if len(seen) > 1 << 16 else 2
-            yield rows_of(len(ids), kind=pa.array(np.zeros(len(ids), np.int32)), grp=pa.array(np.full(len(ids), grp)), doc_id=b.column("doc_id"), held_out=b.column("held_out"), ids=pa.array([k.astype(f"<u{wide}").tobytes() for k in ids], pa.binary()), at=pa.array(np.full(len(ids), wide, np.int32)))
-            if chars > GROUP_CHARS or held > GROUP_ROWS or len(seen) > GROUP_TOKENS:
+            yield _batch(_CODED, len(ids), kind=[0] * len(ids), grp=[grp] * len(ids), doc_id=b.column("doc_id"), held_out=b.column("held_out"), ids=ids)
+            if chars > GROUP_CHARS or held > GROUP_ROWS:
                 yield from close()
                 grp, seen, chars, held, trained = grp + 1, Vocabulary(), 0, 0, []
         if held:
@@ -103,28 +138,91 @@ def coded(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, _CODED)
 
 
-def ending_column(token: Column) -> Column:
-    return (F.crc32(F.right(token, F.lit(3)).cast("binary")) % ENDINGS).cast("int")
+#: Global counts of a bucket's tokens (kind 1); a task's tokens and counts by ending (kind 2); its most frequent tokens (kind 3).
+_TOTALS = "kind int, bucket int, words binary, n binary, size array<long>, mass array<long>, token string, often long"
+
+
+def token_totals(groups: DataFrame) -> DataFrame:
+    """Counts added up over groups, bucket by bucket; a task holds the distinct tokens of one bucket."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, mass, best = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64), []
+
+        def close(bucket: int, total: dict[str, int]) -> Iterator[pa.RecordBatch]:
+            nonlocal best
+            words, n = list(total), np.fromiter(total.values(), np.int64, len(total))
+            known = np.flatnonzero(n)
+            end = np.fromiter((ending(words[i]) for i in known), np.int64, len(known))
+            size[:] += np.bincount(end, minlength=ENDINGS)
+            mass[:] += np.bincount(end, n[known], ENDINGS).astype(np.int64)
+            best = heapq.nsmallest(OWN[1], best + [(-int(n[i]), words[i]) for i in known if n[i] > 1 or len(known) < OWN[1]])
+            for i in range(0, len(words), 100_000):
+                yield _batch(_TOTALS, 1, kind=[1], bucket=[bucket], words=[_packed(words[i : i + 100_000])], n=[n[i : i + 100_000].astype("<i8").tobytes()])
+
+        bucket, total = None, {}
+        for b in batches:
+            for k, w, n in zip(b.column("bucket").to_pylist(), b.column("words").to_pylist(), b.column("n").to_pylist(), strict=True):
+                if k != bucket:
+                    if total:
+                        yield from close(bucket, total)
+                    bucket, total = k, {}
+                get = total.get
+                for x, c in zip(_unpacked(w), np.frombuffer(n, "<i8").tolist(), strict=True):
+                    total[x] = get(x, 0) + c
+        if total:
+            yield from close(bucket, total)
+        yield _batch(_TOTALS, 1, kind=[2], size=[size.tolist()], mass=[mass.tolist()])
+        yield _batch(_TOTALS, len(best), kind=[3] * len(best), token=[w for _, w in best], often=[-n for n, _ in best])
+
+    dealt = groups.select("bucket", "words", "n").repartition(C.partitions(groups.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(work, _TOTALS)
 
 
 class Classes:
     """Classes of tokens and their sizes; small, so tasks carry it."""
 
     def __init__(self, totals: DataFrame):
-        known = totals.where("n > 0").withColumn("ending", ending_column(F.col("token")))
         size, mass = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64)
-        for r in known.groupBy("ending").agg(F.count("*").alias("k"), F.sum("n").alias("n")).collect():  # at most ENDINGS rows
+        by_ending = totals.where("kind = 2").select(F.posexplode(F.arrays_zip("size", "mass")).alias("ending", "x"))
+        for r in by_ending.groupBy("ending").agg(F.sum("x.size").alias("k"), F.sum("x.mass").alias("n")).collect():  # ENDINGS rows
             size[r["ending"]], mass[r["ending"]] = r["k"], r["n"]
         self.n_tokens, self.n_distinct = int(mass.sum()), int(size.sum())
         n_own = int(np.clip(self.n_distinct // OWN_SHARE, OWN[0], OWN[1]))
-        top = known.orderBy(F.desc("n"), "token").limit(n_own).collect()
-        self.top = [(r["token"], ENDINGS + i) for i, r in enumerate(top)]
+        top = totals.where("kind = 3").orderBy(F.desc("often"), "token").limit(n_own).collect()
+        self.own = {r["token"]: ENDINGS + i for i, r in enumerate(top)}
         for r in top:
-            size[r["ending"]] -= 1
-            mass[r["ending"]] -= r["n"]
+            size[ending(r["token"])] -= 1
+            mass[ending(r["token"])] -= r["often"]
         self.n = ENDINGS + len(top)
         # every ending class also has room for one unseen token
-        self.total = np.concatenate([mass + ADD * (size + 1), np.array([r["n"] + ADD for r in top])])
+        self.total = np.concatenate([mass + ADD * (size + 1), np.array([r["often"] + ADD for r in top])])
+
+    def of(self, words: list[str]) -> np.ndarray:
+        own = self.own
+        return np.array([own[w] if w in own else ending(w) for w in words], "<u2")
+
+
+_COUNTED = "grp long, at binary, n binary, classes binary"
+
+
+def group_counts(groups: DataFrame, totals: DataFrame, classes: Classes) -> DataFrame:
+    """Global counts and classes of each group's tokens; a task holds the counts of one bucket."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, total = None, {}
+        for b in batches:
+            for kind, k, g, w, at, n in zip(*(b.column(c).to_pylist() for c in ("kind", "bucket", "grp", "words", "at", "n")), strict=True):
+                if k != bucket:
+                    bucket, total = k, {}
+                words = _unpacked(w)
+                if kind == 0:
+                    total.update(zip(words, np.frombuffer(n, "<i8").tolist(), strict=True))
+                else:
+                    yield _batch(_COUNTED, 1, grp=[g], at=[at], n=[np.fromiter(map(total.__getitem__, words), "<i8", len(words)).tobytes()], classes=[classes.of(words).tobytes()])
+
+    first = totals.where("kind = 1").select(F.lit(0).alias("kind"), "bucket", F.lit(None).cast("long").alias("grp"), "words", F.lit(None).cast("binary").alias("at"), "n")
+    both = first.unionByName(groups.select(F.lit(1).alias("kind"), "bucket", "grp", "words", "at", "n"))
+    return both.repartition(C.partitions(groups.sparkSession), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(work, _COUNTED)
 
 
 def sequences(docs: DataFrame, counted: DataFrame, classes: Classes) -> DataFrame:
@@ -134,14 +232,14 @@ def sequences(docs: DataFrame, counted: DataFrame, classes: Classes) -> DataFram
     total = np.log10(classes.total)
 
     def work(key: tuple, docs: pa.Table, counted: pa.Table) -> pa.Table:
-        at = counted["place"].to_numpy()
-        count, cls = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        count[at], cls[at] = counted["n"].to_numpy(), counted["class"].to_numpy()
+        at, n, cls = (np.concatenate([np.frombuffer(x, kind) for x in counted[c].to_pylist()]) for c, kind in (("at", "<i4"), ("n", "<i8"), ("classes", "<u2")))
+        count, code = np.zeros(len(at), np.int64), np.zeros(len(at), "<u2")
+        count[at], code[at] = n, cls
         log = np.log10(count + ADD)
-        share, code, known = log - total[cls], cls.astype("<u2"), count > 0
+        share, known = log - total[code], count > 0
         out: list[list] = [[] for _ in range(5)]
-        for x, wide in zip(docs["ids"].to_pylist(), docs["wide"].to_pylist(), strict=True):
-            k = np.frombuffer(x, f"<u{wide}")
+        for x in docs["ids"].to_pylist():
+            k = _spread(x)
             for c, v in zip(out, (len(k), int(known[k].sum()), float(log[k].sum() - len(k) * base), float(share[k].sum()), code[k].tobytes()), strict=True):
                 c.append(v)
         return pa.table([docs["doc_id"], docs["held_out"], *(pa.array(c, t) for c, t in zip(out, [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()], strict=True))], names=[x.split()[0] for x in schema.split(", ")])
@@ -303,16 +401,14 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     C.short_batches(spark)
-    known = C.cut(coded(C.texts_of(docs, C.held_out(10).alias("held_out"))), "coded-documents")
-    words = known.where("kind = 1").select("grp", "at", "token", "n")
-    # a token has a row for each group; partial sums leave one for each task
-    totals = C.cut(words.groupBy("token").agg(F.sum("n").alias("n")), "token-totals")
+    rows = C.texts_of(docs, C.held_out(10).alias("held_out"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    known = C.cut(coded(rows, int(np.clip(-(-chars // BUCKET_CHARS), 8, 4096))), "coded-documents")
+    groups = known.where("kind = 1")
+    totals = C.cut(token_totals(groups), "token-totals")
     classes = Classes(totals)
-    own = spark.createDataFrame(classes.top, "token string, own int")  # at most OWN[1] rows
-    placed = totals.join(F.broadcast(own), "token", "left").select("token", "n", F.coalesce("own", ending_column(F.col("token"))).alias("class"))
-    counted = words.select("grp", "at", "token").join(placed, "token").select(F.col("grp").alias("group"), F.col("at").alias("place"), "n", "class")
-    coded_docs = known.where("kind = 0").select("grp", "doc_id", "held_out", "ids", F.col("at").alias("wide"))
-    seqs = C.cut(sequences(coded_docs, counted, classes), "class-sequences", known, totals)
+    counted = group_counts(groups, totals, classes).withColumnRenamed("grp", "group")
+    seqs = C.cut(sequences(known.where("kind = 0").select("grp", "doc_id", "held_out", "ids"), counted, classes), "class-sequences", known, totals)
     train = seqs.where("not held_out")
     start = train.where(F.col("n_tokens") <= START_TOKENS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_SAMPLE).select("classes").collect()
     if start:
