@@ -6,24 +6,23 @@ corpus is not needed for that: each SPAN-byte window is known by its anchor, the
 leftmost K-byte string in it whose hash is least, and equal windows have equal anchors
 at equal places. Consecutive windows of one anchor form a run.
 
-1. A task finds the runs of its documents. Of equal runs in a task only the earliest
-   goes on; the windows of the others are repeats.
-2. Runs meet by anchor, in sorted streams. Of equal runs the earliest stays. Anchors with
-   several different runs ask for the runs' bytes.
-3. Around each such anchor the runs' right and (reversed) left contexts are suffix-
-   sorted by hash comparison with byte verification; common extensions to both sides tell
-   which windows are equal, and all but the earliest of them are repeats. Runs of anchors
-   with more than CROWD of them (the edges of a passage that very many texts share) are
-   first split by the bytes around the anchor, so that no task has to hold them all.
+1. A task finds the runs of its documents. Of runs with equal hashes and equal bytes in a
+   task only the earliest goes on; the windows of the others are repeats.
+2. Runs meet by anchor, in sorted streams. Anchors with several runs ask for their bytes.
+3. Of runs with equal bytes the earliest stays. Around each anchor the right and (reversed)
+   left contexts of the others are suffix-sorted by hash comparison with byte verification;
+   common extensions to both sides tell which windows are equal, and all but the earliest
+   of them are repeats. Runs of anchors with more than CROWD of them (the edges of a
+   passage that very many texts share) are first split by the bytes around the anchor, so
+   that no task has to hold them all.
 4. Repeats of a document are united and cut out.
 
-Equal runs of steps 1 and 2 are known by two independent 64-bit hashes, of the anchor and of
-the run; their bytes are not compared, since sending all repeated bytes would not fit the
-disk budget. Everything that step 3 finds is verified byte by byte. Null texts are empty;
+No hash decides alone: what is removed has been compared byte by byte. Null texts are empty;
 texts below SPAN bytes lose nothing. Rows of equal doc_id and text are one document given
 several times: they are no repeats of each other and are cut alike. Rows of equal doc_id
 and different texts are documents of their own, in the order of their texts' hashes
-(`copy`). A null doc_id is an id like any other, the least there is. Lone surrogates can't occur in UTF-8 input. Other columns are ignored.
+(`copy`). A null doc_id is an id like any other, the least there is. Lone surrogates can't
+occur in UTF-8 input. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -149,29 +148,49 @@ def _again(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _equal(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """Whether the bytes from x on and from y on are the same, for each pair."""
+    out = np.zeros(len(x), bool)
+    for i in range(0, len(x), step):
+        n = length[i : i + step]
+        same = data[C.ragged(x[i : i + step], n)] == data[C.ragged(y[i : i + step], n)]
+        out[i : i + step] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+    return out
+
+
 def find_runs(docs: DataFrame, flush: int = 1_000_000) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        texts_held: list[np.ndarray] = []
 
         def send() -> Iterator[pa.RecordBatch]:
-            a, r, d, c, p = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, r, d, c, p, at = (np.concatenate(x) for x in zip(*held, strict=True))
+            data = np.concatenate(texts_held)
             by = np.lexsort((p, c, d, r, a))
             by = by[~_again(a[by], r[by], d[by], c[by], p[by])]  # the run of a repeated row is the same run
-            a, r, d, c, p = a[by], r[by], d[by], c[by], p[by]
-            again = _again(a, r)
+            a, r, d, c, p, at = a[by], r[by], d[by], c[by], p[by], at[by]
+            # runs of equal hashes are repeats if they follow one of the same bytes
+            windows = _unpacked(p)[1]
+            again = _again(a, r, windows)
+            k = np.flatnonzero(again)
+            again[k] = _equal(data, at[k], at[k - 1], windows[k] + SPAN - 1)
             yield from _rows(RUN, a[~again], r[~again], d[~again], c[~again], p[~again])
             yield from _repeats(d[again], c[again], p[again])
 
+        size = 0
         for b in C.slices(batches, "text", _BLOCK):
             texts = [t.encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
             length = np.array([len(t) for t in texts], np.int64)
             ids, copies = b.column("doc_id").to_numpy(), b.column("copy").to_numpy()
             data = np.frombuffer(b"".join(texts), np.uint8)
-            a, r, d, p = runs(data, np.cumsum(length) - length, length)
-            held.append((a, r, ids[d], copies[d], p))
+            first = np.cumsum(length) - length
+            a, r, d, p = runs(data, first, length)
+            held.append((a, r, ids[d], copies[d], p, size + first[d] + (p >> 14)))
+            texts_held.append(data)
+            size += len(data)
             if sum(len(x[0]) for x in held) > flush:
                 yield from send()
-                held = []
+                held, texts_held, size = [], [], 0
         if held:
             yield from send()
 
@@ -179,10 +198,10 @@ def find_runs(docs: DataFrame, flush: int = 1_000_000) -> DataFrame:
 
 
 def settle_runs(found: DataFrame) -> DataFrame:
-    """Repeats of equal runs, and the runs whose anchor has others beside it."""
+    """Repeats found so far, and the runs whose anchor has others beside it."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # anchor, run, document, copy, place of the last first-of-its-kind run, and whether it was asked for
+        last: tuple | None = None  # the last run, and whether it was asked for
         for b in batches:
             kind = b.column("kind").to_numpy()
             out = kind == REPEAT
@@ -195,10 +214,7 @@ def settle_runs(found: DataFrame) -> DataFrame:
                 a, r, d, c, p = (np.concatenate([[x], y]) for x, y in zip(last[:5], (a, r, d, c, p), strict=True))
             new = ~_again(a, r, d, c, p)
             a, r, d, c, p = a[new], r[new], d[new], c[new], p[new]
-            again = _again(a, r)
-            yield from _repeats(d[again], c[again], p[again])
             asked_before = bool(last and last[5])
-            a, r, d, c, p = a[~again], r[~again], d[~again], c[~again], p[~again]
             beside = np.zeros(len(a), bool)
             beside[1:] |= a[1:] == a[:-1]
             beside[:-1] |= a[1:] == a[:-1]
@@ -280,7 +296,16 @@ def compare_runs(read: DataFrame, hold: int = 20_000) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def close(t: pa.Table) -> pa.RecordBatch:
-            return _ranges(*repeated_windows(t["anchor"].to_numpy(), t["doc_id"].to_numpy(), t["copy"].to_numpy(), t["place"].to_numpy(), t["bytes"].to_pylist()))
+            anchor, doc, copy, place = (t[x].to_numpy() for x in ("anchor", "doc_id", "copy", "place"))
+            data, left = t["bytes"].to_pylist(), place & 127
+            # of equal runs (the same bytes around the anchor) the first stays to be sorted
+            seen: dict[tuple, int] = {}
+            first = np.array([seen.setdefault(k, i) for i, k in enumerate(zip(anchor.tolist(), left.tolist(), data, strict=True))], np.int64)
+            own = first == np.arange(len(first))
+            start, windows, _ = _unpacked(place[~own])
+            again = _united(doc[~own], copy[~own], start, start + windows + SPAN - 1)
+            others = repeated_windows(anchor[own], doc[own], copy[own], place[own], [data[i] for i in np.flatnonzero(own)])
+            return _ranges(*(np.concatenate(x) for x in zip(again, others, strict=True)))
 
         end: list = [np.zeros(0, np.int64)] * 4
         for b in batches:
