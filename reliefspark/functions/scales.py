@@ -34,6 +34,55 @@ def clean_weights(weights: list | None, n: int) -> list[float]:
     return [x / sum(w) for x in w] if len(w) == n and sum(w) > 0 else auto_weights(n)
 
 
+def merged(radii: list[float], weights: list[float]) -> tuple[list[float], list[float]]:
+    """Equal radii once, with the sum of their weights; weights add up to one."""
+    sums: dict[float, float] = {}
+    for r, w in zip(radii, weights, strict=True):
+        sums[r] = sums.get(r, 0.0) + w
+    total = sum(sums.values()) or 1.0
+    return list(sums), [w / total for w in sums.values()]
+
+
+def resolution_class(pixel: float) -> str:
+    # fixed values: the classes' upper bounds in metres
+    for most, name in ((0.5, "ultra_high"), (1, "very_high"), (2.5, "high"), (5, "medium"), (15, "low"), (30, "very_low")):
+        if pixel <= most:
+            return name
+    return "ultra_low"
+
+
+def is_coarse(pixel: float) -> bool:
+    return resolution_class(pixel) in ("low", "very_low", "ultra_low")
+
+
+def edge_sigma(pixel: float) -> float:
+    """The smoothing that outlines of a resolution ask for."""
+    # fixed values: sigma of each class
+    return {"ultra_high": 0.5, "very_high": 0.5, "high": 1.0, "medium": 1.0, "low": 0.5}.get(resolution_class(pixel), 0.3)
+
+
+def fractal_radii(pixel: float) -> list[int]:
+    # fixed values: radii of each resolution class
+    table = {
+        "ultra_high": [4, 8, 16, 32, 64, 96], "very_high": [4, 8, 16, 24, 32, 48], "high": [4, 8, 16, 32, 48, 64],
+        "medium": [3, 6, 12, 24, 36, 48], "low": [2, 4, 8, 16, 24, 32],
+    }
+    return table.get(resolution_class(pixel), [2, 4, 8, 12, 16, 24])
+
+
+def shrink_factor(radius: float, algorithm: str, pixel: float = 1.0) -> int:
+    """How far a grid may be coarsened before smoothing it at a radius: a power of two up to 16."""
+    # fixed values: how much work an operator is
+    work = {"topousm_fast": 1.15, "specular": 1.4, "atmospheric_scattering": 1.05, "curvature": 1.1, "ambient_occlusion": 1.5, "openness": 1.4, "multi_light_uncertainty": 1.25}
+    score = max(1.0, radius) / 24 * work.get(algorithm, 1.0) * max(1.0, 1 / max(pixel, 1e-3)) ** 0.35
+    return 1 if score <= 1 else min(16, 1 << int(math.log2(score)))
+
+
+def overview_factor(longest: int, most: int = 2048) -> int:
+    """The least power of two by which a grid's longest side falls to `most`."""
+    return 1 if longest <= most else 1 << math.ceil(math.log2(longest / most))
+
+
 def metres_per_degree(latitude: float) -> tuple[float, float]:
     """Of latitude and of longitude (WGS84 series)."""
     a = math.radians(latitude)

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scales
+from ..functions.quantiles import quantiles
 from ..sources import shared, tiff, zarr
-from ..sources.grids import array_grid, orders_grid
+from ..sources.grids import array_grid, orders_grid, window, write_tiles
 from . import kernels as K
 from . import prepare as P
 from . import registry
@@ -27,19 +28,78 @@ def _grid(build: Callable[[DataFrame], DataFrame], **kind) -> Query:
     return lambda spark, sf_dir: rounded(build(orders_grid(spark, sf_dir, **kind)))
 
 
-_N = "WITH n AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS w FROM orders), "
-_PX = _N + "px AS (SELECT o_orderkey // w AS r, o_orderkey % w AS c, o_totalprice / 100000.0 AS z, w FROM orders, n WHERE o_orderkey < w * w)"
-_BLOCK = _N + "px AS (SELECT o_orderkey // w AS r, o_orderkey % w AS c, CASE WHEN (o_orderkey // w BETWEEN w // 4 AND w // 3 AND o_orderkey % w BETWEEN w // 4 AND w // 3) OR o_orderkey % w < w // 10 THEN NULL ELSE o_totalprice / 100000.0 END AS z, w FROM orders, n WHERE o_orderkey < w * w)"
-_HOLES = _N + "px AS (SELECT o_orderkey // w AS r, o_orderkey % w AS c, CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_totalprice / 100000.0 END AS z, w FROM orders, n WHERE o_orderkey < w * w)"
+_SIZE = "WITH n AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS w, count(*) AS k FROM orders), size AS (SELECT w, CAST(ceil(k / w) AS BIGINT) AS h FROM n), cell AS (SELECT unnest(range(w * h)) AS i FROM size), "
+
+
+def _pixels(void: str = "FALSE", z: str = "o_totalprice / 100000.0") -> str:
+    """The orders grid with a row for each pixel of its rectangle; `here` tells those that an order fills."""
+    return _SIZE + f"px AS (SELECT i // w AS r, i % w AS c, w, h, o_orderkey IS NOT NULL AS here, CASE WHEN {void} THEN NULL ELSE {z} END AS z FROM cell CROSS JOIN size LEFT JOIN orders ON o_orderkey = i)"
+
+
+_PX = _pixels()
+_BLOCK = _pixels("(i // w BETWEEN w // 4 AND w // 3 AND i % w BETWEEN w // 4 AND w // 3) OR i % w < w // 10")
+_HOLES = _pixels("i % 17 = 0")
 
 
 def _d(value: str, axis: str) -> str:
-    over = "(PARTITION BY r ORDER BY c)" if axis == "c" else "(PARTITION BY c ORDER BY r)"
-    return f"CASE WHEN {axis} = 0 THEN (-3*{value} + 4*lead({value}, 1) OVER {over} - lead({value}, 2) OVER {over}) / 2 WHEN {axis} = w - 1 THEN (3*{value} - 4*lag({value}, 1) OVER {over} + lag({value}, 2) OVER {over}) / 2 ELSE (lead({value}, 1) OVER {over} - lag({value}, 1) OVER {over}) / 2 END"
+    """Central difference, second order at both ends."""
+    over, last = ("(PARTITION BY r ORDER BY c)", "w - 1") if axis == "c" else ("(PARTITION BY c ORDER BY r)", "h - 1")
+    return f"CASE WHEN {axis} = 0 THEN (-3*{value} + 4*lead({value}, 1) OVER {over} - lead({value}, 2) OVER {over}) / 2 WHEN {axis} = {last} THEN (3*{value} - 4*lag({value}, 1) OVER {over} + lag({value}, 2) OVER {over}) / 2 ELSE (lead({value}, 1) OVER {over} - lag({value}, 1) OVER {over}) / 2 END"
+
+
+def _d1(value: str, axis: str) -> str:
+    """Central difference, first order at both ends."""
+    over, last = ("(PARTITION BY r ORDER BY c)", "w - 1") if axis == "c" else ("(PARTITION BY c ORDER BY r)", "h - 1")
+    return f"CASE WHEN {axis} = 0 THEN lead({value}, 1) OVER {over} - {value} WHEN {axis} = {last} THEN {value} - lag({value}, 1) OVER {over} ELSE (lead({value}, 1) OVER {over} - lag({value}, 1) OVER {over}) / 2 END"
+
 
+def _place(axis: str, mirror: bool) -> str:
+    """Where a tap falls: beyond the edge the edge cell is repeated, or the grid mirrored as often as it takes."""
+    n, at = ("b.h", "b.r + k.d") if axis == "r" else ("b.w", "b.c + k.d")
+    if not mirror:
+        return f"least(greatest({at}, 0), {n} - 1)"
+    return f"CASE WHEN (({at}) % (2*{n}) + 2*{n}) % (2*{n}) < {n} THEN (({at}) % (2*{n}) + 2*{n}) % (2*{n}) ELSE 2*{n} - 1 - (({at}) % (2*{n}) + 2*{n}) % (2*{n}) END"
+
+
+def _taps(weights: list[float]) -> str:
+    return ", ".join(f"({i - len(weights) // 2}, {v!r}::DOUBLE)" for i, v in enumerate(weights))
+
+
+def _separable(source: str, name: str, columns: dict[str, str], down: list[float], across: list[float], mirror: bool = False, inside: bool = False) -> str:
+    """Weighted sums of columns along r, then along c; `inside` leaves out what lies beyond the edge."""
+    out = f", {name}a AS (SELECT r, c, w, h, " + ", ".join(f"{v} AS {k}" for k, v in columns.items()) + f" FROM {source})"
+    for axis, other, weights, before, after in (("r", "c", down, "a", "b"), ("c", "r", across, "b", "")):
+        to = f"b.{axis} + k.d" if inside else _place(axis, mirror)
+        sums = ", ".join(f"sum(k.v * a.{k}) AS {k}" for k in columns)
+        out += f", {name}{after} AS (SELECT b.r, b.c, any_value(b.w) AS w, any_value(b.h) AS h, {sums} FROM {name}{before} b CROSS JOIN (VALUES {_taps(weights)}) k(d, v) JOIN {name}{before} a ON a.{other} = b.{other} AND a.{axis} = {to} GROUP BY b.r, b.c)"
+    return out
+
+
+def _gauss(source: str, sigma: float, name: str, mirror: bool = False, value: str = "z") -> str:
+    """Gaussian of the valid cells by their weight, 0 where none reaches."""
+    w = K.taps(sigma).tolist()
+    sums = _separable(source, name + "_", {"s": f"coalesce({value}, 0.0)", "n": f"({value} IS NOT NULL)::INT::DOUBLE"}, w, w, mirror)
+    return sums + f", {name} AS (SELECT r, c, w, h, CASE WHEN n > 0 THEN s / n ELSE 0.0 END AS z FROM {name}_)"
 
-_G = _PX + f", g AS (SELECT *, {_d('z', 'c')} AS p, {_d('z', 'r')} AS q FROM px)"
-_H = _G + f", h AS (SELECT *, {_d('p', 'c')} AS rr, {_d('q', 'c')} AS qx, {_d('p', 'r')} AS py, {_d('q', 'r')} AS tt FROM g)"
+
+def _box(size: int, name: str, source: str = "px", value: str = "z") -> str:
+    """Mean of the valid cells of a square, mirrored beyond the edge."""
+    w = [1.0] * size
+    return _separable(source, name + "_", {"s": f"coalesce({value}, 0.0)", "n": f"({value} IS NOT NULL)::INT::DOUBLE"}, w, w, True) + f", {name} AS (SELECT r, c, w, h, CASE WHEN n > 0 THEN s / n ELSE 0.0 END AS z FROM {name}_)"
+
+
+def _gradients(px: str) -> str:
+    """p and q of the grid whose voids are filled by their neighbours."""
+    return px + _gauss("px", 1, "near") + f", f AS (SELECT px.*, coalesce(px.z, near.z) AS f FROM px JOIN near USING (r, c)), g AS (SELECT *, {_d('f', 'c')} AS p, {_d('f', 'r')} AS q FROM f)"
+
+
+def _valid(value: str, name: str, source: str = "g") -> str:
+    """Results where a pixel is given, void where it is."""
+    return f" SELECT r, c, round(CASE WHEN z IS NOT NULL THEN {value} END, 6) AS {name} FROM {source} WHERE here"
+
+
+_G = _gradients(_PX)
+_H = _G + f", h2 AS (SELECT *, {_d('p', 'c')} AS rr, {_d('q', 'c')} AS qx, {_d('p', 'r')} AS py, {_d('q', 'r')} AS tt FROM g)"
 
 
 def _lambert(azimuth: float, altitude: float = 45) -> str:
@@ -53,82 +113,189 @@ def _clip(x: str) -> str:
 _SHADE = _clip(_lambert(315))
 #: Steps of a north-up raster in degrees at 35 N, blown up so that slopes of the grid are moderate.
 _STEPS = scales.metric_pixel(0.00002, -0.00002, 35.0)
-_GEO = _PX + f", g AS (SELECT r, c, w, ({_d('z', 'c')}) / {_STEPS[0]!r} AS p, ({_d('z', 'r')}) / {_STEPS[1]!r} AS q FROM px)"
+_GEO = _G + f", geo AS (SELECT r, c, w, h, z, here, p / {_STEPS[0]!r} AS p, q / {_STEPS[1]!r} AS q FROM g)"
+_STEEP = "degrees(atan(sqrt(p*p + q*q)))"
+_HAZE = "(1 - exp(-0.5 / (cos(atan(sqrt(p*p + q*q))) + 0.001)))"
+_SCATTER = f"pow({_clip(f'0.3*(0.4 + 0.6*{_HAZE}) + 0.7*{_SHADE}')}, 1/2.2)"
+_LIGHTS = [f"greatest(0.0, {_lambert(a)})" for a in (315, 45, 135, 225)]
+_MEAN = "((" + " + ".join(_LIGHTS) + ") / 4)"
+_SPREAD = "sqrt((" + " + ".join(f"pow({x} - {_MEAN}, 2)" for x in _LIGHTS) + ") / 4)"
+_UNCERTAIN = _clip(f"{_MEAN} + 0.7*" + _clip(f"{_SPREAD} / ({_MEAN} + 1e-6)"))
+_CURVES = {
+    "mean": "-((1+q*q)*rr - 2*p*q*(py+qx)/2 + (1+p*p)*tt) / (2*pow(1+p*p+q*q, 1.5) + 1e-10)",
+    "gaussian": "(rr*tt - py*py) / ((1+p*p+q*q)*(1+p*p+q*q))",
+    "planform": "-(q*q*rr - 2*p*q*py + p*p*tt) / (pow(p*p+q*q, 1.5) + 1e-10)",
+    "profile": "-(p*p*rr + 2*p*q*py + q*q*tt) / ((p*p+q*q)*pow(1+p*p+q*q, 1.5) + 1e-10)",
+}
 
 
-def _mirrored(axis: str) -> str:
-    return f"CASE WHEN b.{axis} + k.d < 0 THEN -1 - b.{axis} - k.d WHEN b.{axis} + k.d > b.w - 1 THEN 2*b.w - 1 - b.{axis} - k.d ELSE b.{axis} + k.d END"
+def _curve(kind: str) -> str:
+    return f"pow((tanh(100*({_CURVES[kind]})) + 1)/2, 1/2.2)"
 
 
-def _gauss(source: str, sigma: float, name: str, mirror: bool = False) -> str:
-    """Separable Gaussian of a grid without voids; beyond its edge the edge cell is repeated or the grid mirrored."""
-    w = K.taps(sigma).tolist()
-    n = len(w) // 2
-    taps = ", ".join(f"({i - n}, {v!r})" for i, v in enumerate(w))
-    one = "SELECT b.r, b.c, any_value(b.w) AS w, sum(k.v * a.{0}) AS z FROM {1} b CROSS JOIN (VALUES {2}) k(d, v) JOIN {1} a ON {3} GROUP BY b.r, b.c"
-    at = _mirrored if mirror else "least(greatest(b.{0} + k.d, 0), b.w - 1)".format
-    down = one.format("z", source, taps, f"a.c = b.c AND a.r = {at('r')}")
-    across = one.format("z", name + "0", taps, f"a.r = b.r AND a.c = {at('c')}")
-    return f", {name}0 AS ({down}), {name} AS ({across})"
+#: Radii of the spatial queries and the weights that follow when none are given.
+_SHARES = {2: 2 / 3, 4: 1 / 3}
 
 
-def _spatial(value: str, how: str) -> str:
+def _spatial(value: str, how: str = "mean", second: bool = False, px: str = _PX) -> str:
     """The responses at radii 2 and 4 (Gaussians of 1 and 2), combined or as bands."""
-    start = _PX + "".join(_gauss("px", s, f"s{s}") + f", g{s} AS (SELECT r, c, {_d('z', 'c')} AS p, {_d('z', 'r')} AS q FROM s{s})" for s in (1, 2))
-    both = " UNION ALL ".join(f"SELECT r, c, {s} AS band, {value} AS x FROM g{s}" for s in (1, 2))
+    start, bands = px, []
+    for r, share in _SHARES.items():
+        start += _gauss("px", max(0.5, r / 2), f"s{r}") + f", g{r} AS (SELECT *, {_d('z', 'c')} AS p, {_d('z', 'r')} AS q FROM s{r})"
+        if second:
+            start += f", h{r} AS (SELECT *, {_d('p', 'c')} AS rr, {_d('q', 'c')} AS qx, {_d('p', 'r')} AS py, {_d('q', 'r')} AS tt FROM g{r})"
+        bands.append(f"SELECT r, c, {len(bands) + 1} AS band, {share!r} AS share, {value} AS x FROM {'h' if second else 'g'}{r}")
+    both = f"(SELECT b.*, z FROM ({' UNION ALL '.join(bands)}) b JOIN px USING (r, c) WHERE here)"
     if how == "stack":
-        return start + f" SELECT r, c, band::INT AS band, round(x, 6) AS value FROM ({both})"
-    return start + f" SELECT r, c, round({how}(x), 6) AS value FROM ({both}) GROUP BY r, c"
+        return start + f" SELECT r, c, band::INT AS band, round(CASE WHEN z IS NOT NULL THEN x END, 6) AS value FROM {both}"
+    x = "sum(share * x)" if how == "mean" else f"{how}(x)"
+    return start + f" SELECT r, c, round(CASE WHEN any_value(z) IS NOT NULL THEN {x} END, 6) AS value FROM {both} GROUP BY r, c"
 
 
-def _box(r: int, name: str) -> str:
-    """Mean of a square of a grid without voids, mirrored beyond the edge."""
-    one = f"SELECT b.r, b.c, any_value(b.w) AS w, sum(a.z) / {2 * r + 1} AS z FROM {{0}} b CROSS JOIN (SELECT unnest(range({-r}, {r + 1})) AS d) k JOIN {{0}} a ON {{1}} GROUP BY b.r, b.c"
-    down, across = one.format("px", f"a.c = b.c AND a.r = {_mirrored('r')}"), one.format(name + "0", f"a.r = b.r AND a.c = {_mirrored('c')}")
-    return f", {name}0 AS ({down}), {name} AS ({across})"
-
-
-def _over_means(shares: dict[int, float], mean: Callable[[int, str], str]) -> str:
-    """x: the weighted height above the means of several scales."""
+def _over_means(shares: dict[float, float], mean: Callable[[float, str], str]) -> str:
+    """x: the weighted height above the means of several scales, of valid cells."""
     names = {k: f"m{k}" for k in shares}
     x = " + ".join(f"{v!r} * (px.z - {names[k]}.z)" for k, v in shares.items())
-    return _PX + "".join(mean(k, n) for k, n in names.items()) + f", x AS (SELECT r, c, {x} AS x FROM px " + " ".join(f"JOIN {n} USING (r, c)" for n in names.values()) + ")"
+    return _HOLES + "".join(mean(k, n) for k, n in names.items()) + f", x AS (SELECT px.r, px.c, {x} AS x FROM px " + " ".join(f"JOIN {n} USING (r, c)" for n in names.values()) + " WHERE here)"
 
 
 def _around(directions: int, distances: list[tuple[float, float]], clamped: bool = False) -> str:
-    """Cells in all directions at some distances (and weights): k, rise over run, weight; beyond the edge none, or the edge cell."""
-    to = ("least(greatest(b.{0} + k.{1}, 0), b.w - 1)" if clamped else "b.{0} + k.{1}").format
+    """Valid cells in all directions at some distances (and weights): k, rise over run, weight; beyond the edge none, or the edge cell."""
+    to = (lambda a, k: f"least(greatest(b.{a} + k.{k}, 0), b.{'h' if a == 'r' else 'w'} - 1)") if clamped else (lambda a, k: f"b.{a} + k.{k}")
     at = [(k, round(d * math.cos(2 * math.pi * k / directions)), round(d * math.sin(2 * math.pi * k / directions)), f) for d, f in distances for k in range(directions)]
     cells = ", ".join(f"({k}, {x}, {y}, {math.hypot(x, y)!r}, {f})" for k, x, y, f in at if x or y)
-    return _PX + f", k AS (SELECT * FROM (VALUES {cells}) t(k, x, y, d, f)), up AS (SELECT b.r, b.c, b.w, k.k, (a.z - b.z) / k.d::DOUBLE AS rise, k.f::DOUBLE AS f FROM px b CROSS JOIN k JOIN px a ON a.r = {to('r', 'y')} AND a.c = {to('c', 'x')})"
+    return _HOLES + f", k AS (SELECT * FROM (VALUES {cells}) t(k, x, y, d, f)), up AS (SELECT b.r, b.c, k.k, (a.z - b.z) / k.d::DOUBLE AS rise, k.f::DOUBLE AS f FROM px b CROSS JOIN k JOIN px a ON a.r = {to('r', 'y')} AND a.c = {to('c', 'x')} WHERE a.z IS NOT NULL AND b.z IS NOT NULL)"
 
 
-def _stretched(source: str) -> str:
-    ends = ", ".join(f"quantile_cont(z, {q}) AS {n}" for q, n in ((0.01, "lo"), (0.99, "hi")))
-    return f", e AS (SELECT {ends} FROM {source}) SELECT r, c, round(greatest((z - lo) / (hi - lo), 0.0), 6) AS value FROM {source}, e"
+def _stretched(source: str, low: float = 0.01, high: float = 0.99) -> str:
+    """Between two percentiles of the valid cells; source has r, c and z."""
+    return f", v AS (SELECT r, c, CASE WHEN px.z IS NOT NULL THEN o.z END AS z FROM px JOIN {source} o USING (r, c) WHERE here), e AS (SELECT quantile_cont(z, {low}) AS lo, quantile_cont(z, {high}) AS hi FROM v) SELECT r, c, round(CASE WHEN z IS NOT NULL THEN greatest((z - lo) / (hi - lo), 0.0) END, 6) AS value FROM v, e"
 
 
 def _open(sign: int, distance: int) -> str:
     rings = sorted({int((0.1 + 0.1 * i) * distance + 1e-9) for i in range(10)} - {0})
-    far = f"max(atan({sign} * rise))"
     return _around(16, [(d, 1.0) for d in rings]) + (
-        f", far AS (SELECT r, c, k, {far} AS far FROM up GROUP BY r, c, k), o AS (SELECT r, c, pow({_clip('avg(pi() / 2 - far) / (pi() / 2)')}, 1/2.2) AS z FROM far GROUP BY r, c)"
+        f", far AS (SELECT r, c, k, max(atan({sign} * rise)) AS far FROM up GROUP BY r, c, k), a AS (SELECT r, c, avg(pi() / 2 - far) AS a FROM far GROUP BY r, c)"
+        f", o AS (SELECT px.r, px.c, pow({_clip('coalesce(a, 0.0) / (pi() / 2)')}, 1/2.2) AS z FROM px LEFT JOIN a USING (r, c))"
     ) + _stretched("o")
 
 
-_STEEP = "degrees(atan(sqrt(p*p + q*q)))"
-_HAZE = "(1 - exp(-0.5 / (cos(atan(sqrt(p*p + q*q))) + 0.001)))"
-_LIGHTS = [f"greatest(0.0, {_lambert(a)})" for a in (315, 45, 135, 225)]
-_CURVES = {
-    "mean": "-((1+q*q)*rr - 2*p*q*(py+qx)/2 + (1+p*p)*tt) / (2*pow(1+p*p+q*q, 1.5) + 1e-10)",
-    "gaussian": "(rr*tt - py*py) / ((1+p*p+q*q)*(1+p*p+q*q))",
-    "planform": "-(q*q*rr - 2*p*q*py + p*p*tt) / (pow(p*p+q*q, 1.5) + 1e-10)",
-    "profile": "-(p*p*rr + 2*p*q*py + q*q*tt) / ((p*p+q*q)*pow(1+p*p+q*q, 1.5) + 1e-10)",
-}
-_BOX = """, i AS (SELECT unnest(range(-{r}, {r} + 1)) AS k),
- s1 AS (SELECT px.r, px.c, sum(a.z) AS s, count(a.z) AS n FROM px, i JOIN px a ON TRUE WHERE a.r = px.r AND a.c = CASE WHEN px.c + k < 0 THEN -1 - px.c - k WHEN px.c + k > px.w - 1 THEN 2*px.w - 1 - px.c - k ELSE px.c + k END GROUP BY ALL),
- s2 AS (SELECT px.r, px.c, any_value(px.z) AS z, sum(a.s) / sum(a.n) AS m FROM px, i JOIN s1 a ON TRUE WHERE a.c = px.c AND a.r = CASE WHEN px.r + k < 0 THEN -1 - px.r - k WHEN px.r + k > px.w - 1 THEN 2*px.w - 1 - px.r - k ELSE px.r + k END GROUP BY ALL),
- x AS (SELECT r, c, z - m AS x FROM s2)"""
+#: Voids at the mean of the valid cells.
+_LEVEL = ", lv AS (SELECT r, c, w, h, coalesce(z, (SELECT avg(z) FROM px)) AS z FROM px)"
+_TENSOR_SHARES = {2: 2 / 3, 8: 1 / 3}
+
+
+def _tensor(value: str) -> str:
+    d0, d1 = K.taps(1.0).tolist(), K.taps(1.0, 1).tolist()
+    sql = _HOLES + _LEVEL + _separable("lv", "tx", {"p": "z"}, d0, d1) + _separable("lv", "ty", {"q": "z"}, d1, d0)
+    sql += ", pq AS (SELECT tx.r, tx.c, tx.w, tx.h, p * p AS xx, q * q AS yy, p * q AS xy FROM tx JOIN ty USING (r, c))"
+    parts = []
+    for r, share in _TENSOR_SHARES.items():
+        w = K.taps(max(1, r / 2)).tolist()
+        sql += _separable("pq", f"j{r}", {"xx": "xx", "yy": "yy", "xy": "xy"}, w, w)
+        spread = "sqrt((xx - yy) * (xx - yy) + 4 * xy * xy)"
+        power = f"pow({spread} / (xx + yy + 1e-12), 2)"
+        parts.append(f"SELECT r, c, {share!r} * -{power} * (xx - yy) / greatest({spread}, 1e-30) AS u, {share!r} * -{power} * 2 * xy / greatest({spread}, 1e-30) AS v FROM j{r}")
+    return sql + f", uv AS (SELECT r, c, sum(u) AS u, sum(v) AS v FROM ({' UNION ALL '.join(parts)}) GROUP BY r, c), o AS (SELECT r, c, {value} AS z FROM uv)"
+
+
+def _hessians(radii: tuple[int, ...]) -> str:
+    sql, parts = _HOLES + _LEVEL, []
+    for r in radii:
+        s = max(0.8, r / 2)
+        t = [[x * s * s for x in K.taps(s, 2).tolist()], K.taps(s).tolist(), K.taps(s, 1).tolist(), [x * s * s for x in K.taps(s, 1).tolist()]]
+        sql += _separable("lv", f"xx{r}", {"x": "z"}, t[1], t[0]) + _separable("lv", f"yy{r}", {"y": "z"}, t[0], t[1]) + _separable("lv", f"xy{r}", {"z": "z"}, t[3], t[2])
+        parts.append(f"SELECT r, c, 0.5 * (x + y) + sqrt(0.25 * (x - y) * (x - y) + xy{r}.z * xy{r}.z) AS l, 0.5 * (x + y) - sqrt(0.25 * (x - y) * (x - y) + xy{r}.z * xy{r}.z) AS m FROM xx{r} JOIN yy{r} USING (r, c) JOIN xy{r} USING (r, c)")
+    sql += f", l AS ({' UNION ALL '.join(parts)}), ab AS (SELECT r, c, CASE WHEN abs(l) > abs(m) THEN m ELSE l END AS a, CASE WHEN abs(l) > abs(m) THEN l ELSE m END AS b FROM l)"
+    sql += ", big AS (SELECT r, c, max(sqrt(a*a + b*b)) AS s FROM ab GROUP BY r, c), k AS (SELECT greatest(quantile_cont(s, 0.95) / 2, 1e-12) AS c0 FROM big JOIN px USING (r, c) WHERE z IS NOT NULL)"
+    return sql + ", v AS (SELECT r, c, b, exp(-pow(a / CASE WHEN b >= 0 THEN b + 1e-12 ELSE b - 1e-12 END, 2) / 0.5) * (1 - exp(-(a*a + b*b) / (2 * c0 * c0))) AS v FROM ab, k), m AS (SELECT r, c, max(CASE WHEN b < 0 THEN v ELSE 0 END) AS ridge, max(CASE WHEN b > 0 THEN v ELSE 0 END) AS valley FROM v GROUP BY r, c)"
+
+
+def _frangi(value: str) -> str:
+    return _hessians((2, 4, 8)) + f" SELECT px.r, px.c, round(CASE WHEN z IS NOT NULL THEN {value} END, 6) AS value FROM m JOIN px USING (r, c) WHERE here"
+
+
+def _saliency() -> str:
+    sql = _HOLES + "".join(_gauss("px", s, f"s{s}") for s in (2, 4, 8, 16))
+    pairs = " + ".join(f"ln(1 + abs(s{a}.z - s{b}.z))" for a, b in ((2, 8), (2, 16), (4, 16)))
+    maps = []
+    for s in (2, 4, 8):
+        sql += f", d{s} AS (SELECT r, c, {_d1('z', 'c')} AS p, {_d1('z', 'r')} AS q FROM s{s})"
+        maps += [f"ln(1 + sqrt(d{s}.p*d{s}.p + d{s}.q*d{s}.q) * greatest(cos(2 * (atan2(d{s}.q, d{s}.p) - {i} * pi() / 4)), 0))" for i in range(4)]
+    joins = " ".join(f"JOIN s{s} USING (r, c)" for s in (2, 4, 8, 16)) + " " + " ".join(f"JOIN d{s} USING (r, c)" for s in (2, 4, 8))
+    return sql + f", x AS (SELECT px.r, px.c, CASE WHEN px.z IS NOT NULL THEN 0.5 * (({pairs}) / 3 + ({' + '.join(maps)}) / 12) END AS x FROM px {joins} WHERE here) SELECT r, c, round(CASE WHEN x IS NOT NULL THEN greatest(x, 0) / (SELECT quantile_cont(greatest(x, 0), 0.99) FROM x WHERE x IS NOT NULL) END, 6) AS value FROM x"
+
+
+def _drifts(scales_: tuple[int, ...]) -> str:
+    sql = _HOLES + "".join(_gauss("px", s, f"s{s}") for s in scales_)
+    parts = []
+    for a, b in zip(scales_, scales_[1:], strict=False):
+        sql += f", i{a} AS (SELECT s{a}.r, s{a}.c, s{a}.w, s{a}.h, s{b}.z - s{a}.z AS t, (s{a}.z + s{b}.z) / 2 AS m FROM s{a} JOIN s{b} USING (r, c)), k{a} AS (SELECT *, {_d1('m', 'c')} AS p, {_d1('m', 'r')} AS q FROM i{a})"
+        w = K.taps(min(max(1.5, a), 24)).tolist()
+        sql += _separable(f"k{a}", f"l{a}", {"xx": "p * p", "yy": "q * q", "xy": "p * q", "bu": "p * t", "bv": "q * t"}, w, w)
+        sql += f", n{a} AS (SELECT r, c, w, h, xx + 1e-3 * (xx + yy) + 1e-12 AS xx, yy + 1e-3 * (xx + yy) + 1e-12 AS yy, xy, bu, bv FROM l{a})"
+        share = 1 / (len(scales_) - 1) / (b - a)
+        parts.append(f"SELECT r, c, w, h, {share!r} * -(yy * bu - xy * bv) / (xx * yy - xy * xy) AS dx, {share!r} * -(xx * bv - xy * bu) / (xx * yy - xy * xy) AS dy FROM n{a}")
+    return sql + f", dr AS (SELECT r, c, any_value(w) AS w, any_value(h) AS h, sum(dx) AS dx, sum(dy) AS dy FROM ({' UNION ALL '.join(parts)}) GROUP BY r, c)"
+
+
+def _roughness(n: int) -> str:
+    """Deviation in an n x n box of the valid cells inside the raster."""
+    w = [1.0] * n
+    return _separable("px", "rb", {"s": "coalesce(z, 0.0)", "q": "coalesce(z * z, 0.0)", "n": "(z IS NOT NULL)::INT::DOUBLE"}, w, w, inside=True) + ", rough AS (SELECT r, c, CASE WHEN n > 0 THEN sqrt(greatest(q / n - (s / n) * (s / n), 0)) ELSE 0 END AS x FROM rb)"
+
+
+def _specular(n: int, shininess: float = 10) -> str:
+    x, y, up = (math.sin(math.radians(315)) * math.cos(math.radians(45)), math.cos(math.radians(315)) * math.cos(math.radians(45)), math.sin(math.radians(45)))
+    half = math.sqrt(x * x + y * y + (up + 1) ** 2)
+    hx, hy, hz = x / half, y / half, (up + 1) / half
+    sql = _gradients(_HOLES) + _roughness(n) + ", k AS (SELECT quantile_cont(x, 0.95) AS d FROM rough JOIN px USING (r, c) WHERE z IS NOT NULL AND x > 0)"
+    sql += f", a AS (SELECT g.r, g.c, g.w, g.h, p, q, least(greatest(x / (x + d), 0.05), 1.0) AS rho, 1 / sqrt(p*p + q*q + 1) AS nz FROM g JOIN rough USING (r, c), k)"
+    sql += f", b AS (SELECT *, {_clip(f'pow({_clip(f'(-p * {hx!r} - q * {hy!r} + {hz!r}) * nz')}, {shininess} * (1 - 0.8 * rho))')} AS s FROM a)"
+    sql += f", c1 AS (SELECT *, {_clip('s * (0.95 + 0.70 * (1 - rho))')} AS s1 FROM b), c2 AS (SELECT *, {_clip('s1 * (0.80 + 0.45 * (0.06 + 0.94 * pow(1 - least(greatest(nz, 0.0), 1.0), 5)))')} AS s2 FROM c1), c3 AS (SELECT *, s2 / (1 + 0.35 * s2) AS z FROM c2)"
+    sql += _separable("c3", "sm", {"z": "z"}, K.taps(1.1).tolist(), K.taps(1.1).tolist())
+    sql += f", o AS (SELECT c3.r, c3.c, {_clip(f'pow({_clip(f'0.36 * 0.28 * {_SHADE} + 0.64 * c3.z')}, 0.88) + 0.10 * (c3.z - sm.z) * (1 - 0.6 * rho)')} AS o FROM c3 JOIN sm USING (r, c))"
+    return sql + f" SELECT r, c, round(CASE WHEN z IS NOT NULL THEN {_clip(f'0.04 + 0.92 * {_clip('0.5 + 0.5 * tanh((o - 0.5) / 0.82)')}')} END, 6) AS value FROM o JOIN px USING (r, c) WHERE here"
+
+
+def _edges() -> str:
+    """Outlines at one metre: Sobel of a Gaussian of 0.5, thresholds of the whole grid, four directions, three rounds."""
+    sql = _HOLES + _gauss("px", 0.5, "s0")
+    sql += _separable("s0", "sx", {"x": "z"}, [1.0, 2.0, 1.0], [-0.125, 0.0, 0.125]) + _separable("s0", "sy", {"y": "z"}, [-0.125, 0.0, 0.125], [1.0, 2.0, 1.0])
+    sql += ", g AS (SELECT r, c, x, y, sqrt(x*x + y*y) AS g, CAST(floor(((degrees(atan2(y, x)) % 180 + 180) % 180 + 22.5) / 45) AS INT) % 4 AS side FROM sx JOIN sy USING (r, c))"
+    sql += ", k AS (SELECT quantile_cont(g, 0.5) AS b, quantile_cont(g, 0.9) - quantile_cont(g, 0.5) AS s, avg(g) AS m FROM g JOIN px USING (r, c) WHERE z IS NOT NULL), t AS (SELECT greatest(b + s * 0.1, 0.1 * m) AS lo, greatest(b + s * 0.5, 0.2 * m) AS hi FROM k)"
+    # neighbours of each direction: east-west, main diagonal, north-south, the other diagonal
+    steps = {0: (0, 1), 1: (1, 1), 2: (1, 0), 3: (1, -1)}
+    dr, dc = (f"CASE side {' '.join(f'WHEN {k} THEN {v[i]}' for k, v in steps.items())} END" for i in (0, 1))
+    sql += f", e0 AS (SELECT g.r, g.c, CASE WHEN g.g >= coalesce(a.g, 0) AND g.g >= coalesce(b.g, 0) AND g.g >= hi THEN 1.0 WHEN g.g >= coalesce(a.g, 0) AND g.g >= coalesce(b.g, 0) AND g.g >= lo THEN 0.5 ELSE 0.0 END AS e FROM (SELECT *, {dr} AS dr, {dc} AS dc FROM g) g LEFT JOIN g a ON a.r = g.r + dr AND a.c = g.c + dc LEFT JOIN g b ON b.r = g.r - dr AND b.c = g.c - dc, t)"
+    for i in range(3):
+        sql += f", e{i + 1} AS (SELECT b.r, b.c, CASE WHEN any_value(b.e) = 0.5 AND max(a.e) > 0.5 THEN 1.0 ELSE any_value(b.e) END AS e FROM e{i} b JOIN e{i} a ON a.r BETWEEN b.r - 1 AND b.r + 1 AND a.c BETWEEN b.c - 1 AND b.c + 1 GROUP BY b.r, b.c)"
+    return sql + " SELECT px.r, px.c, round(CASE WHEN z IS NOT NULL THEN pow(least(greatest(1 - 0.8 * e, 0.2), 1.0), 1/2.2) END, 6) AS value FROM e3 JOIN px USING (r, c) WHERE here"
+
+
+def _fractal(radii: tuple[int, ...]) -> str:
+    total = sum(math.sqrt(r) for r in radii)
+    w, x = [math.sqrt(r) / total for r in radii], [math.log(r) for r in radii]
+    mx = sum(a * b for a, b in zip(w, x, strict=True))
+    var = sum(a * (b - mx) ** 2 for a, b in zip(w, x, strict=True)) + 1e-10
+    sql, n = _HOLES, len(radii)
+    for i, r in enumerate(radii):
+        s = max(0.8, r / 2)
+        sql += _gauss("px", s, f"a{i}") + f", b{i} AS (SELECT px.r, px.c, px.w, px.h, (px.z - a{i}.z) * (px.z - a{i}.z) AS z FROM px JOIN a{i} USING (r, c))" + _gauss(f"b{i}", s, f"q{i}")
+    sql += ", y AS (SELECT px.r, px.c, px.w, px.h, px.z, px.here, " + ", ".join(f"greatest(sqrt(greatest(q{i}.z, 0)), 1e-8) AS s{i}" for i in range(n)) + " FROM px " + " ".join(f"JOIN q{i} USING (r, c)" for i in range(n)) + ")"
+    mean = "(" + " + ".join(f"s{i}" for i in range(n)) + f") / {n}"
+    sql += f", k AS (SELECT quantile_cont({mean}, 0.1) AS p10, quantile_cont({mean}, 0.75) AS p75 FROM y WHERE z IS NOT NULL)"
+    logs = [f"ln(greatest(s{i}, 1e-5))" for i in range(n)]
+    my = " + ".join(f"{a!r} * {v}" for a, v in zip(w, logs, strict=True))
+    sql += f", m AS (SELECT *, {my} AS my, {_clip(f'(({mean}) - p10) / greatest(p75 - p10, 1e-6)')} AS sure FROM y, k)"
+    beta = " + ".join(f"{a * (b - mx)!r} * ({v} - my)" for a, b, v in zip(w, x, logs, strict=True))
+    sql += f", b AS (SELECT *, ({beta}) / {var!r} AS beta FROM m)"
+    left = " + ".join(f"{a!r} * pow({v} - my - beta * {b - mx!r}, 2)" for a, b, v in zip(w, x, logs, strict=True))
+    whole = " + ".join(f"{a!r} * pow({v} - my, 2)" for a, v in zip(w, logs, strict=True))
+    sql += f", l AS (SELECT *, {left} AS lft, {whole} AS whole FROM b)"
+    sql += f", ft AS (SELECT r, c, w, h, here, z AS z0, 0.5 + 0.5 * {_clip(f'({_clip('1 - lft / (whole + 1e-10)')} - 0.35) / 0.6')} * sure AS al, CASE WHEN z IS NOT NULL THEN 0.75 * least(greatest(beta - 1.2, -4.0), 4.0) + 0.45 * ln(1 + sqrt(lft)) + 0.35 * ({logs[-1]} - {logs[max(n - 3, 0)]}) * sure + 0.18 * 0.35 * ({logs[0]} - {logs[min(2, n - 1)]}) * sure END AS f FROM l)"
+    sql += _gauss("ft", 1.2, "sf", value="f") + ", o AS (SELECT r, c, CASE WHEN ft.f IS NOT NULL THEN al * ft.f + (1 - al) * sf.z END AS x FROM ft JOIN sf USING (r, c) WHERE here), md AS (SELECT quantile_cont(x, 0.5) AS md FROM o)"
+    return sql + " SELECT r, c, round((x - md) / greatest((SELECT quantile_cont(abs(x - md), 0.99) FROM o, md), 1e-6), 6) AS value FROM o, md"
 
 
 def _cents(grid: DataFrame) -> DataFrame:
@@ -147,6 +314,13 @@ def _stored(store, ending: str) -> Callable[[DataFrame], DataFrame]:
     return there_and_back
 
 
+def _windowed(grid: DataFrame) -> DataFrame:
+    """Writes tiles and reads a rectangle of them back."""
+    path = shared.shared_path(grid.sparkSession, "tiles")
+    write_tiles(_cents(grid), path, 16)
+    return window(grid.sparkSession.read.parquet(path), 10, 30, 5, 20, 16).select("r", "c", "z")
+
+
 def _code(kind: str, low: float, high: float) -> str:
     from ..functions.scales import quantizer
 
@@ -154,82 +328,113 @@ def _code(kind: str, low: float, high: float) -> str:
     return f"CAST(least(greatest(round_even(v * {a!r} + {b!r}, 0), {least}), {most}) AS SMALLINT)"
 
 
+def _statistics(grid: DataFrame) -> DataFrame:
+    """Exact percentiles and the deviation of a whole grid, in one row."""
+    shares = (0.01, 0.02, 0.5, 0.98, 0.99)
+    found = quantiles(grid, F.col("z"), list(shares))
+    return grid.agg(*[F.lit(v).alias(f"p{int(q * 100)}") for q, v in zip(shares, found, strict=True)], F.stddev_pop("z").alias("sd"))
+
+
 _RELATIONAL: dict[str, tuple[Query, str]] = {
-    "slope_degree": (_grid(R.slope), _G + " SELECT r, c, round(degrees(atan(sqrt(p*p + q*q))), 6) AS slope FROM g"),
-    "slope_percent": (_grid(lambda g: R.slope(g, "percent")), _G + " SELECT r, c, round(tan(atan(sqrt(p*p + q*q))) * 100, 6) AS slope FROM g"),
-    "slope_radian": (_grid(lambda g: R.slope(g, "radian")), _G + " SELECT r, c, round(atan(sqrt(p*p + q*q)), 6) AS slope FROM g"),
-    "hillshade": (_grid(R.hillshade), _G + f" SELECT r, c, round({_SHADE}, 6) AS shade FROM g"),
-    "atmospheric_scattering": (_grid(R.atmospheric_scattering), _G + f" SELECT r, c, round(pow({_clip(f'0.3*(0.4 + 0.6*{_HAZE}) + 0.7*{_SHADE}')}, 1/2.2), 6) AS scatter FROM g"),
-    "multi_light_uncertainty": (
-        _grid(R.multi_light_uncertainty),
-        _G + ", l AS (SELECT r, c, " + ", ".join(f"{x} AS l{i}" for i, x in enumerate(_LIGHTS)) + " FROM g), m AS (SELECT *, (l0+l1+l2+l3)/4 AS m FROM l) SELECT r, c, round(" + _clip("m + 0.7*" + _clip("sqrt(((l0-m)*(l0-m)+(l1-m)*(l1-m)+(l2-m)*(l2-m)+(l3-m)*(l3-m))/4)/(m+1e-6)")) + ", 6) AS uncertainty FROM m",
-    ),
-    "slope_geographic": (_grid(lambda g: R.slope(g, pixel=_STEPS)), _GEO + " SELECT r, c, round(degrees(atan(sqrt(p*p + q*q))), 6) AS slope FROM g"),
-    "hillshade_geographic": (_grid(lambda g: R.hillshade(g, pixel=_STEPS)), _GEO + f" SELECT r, c, round({_SHADE}, 6) AS shade FROM g"),
-    **{f"curvature_{k}": (_grid(lambda g, k=k: R.curvature(g, k)), _H + f" SELECT r, c, round(pow((tanh(100*({e})) + 1)/2, 1/2.2), 6) AS curvature FROM h") for k, e in _CURVES.items()},
-    "topousm_box3": (_grid(lambda g: R.topousm(g, [3]), holes=17), _HOLES + _BOX.format(r=3) + " SELECT r, c, round(x / (SELECT quantile_cont(abs(x), 0.99) FROM x), 6) AS detail FROM x"),
-    "overview_coarsen": (_grid(lambda g: R.coarsen(g, 4), holes=17), _HOLES + " SELECT r // 4 AS r, c // 4 AS c, round(avg(z), 6) AS z, count(z) AS n FROM px GROUP BY ALL"),
-    "overview_pyramid": (_grid(lambda g: R.pyramid(g.withColumn("z", F.round(F.col("z") * 100000, 2)), [2, 4])), _PX + " " + " UNION ALL ".join(f"SELECT {k} AS level, r // {k} AS r, c // {k} AS c, round(avg(round(z * 100000, 2)), 6) AS z FROM px GROUP BY ALL" for k in (2, 4))),
+    "slope_degree": (_grid(R.slope), _G + _valid(_STEEP, "slope")),
+    "slope_percent": (_grid(lambda g: R.slope(g, "percent")), _G + _valid("tan(atan(sqrt(p*p + q*q))) * 100", "slope")),
+    "slope_radian": (_grid(lambda g: R.slope(g, "radian")), _G + _valid("atan(sqrt(p*p + q*q))", "slope")),
+    "hillshade": (_grid(R.hillshade), _G + _valid(_SHADE, "shade")),
+    "atmospheric_scattering": (_grid(R.atmospheric_scattering), _G + _valid(_SCATTER, "scatter")),
+    "multi_light_uncertainty": (_grid(R.multi_light_uncertainty), _G + _valid(_UNCERTAIN, "uncertainty")),
+    "slope_voids": (_grid(R.slope, holes=17), _gradients(_HOLES) + _valid(_STEEP, "slope")),
+    "hillshade_voids": (_grid(R.hillshade, block=True), _gradients(_BLOCK) + _valid(_SHADE, "shade")),
+    "slope_geographic": (_grid(lambda g: R.slope(g, pixel=_STEPS)), _GEO + _valid(_STEEP, "slope", "geo")),
+    "hillshade_geographic": (_grid(lambda g: R.hillshade(g, pixel=_STEPS)), _GEO + _valid(_SHADE, "shade", "geo")),
+    **{f"curvature_{k}": (_grid(lambda g, k=k: R.curvature(g, k)), _H + _valid(_curve(k), "curvature", "h2")) for k in _CURVES},
+    "topousm_box3": (_grid(lambda g: R.topousm(g, [3]), holes=17), _over_means({3: 1.0}, lambda r, n: _box(2 * r + 1, n)) + " SELECT r, c, round(x / (SELECT quantile_cont(abs(x), 0.99) FROM x), 6) AS detail FROM x"),
+    "overview_coarsen": (_grid(lambda g: R.coarsen(g, 4), holes=17), _HOLES + " SELECT r // 4 AS r, c // 4 AS c, round(avg(z), 6) AS z, count(z) AS n FROM px WHERE here GROUP BY ALL"),
+    "overview_pyramid": (_grid(lambda g: R.pyramid(_cents(g), [2, 4, 8, 16, 32, 64, 128, 256]).withColumn("z", F.col("z") + 1e-7)), _PX + " " + " UNION ALL ".join(f"SELECT {k} AS level, r // {k} AS r, c // {k} AS c, round(avg(round(z * 100000, 2)) + 1e-7, 6) AS z FROM px WHERE here GROUP BY ALL" for k in (2, 4, 8, 16, 32, 64, 128, 256))),
     "valid_box": (_grid(R.valid_box, block=True), _BLOCK + " SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1, count(*) AS n FROM px WHERE z IS NOT NULL"),
-    "tile_voids": (_grid(lambda g: R.tile_voids(g, 32), block=True), _BLOCK + " SELECT r // 32 AS ty, c // 32 AS tx, round(avg((z IS NULL)::INT::DOUBLE), 6) AS share, count(*) AS n FROM px GROUP BY ALL"),
+    "tile_voids": (_grid(lambda g: R.tile_voids(g, 32), block=True), _BLOCK + " SELECT r // 32 AS ty, c // 32 AS tx, round(avg((z IS NULL)::INT::DOUBLE), 6) AS share, count(*) AS n FROM px WHERE here GROUP BY ALL"),
     "nodata_sentinel": (
         _grid(lambda g: R.sentinel(g.withColumn("z", F.coalesce("z", F.lit(-9999.0)))), block=True),
-        _BLOCK + ", v AS (SELECT coalesce(z, -9999.0) AS z FROM px), t AS (SELECT z, count(*) AS count FROM v GROUP BY z ORDER BY count DESC, z LIMIT 1) SELECT round(z, 6) AS z, count, (SELECT count(*) FROM v) AS valid FROM t WHERE count >= 0.05 * (SELECT count(*) FROM v)",
+        _BLOCK + ", v AS (SELECT coalesce(z, -9999.0) AS z FROM px WHERE here), t AS (SELECT z, count(*) AS count FROM v GROUP BY z ORDER BY count DESC, z LIMIT 1) SELECT round(z, 6) AS z, count, (SELECT count(*) FROM v) AS valid FROM t WHERE count >= 0.05 * (SELECT count(*) FROM v)",
     ),
-    "border_zero_share": (_grid(lambda g: R.border_zero_share(g.withColumn("z", F.coalesce("z", F.lit(0.0)))), block=True), _BLOCK + " SELECT round(avg((coalesce(z, 0) = 0)::INT::DOUBLE), 6) AS zero_share, count(*) AS n FROM px WHERE r = 0 OR c = 0 OR r = w - 1 OR c = w - 1"),
+    "implicit_nodata": (
+        _grid(lambda g: R.implicit_nodata(g.withColumn("z", F.coalesce("z", F.lit(-32768.0)))), block=True),
+        _BLOCK + ", v AS (SELECT coalesce(z, -32768.0) AS z FROM px WHERE here), t AS (SELECT s.z, avg((abs(v.z - s.z) <= 1e-6)::INT::DOUBLE) AS share FROM v CROSS JOIN (VALUES (0.0), (-9999.0), (9999.0), (-32768.0), (32768.0)) s(z) GROUP BY s.z) SELECT z::DOUBLE AS z, round(share, 6) AS share FROM t WHERE share >= 0.01",
+    ),
+    "border_zero": (
+        _grid(lambda g: R.border_zero(g.withColumn("z", F.coalesce("z", F.lit(0.0)))), block=True),
+        _BLOCK + ", b AS (SELECT coalesce(z, 0.0) AS z FROM px, (SELECT least(64, greatest(1, any_value(h) // 20), greatest(1, any_value(w) // 20)) AS d FROM px) WHERE here AND (r < d OR c < d OR r >= h - d OR c >= w - d)), t AS (SELECT avg((z = 0)::INT::DOUBLE) AS share, count(*) AS n FROM b) SELECT 0.0::DOUBLE AS z, round(share, 6) AS share, n FROM t WHERE share >= 0.6 OR (share >= 0.3 AND share < 1)",
+    ),
+    "border_zero_share": (_grid(lambda g: R.border_zero_share(g.withColumn("z", F.coalesce("z", F.lit(0.0)))), block=True), _BLOCK + " SELECT round(avg((coalesce(z, 0) = 0)::INT::DOUBLE), 6) AS zero_share, count(*) AS n FROM px WHERE here AND (r = 0 OR c = 0 OR r = h - 1 OR c = w - 1)"),
     "stats_percentiles": (
-        _grid(lambda g: g.agg(*[F.percentile("z", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.01, 0.02, 0.5, 0.98, 0.99)], F.stddev_pop("z").alias("sd"))),
+        _grid(_statistics),
         _PX + " SELECT " + ", ".join(f"round(quantile_cont(z, {q}), 6) AS p{int(q * 100)}" for q in (0.01, 0.02, 0.5, 0.98, 0.99)) + ", round(stddev_pop(z), 6) AS sd FROM px",
     ),
     **{
         f"quantize_{kind}_{'signed' if low < 0 else 'unsigned'}": (
             _grid(lambda g, kind=kind, low=low, high=high: R.quantize(g.withColumn("v", F.col("z") - (2.5 if low < 0 else 0)), "v", kind, low, high), holes=17),
-            _HOLES + f" SELECT r, c, CASE WHEN v IS NULL THEN 0::SMALLINT ELSE {_code(kind, low, high)} END AS code FROM (SELECT r, c, z - {2.5 if low < 0 else 0} AS v FROM px)",
+            _HOLES + f" SELECT r, c, CASE WHEN v IS NULL THEN 0::SMALLINT ELSE {_code(kind, low, high)} END AS code FROM (SELECT r, c, z - {2.5 if low < 0 else 0} AS v FROM px WHERE here)",
         )
         for kind, low, high in (("int16", -3.0, 3.0), ("uint8", -3.0, 3.0), ("int16", 0.0, 5.0), ("uint8", 0.0, 5.0))
     },
     "zarr_round_trip": (_grid(_stored(zarr, ".zarr"), holes=17), _HOLES + " SELECT r, c, round(z * 100000, 2) AS z FROM px"),
     "geotiff_round_trip": (_grid(_stored(tiff, ".tif"), holes=17), _HOLES + " SELECT r, c, round(z * 100000, 2) AS z FROM px"),
-    "prepare_nodata": (_grid(lambda g: P.prepare(_cents(g).withColumn("z", F.coalesce("z", F.lit(-9999.0))), "none"), block=True), _BLOCK + " SELECT r, c, round(z * 100000, 2) AS z FROM px"),
+    "windowed_read": (_grid(_windowed), _PX + " SELECT r, c, round(z * 100000, 2) AS z FROM px WHERE here AND r BETWEEN 10 AND 30 AND c BETWEEN 5 AND 20"),
+    "prepare_nodata": (_grid(lambda g: P.prepare(_cents(g).withColumn("z", F.coalesce("z", F.lit(-9999.0))), "none"), block=True), _BLOCK + " SELECT r, c, round(z * 100000, 2) AS z FROM px WHERE here"),
     "embedding_slope": (
         lambda spark, sf_dir: rounded(R.slope(array_grid(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding"))),
-        "WITH e AS (SELECT vec_id AS r, unnest(range(64)) AS c, unnest(embedding)::DOUBLE AS z FROM embeddings), px AS (SELECT *, 64 AS w, (SELECT count(*) FROM embeddings) AS hh FROM e), "
-        + f"g AS (SELECT r, c, {_d('z', 'c')} AS p, {_d('z', 'r').replace('w - 1', 'hh - 1')} AS q FROM px) SELECT r, c, round(degrees(atan(sqrt(p*p + q*q))), 6) AS slope FROM g",
+        "WITH e AS (SELECT vec_id AS r, unnest(range(64)) AS c, unnest(embedding)::DOUBLE AS z FROM embeddings), px AS (SELECT *, 64 AS w, (SELECT count(*) FROM embeddings) AS h FROM e), "
+        + f"g AS (SELECT r, c, {_d('z', 'c')} AS p, {_d('z', 'r')} AS q FROM px) SELECT r, c, round({_STEEP}, 6) AS slope FROM g",
     ),
 }
 
+#: A recursive query: voids that the border reaches through voids.
+_EXTERIOR = _BLOCK.replace("WITH n", "WITH RECURSIVE n", 1) + ", vd AS (SELECT r, c, w, h FROM px WHERE z IS NULL), rc(r, c) AS (SELECT r, c FROM vd WHERE r = 0 OR c = 0 OR r = h - 1 OR c = w - 1 UNION SELECT vd.r, vd.c FROM rc JOIN vd ON abs(vd.r - rc.r) + abs(vd.c - rc.c) = 1) SELECT px.r, px.c, (rc.r IS NOT NULL)::INT::DOUBLE AS outside FROM px LEFT JOIN rc USING (r, c) WHERE here"
+
 #: Tiled queries with an SQL twin.
 _TILED_SQL = {
-    "blur": _PX + _gauss("px", 3, "s") + " SELECT r, c, round(z, 6) AS value FROM s",
-    "topousm_fast": _over_means({2: 0.5, 8: 0.5}, _box) + " SELECT r, c, round(x / (SELECT quantile_cont(abs(x), 0.99) FROM x), 6) AS value FROM x",
-    "multiscale_terrain": _over_means({s: 1 / s / (1 + 1 / 4 + 1 / 8) for s in (1, 4, 8)}, lambda s, name: _gauss("px", s, name))
-    + ", o AS (SELECT r, c, greatest(x - (SELECT quantile_cont(x, 0.01) FROM x), 0.0) AS x FROM x) SELECT r, c, round(pow(x / (SELECT quantile_cont(x, 0.99) FROM o), 1/2.2), 6) AS value FROM o",
-    "ambient_occlusion": _around(16, [(6 * f, f) for f in (0.25, 0.5, 0.75, 1.0)], True)
-    + f", o AS (SELECT r, c, any_value(w) AS w, {_clip('1 - avg(least(greatest(atan(rise), 0.0) / (pi() / 4), 1.0) * (1 - 0.3 * f))')} AS z FROM up GROUP BY r, c)"
-    + _gauss("o", 1, "s") + ", g AS (SELECT r, c, pow(z, 1/2.2) AS z FROM s)" + _stretched("g"),
-    "openness_positive": _open(1, 12), "openness_negative": _open(-1, 12),
-    "scale_space_surprise": _PX + "".join(_gauss("px", s, f"s{s}", True) for s in (1, 2, 4))
-    + ", x AS (SELECT r, c, (abs(s2.z - s1.z) + abs(s4.z - s2.z)) / 2 AS x FROM s1 JOIN s2 USING (r, c) JOIN s4 USING (r, c)), e AS (SELECT quantile_cont(x, 0.02) AS lo, quantile_cont(x, 0.99) AS hi FROM x) SELECT r, c, round(sqrt(greatest((x - lo) / (hi - lo), 0.0)), 6) AS value FROM x, e",
-    "slope_spatial": _spatial(_STEEP, "max"),
-    **{f"hillshade_spatial{'' if how == 'mean' else '_' + how}": _spatial(_SHADE, "avg" if how == "mean" else how) for how in ("mean", "min", "max", "sum", "stack")},
-}
+    "blur": _HOLES + _gauss("px", 16, "s") + " SELECT px.r, px.c, round(CASE WHEN px.z IS NOT NULL THEN s.z END, 6) AS value FROM px JOIN s USING (r, c) WHERE here",
+    "topousm_fast": _over_means({2: 2 / 3, 8: 1 / 3}, lambda r, n: _box(2 * r + 1, n)) + " SELECT r, c, round(x / (SELECT quantile_cont(abs(x), 0.99) FROM x), 6) AS value FROM x",
+    "topousm_weights": _over_means({1: 0.25, 4: 0.75}, lambda r, n: _gauss("px", 1, n) if r == 1 else _box(2 * r + 1, n)) + " SELECT r, c, round(x / (SELECT quantile_cont(abs(x), 0.99) FROM x), 6) AS value FROM x",
+    "multiscale_terrain": _over_means({s: 1 / s / (1 + 1 / 10 + 1 / 50 + 1 / 100) for s in (1, 10, 50, 100)}, lambda s, name: _gauss("px", s, name))
+    + ", o AS (SELECT r, c, greatest(x - (SELECT quantile_cont(x, 0.01) FROM x), 0.0) AS x FROM x WHERE x IS NOT NULL) SELECT x.r, x.c, round(pow(o.x / (SELECT quantile_cont(x, 0.99) FROM o), 1/2.2), 6) AS value FROM x LEFT JOIN o USING (r, c)",
+    "ambient_occlusion": _around(16, [(10 * f, f) for f in (0.25, 0.5, 0.75, 1.0)], True)
+    + f", a AS (SELECT r, c, avg(least(greatest(atan(rise), 0.0) / (pi() / 4), 1.0) * (1 - 0.3 * f)) AS a FROM up GROUP BY r, c), o1 AS (SELECT px.r, px.c, w, h, CASE WHEN z IS NULL THEN 1.0 ELSE {_clip('1 - coalesce(a, 0.0)')} END AS z FROM px LEFT JOIN a USING (r, c))"
+    + _separable("o1", "s", {"z": "z"}, K.taps(1).tolist(), K.taps(1).tolist()) + ", o AS (SELECT r, c, pow(z, 1/2.2) AS z FROM s)" + _stretched("o"),
+    "openness_positive": _open(1, 50), "openness_negative": _open(-1, 50),
+    "scale_space_surprise": _HOLES + "".join(_gauss("px", s, f"s{s}", True) for s in (1, 2, 4, 8, 16))
+    + ", x AS (SELECT px.r, px.c, CASE WHEN px.z IS NOT NULL THEN (abs(s2.z - s1.z) + abs(s4.z - s2.z) + abs(s8.z - s4.z) + abs(s16.z - s8.z)) / 4 END AS x FROM px JOIN s1 USING (r, c) JOIN s2 USING (r, c) JOIN s4 USING (r, c) JOIN s8 USING (r, c) JOIN s16 USING (r, c) WHERE here), e AS (SELECT quantile_cont(x, 0.02) AS lo, quantile_cont(x, 0.99) AS hi FROM x) SELECT r, c, round(CASE WHEN x IS NOT NULL THEN sqrt(greatest((x - lo) / (hi - lo), 0.0)) END, 6) AS value FROM x, e",
+    "slope_spatial": _spatial(_STEEP, "max", px=_HOLES), "curvature_spatial": _spatial(_curve("mean"), second=True, px=_HOLES),
+    "atmospheric_spatial": _spatial(_SCATTER), "multi_light_spatial": _spatial(_UNCERTAIN),
+    **{f"hillshade_spatial{'' if how == 'mean' else '_' + how}": _spatial(_SHADE, how) for how in ("mean", "min", "max", "sum", "stack")},
+    "structure_coherence": _tensor("sqrt(u*u + v*v)") + _stretched("o", 0.02, 0.98),
+    "structure_orientation": _tensor("CASE WHEN atan2(v, u) < 0 THEN 0.5 * atan2(v, u) / pi() + 1 ELSE 0.5 * atan2(v, u) / pi() END") + " SELECT px.r, px.c, round(CASE WHEN px.z IS NOT NULL THEN o.z END, 6) AS value FROM px JOIN o USING (r, c) WHERE here",
+    "structure_fabric": _tensor("0.5 + 0.5 * (u * cos(2 * atan2(-cos(radians(315)), sin(radians(315)))) + v * sin(2 * atan2(-cos(radians(315)), sin(radians(315)))))") + _stretched("o", 0.02, 0.98),
+    "frangi_both": _frangi("0.5 + 0.5 * least(greatest(ridge - valley, -1.0), 1.0)"), "frangi_ridge": _frangi("ridge"), "frangi_valley": _frangi("valley"),
+    "visual_saliency": _saliency(), "specular": _specular(20), "npr_edges": _edges(), "fractal_anomaly": _fractal((2, 4, 6, 8, 12)),
+    "drift_magnitude": _drifts((2, 4, 8)) + ", o AS (SELECT r, c, sqrt(dx*dx + dy*dy) AS z FROM dr)" + _stretched("o", 0.02, 0.98),
+    "drift_direction": _drifts((2, 4, 8)) + " SELECT px.r, px.c, round(CASE WHEN px.z IS NOT NULL THEN CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) / (2 * pi()) + 1 ELSE atan2(dy, dx) / (2 * pi()) END END, 6) AS value FROM px JOIN dr USING (r, c) WHERE here",
+    "drift_divergence": _drifts((2, 4, 8)) + f", dv AS (SELECT r, c, {_d1('dx', 'c')} + {_d1('dy', 'r')} AS v FROM dr), o AS (SELECT px.r, px.c, CASE WHEN px.z IS NOT NULL THEN v END AS v FROM px JOIN dv USING (r, c) WHERE here) SELECT r, c, round(0.5 + 0.5 * tanh(v / (SELECT quantile_cont(abs(v), 0.95) FROM o)), 6) AS value FROM o",
+    "exterior_mask": _EXTERIOR,
+}
 
-#: Parameters of the tiled queries: radii that keep halos within small grids.
-_TILED: dict[str, dict] = {
-    "blur": {"radius": 3}, "hillshade_spatial": {"algorithm": "hillshade", "radii": (2, 4)}, **{f"hillshade_spatial_{how}": {"algorithm": "hillshade", "radii": (2, 4), "agg": how} for how in ("min", "max", "sum", "stack")}, "slope_spatial": {"algorithm": "slope", "radii": (2, 4), "agg": "max"},
-    "topousm_fast": {"radii": (2, 8)}, "multiscale_terrain": {"scales": (1, 4, 8)}, "specular": {"size": 9}, "visual_saliency": {}, "npr_edges": {}, "ambient_occlusion": {"radius": 6},
-    "openness_positive": {"algorithm": "openness", "distance": 12}, "openness_negative": {"algorithm": "openness", "distance": 12, "kind": "negative"}, "fractal_anomaly": {"radii": (2, 4, 6, 8, 12)},
-    "scale_space_surprise": {"scales": (1, 2, 4)}, "structure_coherence": {"algorithm": "structure_tensor"}, "structure_orientation": {"algorithm": "structure_tensor", "output": "orientation"},
-    "structure_fabric": {"algorithm": "structure_tensor", "output": "fabric"}, "frangi_both": {"algorithm": "frangi"}, "frangi_ridge": {"algorithm": "frangi", "feature": "ridge"}, "frangi_valley": {"algorithm": "frangi", "feature": "valley"},
-    "lic_flow": {"algorithm": "lic"}, "lic_contour": {"algorithm": "lic", "field": "contour"}, "phase_congruency": {"waves": (4, 8, 16)}, "phase_edge": {"algorithm": "phase_congruency", "waves": (4, 8, 16), "feature": "edge"},
-    "tv_texture": {"algorithm": "tv_decomposition", "iterations": 40}, "tv_structure": {"algorithm": "tv_decomposition", "iterations": 40, "component": "structure"},
-    "drift_magnitude": {"algorithm": "scale_drift", "scales": (2, 4, 8)}, "drift_direction": {"algorithm": "scale_drift", "scales": (2, 4, 8), "output": "direction"}, "drift_divergence": {"algorithm": "scale_drift", "scales": (2, 4, 8), "output": "divergence"},
+#: Parameters of the tiled queries, with the operators' own defaults where radii need not be named for a twin in SQL; voids at every 17th cell but for the first rows.
+_WHOLE: dict[str, dict] = {
+    **{f"hillshade_spatial{'' if how == 'mean' else '_' + how}": {"algorithm": "hillshade", "radii": (2, 4), "agg": how} for how in ("mean", "min", "max", "sum", "stack")},
+    "atmospheric_spatial": {"algorithm": "atmospheric_scattering", "radii": (2, 4)}, "multi_light_spatial": {"algorithm": "multi_light_uncertainty", "radii": (2, 4)},
+    "lic_flow": {"algorithm": "lic"}, "lic_contour": {"algorithm": "lic", "lic_field": "contour"}, "phase_congruency": {}, "phase_edge": {"algorithm": "phase_congruency", "feature_type": "edge"},
+    "tv_texture": {"algorithm": "tv_decomposition"}, "tv_structure": {"algorithm": "tv_decomposition", "component": "structure"},
+}
+_HOLED: dict[str, dict] = {
+    "blur": {}, "topousm_fast": {"radii": (2, 8)}, "topousm_weights": {"algorithm": "topousm_fast", "radii": (1, 4), "weights": (1, 3)}, "multiscale_terrain": {}, "slope_spatial": {"algorithm": "slope", "radii": (2, 4), "agg": "max"}, "curvature_spatial": {"algorithm": "curvature", "radii": (2, 4)},
+    "specular": {"mode": "local"}, "visual_saliency": {}, "npr_edges": {"mode": "local"}, "ambient_occlusion": {"mode": "local"}, "openness_positive": {"algorithm": "openness", "mode": "local"}, "openness_negative": {"algorithm": "openness", "mode": "local", "openness_type": "negative"}, "fractal_anomaly": {"radii": (2, 4, 6, 8, 12)},
+    "scale_space_surprise": {}, **{f"structure_{k}": {"algorithm": "structure_tensor", "radii": (2, 8), "st_output": k} for k in ("coherence", "orientation", "fabric")},
+    **{f"frangi_{k}": {"algorithm": "frangi", "radii": (2, 4, 8), "feature_type": k} for k in ("both", "ridge", "valley")}, **{f"drift_{k}": {"algorithm": "scale_drift", "scales": (2, 4, 8), "drift_output": k} for k in ("magnitude", "direction", "divergence")},
 }
 
 
-def _tiled(name: str, params: dict) -> Query:
+def _tiled(name: str, params: dict, **kind) -> Query:
     params = {"algorithm": name} | params
-    return lambda spark, sf_dir: rounded(registry.run(orders_grid(spark, sf_dir), tile=256, **params))
+    return lambda spark, sf_dir: rounded(registry.run(orders_grid(spark, sf_dir, **kind), tile=256, **params))
 
 
 def _coarse(kernel: Callable, name: str) -> Query:
@@ -256,7 +461,8 @@ def _coarse(kernel: Callable, name: str) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {k: q for k, (q, _) in _RELATIONAL.items()} | {k: _tiled(k, p) for k, p in _TILED.items()} | {"exterior_mask": _coarse(K.exterior, "outside"), "push_pull_fill": _coarse(K.push_pull, "filled"), "prepare_enclosed": _grid(P.prepare, block=True), "prepare_all": _grid(lambda g: P.prepare(g, "all"), block=True)}
+    fills = {"exterior_mask": _coarse(K.exterior, "outside"), "push_pull_fill": _coarse(K.push_pull, "filled"), "prepare_enclosed": _grid(P.prepare, block=True), "prepare_all": _grid(lambda g: P.prepare(g, "all"), block=True)}
+    return {k: q for k, (q, _) in _RELATIONAL.items()} | {k: _tiled(k, p) for k, p in _WHOLE.items()} | {k: _tiled(k, p, holes=17) for k, p in _HOLED.items()} | fills
 
 
 def oracle_sql() -> dict[str, str]:

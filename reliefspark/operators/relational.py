@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scales
-from ..functions.stencil import along_column, along_row, box_mean, derivative, gradient
-
+from ..functions.quantiles import quantiles
+from ..functions.stencil import along_column, along_row, box_mean, complete, derivative, gradient, valid_gauss
+from ..sources.shared import kept
 
 
 def _clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -18,7 +19,7 @@ def _clip(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
 
 
 def _out(df: DataFrame, value: Column, name: str) -> DataFrame:
-    return df.select("r", "c", F.when(F.col("z").isNotNull(), value).alias(name))
+    return df.where("here").select("r", "c", F.when(F.col("z").isNotNull(), value).alias(name))
 
 
 def _pq() -> tuple[Column, Column]:
@@ -43,26 +44,26 @@ def hillshade(grid: DataFrame, azimuth: float = 315, altitude: float = 45, z_fac
     return _out(gradient(grid.withColumn("z", F.col("z") * z_factor), pixel), _clip(lambert(azimuth, altitude)), "shade")
 
 
-def atmospheric_scattering(grid: DataFrame, strength: float = 0.5, pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+def atmospheric_scattering(grid: DataFrame, scattering_strength: float = 0.5, intensity: float | None = None, pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     p, q = _pq()
     mass = 1 / (F.cos(F.atan(F.sqrt(p * p + q * q))) + 0.001)
-    haze = 1 - F.exp(-strength * mass)
+    haze = 1 - F.exp(-(scattering_strength if intensity is None else intensity) * mass)
     return _out(gradient(grid, pixel), F.pow(_clip(0.3 * (0.4 + 0.6 * haze) + 0.7 * _clip(lambert(315, 45))), F.lit(scales.GAMMA)), "scatter")
 
 
-def multi_light_uncertainty(grid: DataFrame, azimuths: tuple[float, ...] = (315, 45, 135, 225), altitude: float = 45, weight: float = 0.7, pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+def multi_light_uncertainty(grid: DataFrame, azimuths: tuple[float, ...] = (315, 45, 135, 225), altitude: float = 45, z_factor: float = 1, uncertainty_weight: float = 0.7, pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     if not azimuths:
         raise ValueError("no azimuths")
     lights = [F.greatest(F.lit(0.0), lambert(a, altitude)) for a in azimuths]
-    df = gradient(grid, pixel).withColumns({f"l{i}": x for i, x in enumerate(lights)})
+    df = gradient(grid.withColumn("z", F.col("z") * z_factor), pixel).withColumns({f"l{i}": x for i, x in enumerate(lights)})
     n = len(lights)
     mean = sum((F.col(f"l{i}") for i in range(1, n)), F.col("l0")) / n
     df = df.withColumn("m", mean)
     spread = F.sqrt(sum(((F.col(f"l{i}") - F.col("m")) * (F.col(f"l{i}") - F.col("m")) for i in range(1, n)), (F.col("l0") - F.col("m")) * (F.col("l0") - F.col("m"))) / n)
-    return _out(df, _clip(F.col("m") + weight * _clip(spread / (F.col("m") + 1e-6))), "uncertainty")
+    return _out(df, _clip(F.col("m") + uncertainty_weight * _clip(spread / (F.col("m") + 1e-6))), "uncertainty")
 
 
-def curvature(grid: DataFrame, kind: str = "mean", pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+def curvature(grid: DataFrame, curvature_type: str = "mean", pixel: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """The signs of the steps do not matter: turning an axis round leaves every kind as it is."""
     (dx, dy), (p, q) = map(abs, pixel), _pq()
     df = gradient(grid, (dx, dy))
@@ -73,7 +74,7 @@ def curvature(grid: DataFrame, kind: str = "mean", pixel: tuple[float, float] =
         "mean": -((1 + q * q) * r - 2 * p * q * s + (1 + p * p) * t) / (2 * F.pow(1 + g, F.lit(1.5)) + 1e-10),
         "gaussian": (r * t - py * py) / ((1 + g) * (1 + g)),
         "planform": -(q * q * r - 2 * p * q * py + p * p * t) / (F.pow(g, F.lit(1.5)) + 1e-10),
-    }.get(kind, -(p * p * r + 2 * p * q * py + q * q * t) / (g * F.pow(1 + g, F.lit(1.5)) + 1e-10))
+    }.get(curvature_type, -(p * p * r + 2 * p * q * py + q * q * t) / (g * F.pow(1 + g, F.lit(1.5)) + 1e-10))
     return _out(df, F.pow((F.tanh(100 * k) + 1) / 2, F.lit(scales.GAMMA)), "curvature")
 
 
@@ -82,14 +83,13 @@ def topousm(grid: DataFrame, radii: list[int], weights: list[float] | None = Non
     if weights is not None and len(weights) != len(radii):
         raise ValueError("as many weights as radii")
     weights = weights or scales.auto_weights(len(radii))
-    df = grid
+    df, _ = complete(grid)
     for i, r in enumerate(radii):
-        df = box_mean(df, r, f"m{i}")
+        df = valid_gauss(df, 1.0, f"m{i}") if r <= 1 else box_mean(df, r, f"m{i}")
     raw = sum((w * (F.col("z") - F.col(f"m{i}")) for i, w in enumerate(weights)), F.lit(0.0))
-    df = df.select("r", "c", F.when(F.col("z").isNotNull(), raw).alias("x"))
-    size = df.agg(F.percentile(F.abs("x"), F.lit(0.99)).alias("s"), F.stddev_pop("x").alias("d"))
-    scale = F.when(F.col("s") > 0, F.col("s")).when(F.col("d") > 0, F.col("d")).otherwise(F.lit(1.0))
-    return df.crossJoin(F.broadcast(size)).select("r", "c", (F.col("x") / scale).alias("detail"))  # one row of statistics
+    df = kept(_out(df, raw, "x"), "topousm")
+    scale = quantiles(df, F.abs("x"), [0.99])[0] or df.agg(F.stddev_pop("x")).first()[0] or 1.0
+    return df.select("r", "c", (F.col("x") / scale).alias("detail"))
 
 
 def quantize(df: DataFrame, value: str, kind: str, low: float, high: float) -> DataFrame:
@@ -134,7 +134,12 @@ def dominant_value(grid: DataFrame) -> DataFrame:
 
 
 # Customary NoData values.
-SENTINELS = (-9999.0, -32768.0, -32767.0, -99999.0, 9999.0, 32767.0, 65535.0, 0.0, -3.4028234663852886e38, 3.4028234663852886e38, -1e38, 1e38, -2147483648.0, 2147483647.0)
+SENTINELS = (
+    0.0, -9999.0, -99999.0, 9999.0,
+    -32768.0, 32767.0, -32767.0, 65535.0,
+    -2147483648.0, 2147483647.0, -2147483647.0,
+    -128.0, 127.0, 255.0,
+)
 
 
 def sentinel(grid: DataFrame, share: float = 0.05, least: int = 64) -> DataFrame:
@@ -142,12 +147,38 @@ def sentinel(grid: DataFrame, share: float = 0.05, least: int = 64) -> DataFrame
     z = F.col("z")
     known = F.lit(False)
     for s in SENTINELS:
-        known = known | (F.abs(z - s) <= 1e-6 * abs(s))
+        known = known | (F.abs(z - s) <= 1e-6 * max(1.0, abs(s)))
     looks = known | (F.abs(z) >= 1e30) | (z == F.col("low")) | (z == F.col("high"))
     return dominant_value(grid).where((F.col("valid") >= least) & (F.col("count") >= share * F.col("valid")) & looks).select("z", "count", "valid")
 
 
+def implicit_nodata(grid: DataFrame, share: float = 0.01) -> DataFrame:
+    """Customary NoData values that at least a share of the cells hold, for a warning."""
+    # fixed values: those that are looked for
+    values = (0.0, -9999.0, 9999.0, -32768.0, 32768.0)
+    sums = [F.avg(F.coalesce((F.abs(F.col("z") - v) <= 1e-6).cast("double"), F.lit(0.0))).alias(f"s{i}") for i, v in enumerate(values)]
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("z"), F.col(f"s{i}").alias("share")) for i, v in enumerate(values)]))
+    return grid.agg(*sums).select(pairs.alias("x")).select("x.*").where(F.col("share") >= share)
+
+
+def _border(grid: DataFrame, width: int = 1) -> DataFrame:
+    ends = grid.agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    near = [F.col("r") < F.col("r0") + width, F.col("c") < F.col("c0") + width, F.col("r") > F.col("r1") - width, F.col("c") > F.col("c1") - width]
+    return grid.crossJoin(F.broadcast(ends)).where(near[0] | near[1] | near[2] | near[3])  # one row of ends
+
+
+def border_zero(grid: DataFrame) -> DataFrame:
+    """0 where zeros so rule the border that they must be NoData; no row otherwise.
+
+    The border is a twentieth of each side wide, 64 cells at most. Six tenths of zeros
+    decide, or three tenths beside other values.
+    """
+    h, w = grid.agg(F.max("r") - F.min("r") + 1, F.max("c") - F.min("c") + 1).first()
+    ring = _border(grid, min(64, max(1, (h or 0) // 20), max(1, (w or 0) // 20))).where("z IS NOT NULL")
+    share = ring.agg(F.avg((F.col("z") == 0).cast("double")).alias("share"), F.count("*").alias("n"))
+    return share.where((F.col("share") >= 0.6) | ((F.col("share") >= 0.3) & (F.col("share") < 1))).select(F.lit(0.0).alias("z"), "share", "n")
+
+
 def border_zero_share(grid: DataFrame) -> DataFrame:
-    ends = grid.agg(F.max("r").alias("h"), F.max("c").alias("w"))
-    ring = grid.crossJoin(F.broadcast(ends)).where((F.col("r") == 0) | (F.col("c") == 0) | (F.col("r") == F.col("h")) | (F.col("c") == F.col("w")))  # one row of ends
+    ring = _border(grid)
     return ring.agg(F.avg((F.col("z") == 0).cast("double")).alias("zero_share"), F.count("*").alias("n"))

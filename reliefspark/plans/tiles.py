@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -10,41 +11,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def on_tiles(grid: DataFrame, kernel: Callable[..., np.ndarray], halo: int, tile: int = 512, name: str = "value", **params) -> DataFrame:
-    """Apply an array kernel tile by tile; voids stay void.
+class Bounds(NamedTuple):
+    """First and last row and column of a raster."""
 
-    With agg="stack" the kernel gives one array a band and the result has a column band, from 1.
+    r0: int
+    r1: int
+    c0: int
+    c1: int
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return self.r1 - self.r0 + 1, self.c1 - self.c0 + 1
 
-    A pixel goes to each tile whose window (core plus halo, clipped at the raster's
-    edge) holds it: to one tile for most pixels if the halo is small against the tile.
-    """
 
-    stack = params.get("agg") == "stack"
+def bounds_of(grid: DataFrame) -> Bounds | None:
+    """A raster's bounds, None without pixels."""
+    ends = grid.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
+    return None if ends[0] is None else Bounds(*(int(x) for x in ends))
 
-    def tiles(at: str):
-        low = F.greatest(F.floor((F.col(at) - halo) / tile), F.lit(0))
-        return F.explode(F.sequence(low.cast("int"), F.floor((F.col(at) + halo) / tile).cast("int")))
 
-    dealt = grid.select("r", "c", "z", tiles("r").alias("ty")).select("*", tiles("c").alias("tx"))
+def on_tiles(
+    grid: DataFrame, kernel: Callable[[np.ndarray, int, int], np.ndarray], halo: int, tile: int = 512, name: str = "value",
+    bounds: Bounds | None = None, bands: bool = False, skip: float | None = None,
+) -> DataFrame:
+    """Apply kernel(array, first row, first column) tile by tile; voids stay void.
+
+    A pixel goes to each tile whose window (core plus halo, clipped at the raster's edge)
+    holds it: to one tile for most pixels if the halo is small against the tile. Pixels
+    that have no row count as voids and get none. With `bands` the kernel gives one array
+    a band and the result has a column band, from 1. Tiles whose core is void to the share
+    `skip` or more give NULL without running the kernel.
+    """
+    bounds = bounds or bounds_of(grid)
+    if bounds is None:
+        kind = "r long, c long, " + ("band int, " if bands else "") + f"{name} double"
+        return grid.sparkSession.createDataFrame([], kind)
+    r_first, r_last, c_first, c_last = bounds
+
+    def tiles(at: str, first: int, last: int):
+        low = F.greatest(F.floor((F.col(at) - halo) / tile), F.floor(F.lit(first) / tile))
+        high = F.least(F.floor((F.col(at) + halo) / tile), F.floor(F.lit(last) / tile))
+        return F.explode(F.sequence(low.cast("long"), high.cast("long")))
+
+    dealt = grid.select("r", "c", "z", tiles("r", r_first, r_last).alias("ty")).select("*", tiles("c", c_first, c_last).alias("tx"))
 
     def work(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = key
-        core = (df.r // tile == ty) & (df.c // tile == tx)
-        if not core.any():
-            return pd.DataFrame({"r": np.zeros(0, np.int64), "c": np.zeros(0, np.int64), name: np.zeros(0, object if stack else float)})
-        r0, c0 = int(df.r.min()), int(df.c.min())
-        z = np.full((int(df.r.max()) - r0 + 1, int(df.c.max()) - c0 + 1), np.nan)
-        z[df.r - r0, df.c - c0] = df.z
-        out = kernel(z, **params)
-        part = df[core]
-        value = np.asarray(out, float)[..., part.r - r0, part.c - c0]
-        if stack:
-            return pd.DataFrame({"r": part.r, "c": part.c, name: list(np.where(part.z.isna(), np.nan, value).T)})
-        return pd.DataFrame({"r": part.r, "c": part.c, name: np.where(part.z.isna(), np.nan, value)})
-
-    kind = "array<double>" if stack else "double"
-    made = dealt.groupBy("ty", "tx").applyInPandas(work, f"r long, c long, {name} {kind}")
-    if stack:
+        ty, tx = (int(k) for k in key)
+        r, c, v = df.r.to_numpy(), df.c.to_numpy(), df.z.to_numpy(float, na_value=np.nan)
+        core = (r // tile == ty) & (c // tile == tx)
+        r, c, here = r[core], c[core], v[core]
+        void = np.isnan(here)
+        if not core.any() or (skip is not None and void.mean() >= skip):
+            out = np.full((0 if bands else len(here)), np.nan)
+            return pd.DataFrame({"r": r[: len(out)], "c": c[: len(out)], name: [] if bands else out}).astype({name: object if bands else float})
+        top, left = max(r_first, ty * tile - halo), max(c_first, tx * tile - halo)
+        z = np.full((min(r_last, (ty + 1) * tile + halo - 1) - top + 1, min(c_last, (tx + 1) * tile + halo - 1) - left + 1), np.nan)
+        z[df.r.to_numpy() - top, df.c.to_numpy() - left] = v
+        value = np.asarray(kernel(z, top, left), float)[..., r - top, c - left]
+        return pd.DataFrame({"r": r, "c": c, name: list(np.where(void, np.nan, value).T) if bands else np.where(void, np.nan, value)})
+
+    made = dealt.groupBy("ty", "tx").applyInPandas(work, f"r long, c long, {name} {'array<double>' if bands else 'double'}")
+    if bands:
         made = made.select("r", "c", F.posexplode(name).alias("band", name)).withColumn("band", F.col("band") + 1)
         return made.select("r", "c", "band", F.when(~F.isnan(name), F.col(name)).alias(name))
     return made.select("r", "c", F.when(~F.isnan(name), F.col(name)).alias(name))

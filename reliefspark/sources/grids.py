@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def orders_grid(spark: SparkSession, sf_dir: str, holes: int | None = None, block: bool = False) -> DataFrame:
-    """The orders table as a square grid; every `holes`-th cell, or a block and a border, may be void."""
+    """The orders table as a nearly square grid, whose last row may end early; every `holes`-th cell, or a block and a border, may be void."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_totalprice")
-    side = int(orders.count() ** 0.5)
+    side = math.ceil(math.sqrt(orders.count()))
     key = F.col("o_orderkey")
-    df = orders.where(key < side * side).select(F.floor(key / side).cast("long").alias("r"), (key % side).cast("long").alias("c"), (F.col("o_totalprice") / 100000.0).alias("z"), key.alias("k"))
+    df = orders.select(F.floor(key / side).cast("long").alias("r"), (key % side).cast("long").alias("c"), (F.col("o_totalprice") / 100000.0).alias("z"), key.alias("k"))
     void = F.lit(False)
     if holes:
         void = void | (F.col("k") % holes == 0)
@@ -34,9 +36,12 @@ def void(df: DataFrame, nodata: float | None = None) -> DataFrame:
     return df.withColumn("z", F.when(~bad, z))
 
 
-def window(df: DataFrame, r0: int, r1: int, c0: int, c1: int) -> DataFrame:
-    """Pixels of a rectangle; the bounds reach the scan."""
-    return df.where(F.col("r").between(r0, r1) & F.col("c").between(c0, c1))
+def window(df: DataFrame, r0: int, r1: int, c0: int, c1: int, tile: int | None = None) -> DataFrame:
+    """Pixels of a rectangle; of tiles that write_tiles() wrote only those that meet it are read."""
+    inside = F.col("r").between(r0, r1) & F.col("c").between(c0, c1)
+    if tile and {"ty", "tx"} <= set(df.columns):
+        inside = F.col("ty").between(r0 // tile, r1 // tile) & F.col("tx").between(c0 // tile, c1 // tile) & inside
+    return df.where(inside)
 
 
 def write_tiles(df: DataFrame, path: str, tile: int = 512, overwrite: bool = False) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Variables looked for, in this order, before the first of the store.
-PREFERRED = ("result", "dem", "elevation", "z")
+PREFERRED = ("elevation", "dem", "band_data", "data")
 SCHEMA = "r long, c long, z double"
 
 
@@ -31,24 +31,26 @@ def _unpack(content: bytes, compressor: dict | None) -> bytes:
     raise ValueError(f"compressor {kind} is not supported")
 
 
-def write(grid: DataFrame, path: str, chunk: int = 512, name: str = "result", overwrite: bool = False) -> None:
-    """Write a grid as a consolidated store of float64 chunks; voids and missing chunks are NaN."""
+def write(grid: DataFrame, path: str, chunk: int = 512, name: str = "result", overwrite: bool = False, dtype: str = "float64") -> None:
+    """Write a grid as a consolidated store; voids and missing chunks are NaN, or 0 in integer chunks."""
     spark = grid.sparkSession
     shared.claim(spark, path, overwrite)
     h, w = (int(x or 0) for x in grid.agg(F.max("r") + 1, F.max("c") + 1).first())
-    meta = {"zarr_format": 2, "shape": [h, w], "chunks": [chunk, chunk], "dtype": "<f8", "compressor": {"id": "zstd", "level": 1}, "fill_value": "NaN", "order": "C", "filters": None}
+    kind, fill = {"float64": ("<f8", "NaN"), "float32": ("<f4", "NaN"), "int16": ("<i2", 0), "uint8": ("|u1", 0)}[dtype]
+    meta = {"zarr_format": 2, "shape": [h, w], "chunks": [chunk, chunk], "dtype": kind, "compressor": {"id": "zstd", "level": 1}, "fill_value": fill, "order": "C", "filters": None}
     dims = {"_ARRAY_DIMENSIONS": ["y", "x"]}
 
     def work(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         i, j = (int(x) for x in key)
         z = np.full((chunk, chunk), np.nan)
         z[df.r - i * chunk, df.c - j * chunk] = df.z
-        shared.put(f"{path}/{name}/{i}.{j}", zstandard.ZstdCompressor(level=1).compress(z.astype("<f8").tobytes()))
+        z = z if fill == "NaN" else np.nan_to_num(z, nan=0.0)
+        shared.put(f"{path}/{name}/{i}.{j}", zstandard.ZstdCompressor(level=1).compress(z.astype(kind).tobytes()))
         return pd.DataFrame({"i": [i], "j": [j], "n": [len(df)]})
 
     at = [F.floor(F.col(x) / chunk).cast("long").alias(k) for x, k in (("r", "i"), ("c", "j"))]
     try:
-        grid.select("r", "c", "z", *at).groupBy("i", "j").applyInPandas(work, "i long, j long, n long").agg(F.sum("n")).first()
+        grid.select("r", "c", F.col("z").cast("double").alias("z"), *at).groupBy("i", "j").applyInPandas(work, "i long, j long, n long").agg(F.sum("n")).first()
         for at_, text in ((".zgroup", {"zarr_format": 2}), (f"{name}/.zarray", meta), (f"{name}/.zattrs", dims), (".zmetadata", {"zarr_consolidated_format": 1, "metadata": {".zgroup": {"zarr_format": 2}, f"{name}/.zarray": meta, f"{name}/.zattrs": dims}})):
             shared.write_text(spark, f"{path}/{at_}", json.dumps(text))
     except BaseException:
