@@ -1,11 +1,12 @@
 """Hierarchical packing of documents into training sequences.
 
-Documents become runs of token ids. Full windows are cut off first; what is left of
-each document is routed to the smallest context tier that holds it (by default 128,
-256, 512, 1024). The longest tier opens windows; each window's gap is filled with the
-longest fitting piece of the shorter tiers, and where none fits, the shortest tier's
-longest piece is cut to fill it exactly. What stays when a task's documents end is
-dealt to windows whose lengths are powers of two, so that nothing needs padding.
+Documents become runs of token ids. Full windows of the longest tier are cut off first;
+what is left of each document is routed to the smallest context tier that holds it (by
+default 128, 256, 512, 1024). Each tier, the longest first, packs windows of its own
+length: its longest piece opens one, the gap is filled with the longest fitting pieces of
+the same and shorter tiers, and where none fits, a piece of the shortest one is cut to
+fill it exactly. What stays when a task's documents end is dealt to windows whose lengths
+are powers of two. So are all tiers, so nothing needs padding.
 Sequences of a block of documents are dealt to step groups in a snake order of
 attention cost (sum of squared piece lengths), so that groups cost about the same.
 
@@ -40,12 +41,16 @@ class Packer:
     """Packs runs of lengths; knows nothing of ids but their places."""
 
     def __init__(self, tiers: tuple[int, ...] = TIERS):
-        self.tiers, self.window = tuple(sorted(tiers)), max(tiers)
+        self.tiers = tuple(sorted(tiers))
+        self.window = self.tiers[-1]
         self.pools: list[list[tuple[int, int, int]]] = [[] for _ in self.tiers]  # (length, document, start), ascending
+        self.held = [0] * len(self.tiers)  # ids that wait in each pool
         self.sequences: list[list[tuple[int, int, int]]] = []
 
     def route(self, piece: tuple[int, int, int]) -> None:
-        insort(self.pools[next(i for i, t in enumerate(self.tiers) if piece[0] <= t)], piece)
+        k = next(i for i, t in enumerate(self.tiers) if piece[0] <= t)
+        insort(self.pools[k], piece)
+        self.held[k] += piece[0]
 
     def add(self, document: int, length: int) -> None:
         start = 0
@@ -55,39 +60,44 @@ class Packer:
         if length > start:
             self.route((length - start, document, start))
 
-    def _take(self, gap: int) -> tuple[int, int, int] | None:
-        """The longest waiting piece that fits, or one cut to fit, or None if none waits."""
-        for pool in reversed(self.pools):
-            if (i := bisect_right(pool, (gap, 1 << 62, 0))) > 0:
-                return pool.pop(i - 1)
-        for pool in self.pools:
-            if pool:
-                length, document, start = pool.pop()
-                self.route((length - gap, document, start + gap))
-                return gap, document, start
-        return None
+    def _pop(self, k: int, i: int) -> tuple[int, int, int]:
+        piece = self.pools[k].pop(i)
+        self.held[k] -= piece[0]
+        return piece
+
+    def _take(self, gap: int, tier: int) -> tuple[int, int, int]:
+        """The longest waiting piece of a tier or a shorter one that fits; if none does, one cut to fit."""
+        for k in range(tier, -1, -1):
+            if (i := bisect_right(self.pools[k], (gap, 1 << 62, 0))) > 0:
+                return self._pop(k, i - 1)
+        k = next(k for k in range(tier + 1) if self.pools[k])
+        length, document, start = self._pop(k, -1)
+        self.route((length - gap, document, start + gap))
+        return gap, document, start
 
     def waiting(self) -> int:
-        return sum(p[0] for pool in self.pools for p in pool)
+        return sum(self.held)
 
-    def fill(self, length: int) -> None:
-        """One sequence of exactly `length` ids; as many must be waiting."""
+    def fill(self, length: int, tier: int) -> None:
+        """One sequence of exactly `length` ids of a tier and shorter ones; as many must be waiting there."""
         out, gap = [], length
         while gap:
-            piece = self._take(gap)
+            piece = self._take(gap, tier)
             out.append(piece)
             gap -= piece[0]
         self.sequences.append(out)
 
     def pack(self, last: bool) -> list[list[tuple[int, int, int]]]:
-        left = self.waiting()
-        while left >= self.window:
-            self.fill(self.window)
-            left -= self.window
+        """Each tier opens windows of its own length while it has pieces, the longest tier first."""
+        top = len(self.tiers) - 1
+        for k in range(top, -1, -1):
+            while self.pools[k] and sum(self.held[: k + 1]) >= self.tiers[k]:
+                self.fill(self.tiers[k], k)
         if last:
+            left = self.waiting()
             for bit in reversed(range(left.bit_length())):
                 if left >> bit & 1:
-                    self.fill(1 << bit)
+                    self.fill(1 << bit, top)
         out, self.sequences = self.sequences, []
         return out
 
