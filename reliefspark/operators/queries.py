@@ -298,6 +298,70 @@ def _fractal(radii: tuple[int, ...]) -> str:
     return sql + " SELECT r, c, round((x - md) / greatest((SELECT quantile_cont(abs(x - md), 0.99) FROM o, md), 1e-6), 6) AS value FROM o, md"
 
 
+def _tv(iterations: int, scale: float = 32) -> str:
+    """Primal-dual steps with the l1 term as a recursive query over the whole grid."""
+    lam, tau = 4 / scale, 0.25
+    down, across = "(PARTITION BY n, c ORDER BY r)", "(PARTITION BY n, r ORDER BY c)"
+    dual = f"SELECT n, r, c, w, h, f, u, py + 0.5 * CASE WHEN r = h - 1 THEN 0.0 ELSE lead(bar) OVER {down} - bar END AS py, px + 0.5 * CASE WHEN c = w - 1 THEN 0.0 ELSE lead(bar) OVER {across} - bar END AS px FROM tv WHERE n < {iterations}"
+    unit = f"SELECT n, r, c, w, h, f, u, py / greatest(1.0, sqrt(py*py + px*px)) AS py, px / greatest(1.0, sqrt(py*py + px*px)) AS px FROM ({dual})"
+    step = f"SELECT *, u + {tau} * (py - CASE WHEN r = 0 THEN 0.0 ELSE lag(py) OVER {down} END + px - CASE WHEN c = 0 THEN 0.0 ELSE lag(px) OVER {across} END) AS v FROM ({unit})"
+    prox = f"SELECT *, CASE WHEN abs(v - f) <= {tau * lam!r} THEN f ELSE v - sign(v - f) * {tau * lam!r} END AS next FROM ({step})"
+    start = _PX.replace("WITH n AS", "WITH RECURSIVE n AS", 1) + _LEVEL
+    return start + f", tv(n, r, c, w, h, f, u, bar, py, px) AS (SELECT 0, r, c, w, h, z, z, z, 0.0::DOUBLE, 0.0::DOUBLE FROM lv UNION ALL SELECT n + 1, r, c, w, h, f, next, 2 * next - u, py, px FROM ({prox})), done AS (SELECT r, c, u, f - u AS v FROM tv WHERE n = {iterations})"
+
+
+def _sampled(value: str, table: str, y: str, x: str) -> str:
+    """Bilinear value of four cells c00, c01, c10, c11 around a place."""
+    a, b = f"({y} - c00.r)", f"({x} - c00.c)"
+    return f"((c00.{value} * (1 - {b}) + c01.{value} * {b}) * (1 - {a}) + (c10.{value} * (1 - {b}) + c11.{value} * {b}) * {a})"
+
+
+def _lic(contour: bool, length: int = 20, sigma: float = 1.5) -> str:
+    """Streamlines of noise as a recursive query: two directions from every pixel, one unit a step."""
+    k = K.taps(sigma).tolist()
+    sql = _PX.replace("WITH n AS", "WITH RECURSIVE n AS", 1) + _LEVEL + _separable("lv", "sm", {"z": "z"}, k, k)
+    sql += f", gr AS (SELECT r, c, w, h, {_d1('z', 'c')} AS p, {_d1('z', 'r')} AS q FROM sm)"
+    u, v = ("-q", "p") if contour else ("p", "q")
+    unit = "CASE WHEN sqrt(p*p + q*q) > 1e-12 THEN {0} / greatest(sqrt(p*p + q*q), 1e-12) ELSE 0.0 END"
+    sql += f", fl AS (SELECT gr.r, gr.c, gr.w, gr.h, p, q, {unit.format(u)} AS u, {unit.format(v)} AS v, (sin(lv.z * 127.1 + 311.7) * 43758.5453123) - floor(sin(lv.z * 127.1 + 311.7) * 43758.5453123) AS noise FROM gr JOIN lv USING (r, c))"
+    cells = "JOIN fl c00 ON c00.r = {0} AND c00.c = {1} JOIN fl c01 ON c01.r = {0} AND c01.c = least({1} + 1, {2}.w - 1) JOIN fl c10 ON c10.r = least({0} + 1, {2}.h - 1) AND c10.c = {1} JOIN fl c11 ON c11.r = least({0} + 1, {2}.h - 1) AND c11.c = least({1} + 1, {2}.w - 1)"
+    near = cells.format("CAST(least(floor(a.y), greatest(a.h - 2, 0)) AS BIGINT)", "CAST(least(floor(a.x), greatest(a.w - 2, 0)) AS BIGINT)", "a")
+    clamp = "least(greatest({0}, 0.0), {1} - 1.0)"
+    moved = f"SELECT a.n + 1 AS n, a.way, a.r, a.c, a.w, a.h, a.y0 + a.way * {_sampled('v', 'fl', 'a.y', 'a.x')} AS y0, a.x0 + a.way * {_sampled('u', 'fl', 'a.y', 'a.x')} AS x0 FROM a {near} WHERE a.n < {length}"
+    # y0, x0 run free; y, x are held inside the grid for sampling
+    sql += f", a(n, way, r, c, w, h, y0, x0, y, x) AS (SELECT 0, way, r, c, w, h, r::DOUBLE, c::DOUBLE, r::DOUBLE, c::DOUBLE FROM fl CROSS JOIN (VALUES (1), (-1)) t(way) UNION ALL SELECT n, way, r, c, w, h, y0, x0, {clamp.format('y0', 'h')}, {clamp.format('x0', 'w')} FROM ({moved}))"
+    sql += f", seen AS (SELECT a.r, a.c, sum({_sampled('noise', 'fl', 'a.y', 'a.x')}) AS s FROM a {near} WHERE a.n > 0 GROUP BY a.r, a.c)"
+    n = 2 * length + 1
+    return sql + f" SELECT fl.r, fl.c, round({_clip(f'0.5 + ((seen.s + noise) / {n} - 0.5) * sqrt({n})')} * {_SHADE}, 6) AS value FROM fl JOIN seen USING (r, c) JOIN px USING (r, c) WHERE here"
+
+
+def _phase(value: str, waves: tuple[int, ...] = (4, 8, 16, 32, 64), onf: float = 0.55, k: float = 2.0) -> str:
+    """Log-Gabor filters by discrete Fourier sums of the whole grid: along c, along r, and back."""
+    sql = _PX + _LEVEL + ", x AS (SELECT r, c, w, h, z - (SELECT avg(z) FROM lv) AS x FROM lv)"
+    sql += ", f1 AS (SELECT x.r, l.c AS l, any_value(x.w) AS w, any_value(x.h) AS h, sum(x * cos(2 * pi() * l.c * x.c / x.w)) AS re, -sum(x * sin(2 * pi() * l.c * x.c / x.w)) AS im FROM x CROSS JOIN (SELECT c FROM x WHERE r = 0) l GROUP BY x.r, l.c)"
+    turn = "2 * pi() * k.r * f1.r / f1.h"
+    sql += f", f2 AS (SELECT k.r AS k, l, any_value(w) AS w, any_value(h) AS h, sum(re * cos({turn}) + im * sin({turn})) AS re, sum(im * cos({turn}) - re * sin({turn})) AS im FROM f1 CROSS JOIN (SELECT r FROM x WHERE c = 0) k GROUP BY k.r, l)"
+    sql += ", f3 AS (SELECT *, (CASE WHEN k <= (h - 1) // 2 THEN k ELSE k - h END)::DOUBLE / h AS fy, (CASE WHEN l <= (w - 1) // 2 THEN l ELSE l - w END)::DOUBLE / w AS fx FROM f2), f4 AS (SELECT *, CASE WHEN k = 0 AND l = 0 THEN 1.0 ELSE sqrt(fy*fy + fx*fx) END AS rho FROM f3)"
+    gains = ", ".join(f"CASE WHEN k = 0 AND l = 0 THEN 0.0 ELSE exp(-pow(ln(rho * {n}), 2) / {2 * math.log(onf) ** 2!r}) / (1 + pow(rho / 0.45, 20)) END AS g{n}" for n in waves)
+    sql += f", f5 AS (SELECT *, {gains} FROM f4)"
+    # the Riesz parts turn by a quarter: i * fx / rho and i * fy / rho
+    fields = {f"{p}{n}": (f"{m} * g{n} * {q[0]}", f"{m} * g{n} * {q[1]}") for n in waves for p, m, q in (("e", "1", ("re", "im")), ("p", "fx / rho", ("-im", "re")), ("q", "fy / rho", ("-im", "re")))}
+    back = "2 * pi() * k * t.r / h"
+    one = ", ".join(f"sum(({a}) * cos({back}) - ({b}) * sin({back})) AS {n}r, sum(({b}) * cos({back}) + ({a}) * sin({back})) AS {n}i" for n, (a, b) in fields.items())
+    sql += f", b1 AS (SELECT t.r, l, any_value(w) AS w, any_value(h) AS h, {one} FROM f5 CROSS JOIN (SELECT r FROM x WHERE c = 0) t GROUP BY t.r, l)"
+    back = "2 * pi() * l * t.c / w"
+    two = ", ".join(f"sum({n}r * cos({back}) - {n}i * sin({back})) / any_value(w * h) AS {n}" for n in fields)
+    sql += f", b2 AS (SELECT b1.r, t.c, {two} FROM b1 CROSS JOIN (SELECT c FROM x WHERE r = 0) t GROUP BY b1.r, t.c)"
+    sizes = {n: f"sqrt(e{n}*e{n} + p{n}*p{n} + q{n}*q{n})" for n in waves}
+    total, most = " + ".join(sizes.values()), f"greatest({', '.join(sizes.values())})"
+    even, odd_x, odd_y = (" + ".join(f"{p}{n}" for n in waves) for p in "epq")
+    sql += f", m AS (SELECT median({sizes[waves[0]]}) AS md FROM b2 JOIN px USING (r, c) WHERE here), a AS (SELECT r, c, {even} AS even, sqrt(pow({even}, 2) + pow({odd_x}, 2) + pow({odd_y}, 2)) AS energy, {total} AS total, {most} AS most FROM b2)"
+    tau = f"(md / {math.sqrt(math.log(4))!r} * {sum(math.sqrt(waves[0] / n) for n in waves)!r})"
+    noise = f"{tau} * {math.sqrt(math.pi / 2) + k * math.sqrt((4 - math.pi) / 2)!r}"
+    sql += f", pc AS (SELECT r, c, even, energy, greatest(energy - {noise}, 0) / (total + 1e-6) / (1 + exp(10 * (0.5 - total / (most + 1e-6) / {len(waves)}))) AS pc FROM a, m)"
+    return sql + f" SELECT r, c, round({value}, 6) AS value FROM pc JOIN px USING (r, c) WHERE here"
+
+
 def _cents(grid: DataFrame) -> DataFrame:
     """Values with two decimals, which no rounding can part."""
     return grid.withColumn("z", F.round(F.col("z") * 100000, 2))
@@ -415,6 +479,10 @@ _TILED_SQL = {
     "drift_direction": _drifts((2, 4, 8)) + " SELECT px.r, px.c, round(CASE WHEN px.z IS NOT NULL THEN CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) / (2 * pi()) + 1 ELSE atan2(dy, dx) / (2 * pi()) END END, 6) AS value FROM px JOIN dr USING (r, c) WHERE here",
     "drift_divergence": _drifts((2, 4, 8)) + f", dv AS (SELECT r, c, {_d1('dx', 'c')} + {_d1('dy', 'r')} AS v FROM dr), o AS (SELECT px.r, px.c, CASE WHEN px.z IS NOT NULL THEN v END AS v FROM px JOIN dv USING (r, c) WHERE here) SELECT r, c, round(0.5 + 0.5 * tanh(v / (SELECT quantile_cont(abs(v), 0.95) FROM o)), 6) AS value FROM o",
     "exterior_mask": _EXTERIOR,
+    "phase_congruency": _phase("0.5 + 0.5 * sign(even) * pc"), "phase_edge": _phase("pc * (1 - abs(even) / (energy + 1e-12))"),
+    "tv_structure": _tv(120) + " SELECT px.r, px.c, round(u, 6) AS value FROM done JOIN px USING (r, c) WHERE here",
+    "tv_texture": _tv(120) + ", t AS (SELECT px.r, px.c, v FROM done JOIN px USING (r, c) WHERE here) SELECT r, c, round(0.5 + 0.5 * tanh(v / (SELECT quantile_cont(abs(v), 0.9) FROM t)), 6) AS value FROM t",
+    "lic_flow": _lic(False), "lic_contour": _lic(True),
 }
 
 #: Parameters of the tiled queries, with the operators' own defaults where radii need not be named for a twin in SQL; voids at every 17th cell but for the first rows.
