@@ -85,7 +85,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--latitude", type=float, help="centre latitude of a raster in degrees")
     run.add_argument("--output-dtype", choices=api.DTYPES, default="float32")
     run.add_argument("--output-range", type=span)
-    run.add_argument("--tile-size", "--chunk", type=int, default=512)
+    run.add_argument("--tile-size", "--chunk", type=int, help="side of a tile; it follows halo, memory and cores where none is given")
     for option, (name, default) in own_options().items():
         run.add_argument(option, dest="own_" + name, type=_kind(default), metavar="VALUE", help=f"default {default}")
     for option, (algorithm, name) in SPELLED.items():

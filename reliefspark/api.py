@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import warnings
 
@@ -28,18 +29,18 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("r", "c", "z")
 
 
-def save(grid: DataFrame, path: str, overwrite: bool = False, tile: int = 512, dtype: str = "float32", pixel: tuple[float, float] = (1.0, 1.0), as_tiles: bool = False, resume: bool = False, geographic: bool = False) -> None:
+def save(grid: DataFrame, path: str, overwrite: bool = False, tile: int = 512, dtype: str = "float32", pixel: tuple[float, float] = (1.0, 1.0), as_tiles: bool = False, resume: bool = False, geographic: bool = False, note: dict | None = None) -> None:
     """Write r, c, z in the format of the path's ending; Parquet tiles if it has none.
 
     A GeoTIFF is one cloud-optimized file, or a folder of tile files with `as_tiles`.
     """
     kind = path.rstrip("/").lower()
     if kind.endswith(".zarr"):
-        zarr.write(grid, path.rstrip("/"), tile, overwrite=overwrite, dtype=dtype)
+        zarr.write(grid, path.rstrip("/"), tile, overwrite=overwrite, dtype=dtype, note=note)
     elif kind.endswith((".tif", ".tiff")) and as_tiles:
         tiff.write(grid, path.rstrip("/"), tile, pixel, overwrite=overwrite, dtype=dtype, geographic=geographic)
     elif kind.endswith((".tif", ".tiff")):
-        tiff.write_cog(grid, path.rstrip("/"), dtype, pixel, overwrite=overwrite, resume=resume, geographic=geographic)
+        tiff.write_cog(grid, path.rstrip("/"), dtype, pixel, overwrite=overwrite, resume=resume, geographic=geographic, note=json.dumps(note) if note else "")
     else:
         write_tiles(grid.withColumn("z", F.col("z").cast({"float32": "float", "int16": "short", "uint8": "short"}.get(dtype, dtype))), path, tile, overwrite)
 
@@ -77,7 +78,7 @@ def output_range(algorithm: str, params: dict, override: tuple[float, float] | N
 
 def run_pipeline(
     spark: SparkSession, src: str, dst: str, algorithm: str = "topousm_fast", *, nodata: str | float | None = "none",
-    output_dtype: str = "float32", override: tuple[float, float] | None = None, overwrite: bool = False, tile: int = 512,
+    output_dtype: str = "float32", override: tuple[float, float] | None = None, overwrite: bool = False, tile: int | None = None,
     pixel_size: tuple[float, float] | float | None = None, latitude: float | None = None, as_tiles: bool = False, resume: bool = False, **params,
 ) -> dict:
     """Read `src`, run the operator, write `dst`; says how values were encoded.
@@ -112,7 +113,7 @@ def run_pipeline(
     note: dict = {"algorithm": algorithm, "dtype": output_dtype}
     where = {"pixel": found.get("pixel", (1.0, 1.0)), "as_tiles": as_tiles, "resume": resume, "geographic": bool(found.get("geographic"))}
     if stack:
-        bands = save_bands(out.select("r", "c", "band", F.col("value").alias("z")), dst, overwrite, tile, **where)
+        bands = save_bands(out.select("r", "c", "band", F.col("value").alias("z")), dst, overwrite, tile or 512, **where)
         return note | {"dtype": "float32", "bands": bands}
     if output_dtype != "float32" and span is None:
         warnings.warn(f"{algorithm} has no fixed range: the output is float32", stacklevel=2)
@@ -123,8 +124,8 @@ def run_pipeline(
         a, b, _, _ = scales.quantizer(output_dtype, *span)
         note |= {"scale": 1 / a, "offset": -b / a, "nodata": 0, "range": list(span)}
         out = R.quantize(out, "value", output_dtype, *span).select("r", "c", F.col("code").alias("z"))
-    save(out, dst, overwrite, tile, note["dtype"], **where)
-    note["parameters"] = {k: v for k, v in params.items() if k != "pixel"}
+    note["parameters"] = {k: list(v) if isinstance(v, tuple) else v for k, v in params.items()}
+    save(out, dst, overwrite, tile or 512, note["dtype"], note=note, **where)
     return note
 
 

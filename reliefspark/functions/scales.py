@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 GAMMA = 1 / 2.2
 
@@ -83,6 +84,20 @@ def overview_factor(longest: int, most: int = 2048) -> int:
     return 1 if longest <= most else 1 << math.ceil(math.log2(longest / most))
 
 
+def auto_tile(halo: int, longest: int, cores: int, budget: int = 256 << 20, arrays: int = 15) -> int:
+    """Side of a tile: as large as a task's memory allows with its halo, and small enough to keep all cores busy.
+
+    `arrays` float64 arrays of a window fit into `budget` bytes. A warning tells when halos
+    make each cell go to very many tiles.
+    """
+    most = max(64, halo // 2, math.isqrt(budget // (8 * arrays)) - 2 * halo)
+    even = -(-longest // max(1, math.isqrt(2 * cores)))
+    side = -(-min(most, max(64, 2 * halo, even)) // 32) * 32
+    if ((side + 2 * halo) / side) ** 2 > 16 and longest > side:
+        warnings.warn(f"halos of {halo} cells around tiles of {side} send each cell to {((side + 2 * halo) / side) ** 2:.0f} tiles; smaller radii or approx cost less", stacklevel=3)
+    return side
+
+
 def metres_per_degree(latitude: float) -> tuple[float, float]:
     """Of latitude and of longitude (WGS84 series)."""
     a = math.radians(latitude)

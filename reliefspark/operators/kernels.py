@@ -183,6 +183,11 @@ def blur(z, radius=16, radii=None):
     return valid_smooth(z, max(0.5, radii[0] if radii else radius))
 
 
+def high_pass(z, sigma=16):
+    """What a Gaussian takes away."""
+    return z - valid_smooth(z, sigma)
+
+
 def box_scale(z, r):
     """The mean around each cell at a radius."""
     return valid_smooth(z, 1) if r <= 1 else valid_box(z, 2 * int(r) + 1)

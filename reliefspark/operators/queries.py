@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scales
 from ..functions.quantiles import quantiles
+from ..plans.tiles import bounds_of
 from ..sources import shared, tiff, zarr
 from ..sources.grids import array_grid, orders_grid, window, write_tiles
 from . import kernels as K
@@ -392,6 +393,14 @@ def _code(kind: str, low: float, high: float) -> str:
     return f"CAST(least(greatest(round_even(v * {a!r} + {b!r}, 0), {least}), {most}) AS SMALLINT)"
 
 
+def _range(grid: DataFrame) -> DataFrame:
+    """Range of slopes in the middle window, and of nine windows of the same grid."""
+    slope, bounds = R.slope(grid), bounds_of(grid)
+    low, high = R.range_estimate(slope, "slope", bounds)
+    nine = quantiles(R.stratified(slope, bounds, 32), F.col("slope"), [0.01, 0.99])
+    return grid.sparkSession.createDataFrame([("central", low, high), ("stratified", *nine)], "window string, low double, high double")
+
+
 def _statistics(grid: DataFrame) -> DataFrame:
     """Exact percentiles and the deviation of a whole grid, in one row."""
     shares = (0.01, 0.02, 0.5, 0.98, 0.99)
@@ -429,6 +438,11 @@ _RELATIONAL: dict[str, tuple[Query, str]] = {
         _BLOCK + ", b AS (SELECT coalesce(z, 0.0) AS z FROM px, (SELECT least(64, greatest(1, any_value(h) // 20), greatest(1, any_value(w) // 20)) AS d FROM px) WHERE here AND (r < d OR c < d OR r >= h - d OR c >= w - d)), t AS (SELECT avg((z = 0)::INT::DOUBLE) AS share, count(*) AS n FROM b) SELECT 0.0::DOUBLE AS z, round(share, 6) AS share, n FROM t WHERE share >= 0.6 OR (share >= 0.3 AND share < 1)",
     ),
     "border_zero_share": (_grid(lambda g: R.border_zero_share(g.withColumn("z", F.coalesce("z", F.lit(0.0)))), block=True), _BLOCK + " SELECT round(avg((coalesce(z, 0) = 0)::INT::DOUBLE), 6) AS zero_share, count(*) AS n FROM px WHERE here AND (r = 0 OR c = 0 OR r = h - 1 OR c = w - 1)"),
+    "range_estimates": (
+        _grid(_range),
+        _G + f", s AS (SELECT r, c, w, h, {_STEEP} AS s FROM g WHERE here AND z IS NOT NULL), m AS (SELECT 'central' AS \"window\", s FROM s WHERE r BETWEEN greatest(0, (h - 256) // 2) AND greatest(0, (h - 256) // 2) + 255 AND c BETWEEN greatest(0, (w - 256) // 2) AND greatest(0, (w - 256) // 2) + 255"
+        + " UNION ALL SELECT 'stratified', s FROM s WHERE (" + " OR ".join(f"r BETWEEN {at} AND {at} + 31" for at in ("0", "round_even((h - 32) / 2.0, 0)", "h - 32")) + ") AND (" + " OR ".join(f"c BETWEEN {at} AND {at} + 31" for at in ("0", "round_even((w - 32) / 2.0, 0)", "w - 32")) + ")) SELECT \"window\", round(quantile_cont(s, 0.01), 6) AS low, round(quantile_cont(s, 0.99), 6) AS high FROM m GROUP BY \"window\"",
+    ),
     "stats_percentiles": (
         _grid(_statistics),
         _PX + " SELECT " + ", ".join(f"round(quantile_cont(z, {q}), 6) AS p{int(q * 100)}" for q in (0.01, 0.02, 0.5, 0.98, 0.99)) + ", round(stddev_pop(z), 6) AS sd FROM px",
@@ -502,7 +516,9 @@ _HOLED: dict[str, dict] = {
 
 def _tiled(name: str, params: dict, **kind) -> Query:
     params = {"algorithm": name} | params
-    return lambda spark, sf_dir: rounded(registry.run(orders_grid(spark, sf_dir, **kind), tile=256, **params))
+    # the spectrum of phase congruency is that of a tile, and its twin's that of the whole grid
+    tile = 256 if params["algorithm"] == "phase_congruency" else None
+    return lambda spark, sf_dir: rounded(registry.run(orders_grid(spark, sf_dir, **kind), tile=tile, **params))
 
 
 def _coarse(kernel: Callable, name: str) -> Query:

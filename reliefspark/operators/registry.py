@@ -174,7 +174,7 @@ RELATIONAL = {
 
 NAMES = tuple(OPERATORS)
 #: Parameters that every operator takes.
-COMMON = ("mode", "radii", "weights", "agg", "pixel", "intensity", "approx", "skip")
+COMMON = ("mode", "radii", "weights", "agg", "pixel", "intensity", "approx", "skip", "sample")
 
 
 def default_params(algorithm: str) -> dict:
@@ -304,12 +304,13 @@ def _statistics(grid: DataFrame, op: Operator, halo: float, tile: int, bounds: B
     return sums(seen, params)
 
 
-def run(grid: DataFrame, algorithm: str = "topousm_fast", tile: int = 512, overview: int = OVERVIEW, **given) -> DataFrame:
+def run(grid: DataFrame, algorithm: str = "topousm_fast", tile: int | None = None, overview: int = OVERVIEW, **given) -> DataFrame:
     """r, c, value of a named operator; agg="stack" adds a column band, one for each radius.
 
     pixel=(dx, dy) gives signed steps in metres. `approx` smooths at large radii on a coarser
     grid first, which is faster and not exact. `skip` is the share of voids from which a tile
-    gives none but NULL. Statistics always cover the whole grid.
+    gives none but NULL. Without `tile` its side follows the halo, a task's memory and the
+    cores. Statistics cover the whole grid, or with sample="stratified" nine windows of it.
     """
     _checked(algorithm, given)
     op = OPERATORS[algorithm]
@@ -334,7 +335,10 @@ def run(grid: DataFrame, algorithm: str = "topousm_fast", tile: int = 512, overv
         own["holes"] = grid.where("z IS NOT NULL").count() < bounds.shape[0] * bounds.shape[1]
     if op.level:
         own["mean"] = grid.agg(F.avg("z")).first()[0]
-    params = own | {"pixel": pixel}
+    params = own | {"pixel": pixel, "sample": given.get("sample"), "bounds": bounds}
+    if tile is None:
+        reach = op.halo(own | ({op.reach: max(radii)} if op.kind == "reach" and max(radii) > 1 else {})) + (2 * min(max(radii), LARGE) if op.kind == "smooth" else 0)
+        tile = S.auto_tile(int(min(reach, 2 * LARGE + 16)), max(bounds.shape), grid.sparkSession.sparkContext.defaultParallelism)
     if op.kind == "own":
         return _own(grid, algorithm, op, tile, bounds, overview, own, params, skip)
 
@@ -356,7 +360,26 @@ def run(grid: DataFrame, algorithm: str = "topousm_fast", tile: int = 512, overv
     df = on_tiles(grid, lambda z, top, left: K.blend([f(z, top, left) for f in functions], weights, how), halo, tile, bounds=bounds, bands=how == "stack", skip=skip)
     if op.after is None:
         return df
-    return op.after(kept(df, "responses"), params)
+    return _finished(op, df, params)
+
+
+def _finished(op: Operator, df: DataFrame, params: dict) -> DataFrame:
+    """Normalization of the raw responses, which are written once; `sample` takes its statistics from windows."""
+    df = kept(df, "responses")
+    if params.get("sample") != "stratified":
+        return op.after(df, params)
+    return op.after(_Sampled(df, R.stratified(df, params["bounds"])), params)
+
+
+class _Sampled:
+    """A DataFrame whose aggregates come from a sample of its rows."""
+
+    def __init__(self, df: DataFrame, sample: DataFrame):
+        self.df, self.sample = df, sample
+        self.agg, self.select = sample.agg, sample.select
+
+    def withColumn(self, name: str, value: Column) -> DataFrame:  # noqa: N802  as DataFrame has it
+        return self.df.withColumn(name, value)
 
 
 def _own(grid: DataFrame, algorithm: str, op: Operator, tile: int, bounds: Bounds, most: int, own: dict, params: dict, skip: float | None) -> DataFrame:
@@ -394,9 +417,7 @@ def _own(grid: DataFrame, algorithm: str, op: Operator, tile: int, bounds: Bound
         return on_tiles(grid, lambda z, top, left: K.fractal_despeckled(z, middle, spread, **more, **takes), halo + 1, tile, bounds=bounds, skip=skip)
     else:
         df = on_tiles(grid, lambda z, top, left: op.kernel(z, **takes), halo, tile, bounds=bounds, skip=skip)
-    if op.after is None:
-        return df
-    return op.after(kept(df, "responses"), params)
+    return df if op.after is None else _finished(op, df, params)
 
 
 #: What a plug-in has to give: a kernel of an array with NaN for voids, and its halo.

@@ -26,7 +26,7 @@ from ..plans.tiles import bounds_of
 from . import shared
 
 # Tags and field types of the format.
-SUBFILE, WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_SIZE, PLANAR = 254, 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
+SUBFILE, WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_SIZE, PLANAR = 254, 256, 257, 258, 259, 262, 270, 273, 277, 278, 279, 284
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_SIZE, SAMPLE_FORMAT, PIXEL_SCALE, TIE_POINT, GEO_KEYS, NODATA = 317, 322, 323, 324, 325, 339, 33550, 33922, 34735, 42113
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
 SCHEMA = "r long, c long, z double"
@@ -53,7 +53,7 @@ def _packed(z: np.ndarray, dtype: str, block: int) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
 
 
-def _header(levels: list[tuple[int, int, list[int]]], r0: int, c0: int, pixel: tuple[float, float], dtype: str, block: int, geographic: bool) -> tuple[bytes, list[int]]:
+def _header(levels: list[tuple[int, int, list[int]]], r0: int, c0: int, pixel: tuple[float, float], dtype: str, block: int, geographic: bool, note: str = "") -> tuple[bytes, list[int]]:
     """Directories of all levels (height, width, sizes of blocks), and where each level's data begin: smallest level first."""
     kind, form, predictor, nodata = DTYPES[dtype]
 
@@ -64,6 +64,8 @@ def _header(levels: list[tuple[int, int, list[int]]], r0: int, c0: int, pixel: t
             fields = [(SUBFILE, 4, (int(i > 0),)), (WIDTH, 4, (w,)), (HEIGHT, 4, (h,)), (BITS, 3, (np.dtype(kind).itemsize * 8,)), (COMPRESSION, 3, (50000,)), (PHOTOMETRIC, 3, (1,)), (SAMPLES, 3, (1,)), (PLANAR, 3, (1,)), (PREDICTOR, 3, (predictor,)), (TILE_WIDTH, 3, (block,)), (TILE_HEIGHT, 3, (block,)), (TILE_AT, 16, places), (TILE_SIZE, 16, np.array(sizes, "<u8")), (SAMPLE_FORMAT, 3, (form,))]
             if i == 0:
                 fields += [(PIXEL_SCALE, 12, (abs(pixel[0]), abs(pixel[1]), 0.0)), (TIE_POINT, 12, (0.0, 0.0, 0.0, c0 * abs(pixel[0]), -r0 * abs(pixel[1]), 0.0)), (GEO_KEYS, 3, (1, 1, 0, 1, 1024, 0, 1, 2 if geographic else 1))]
+                if note:
+                    fields.insert(6, (DESCRIPTION, 2, note.encode() + b"\0"))
             fields.append((NODATA, 2, nodata))
             extra, entries = b"", b""
             after = at + 8 + 20 * len(fields) + 8
@@ -268,7 +270,7 @@ def encoded_tiles(grid: DataFrame, r0: int, c0: int, dtype: str, block: int, lev
     return dealt.groupBy("level", "ty", "tx").applyInPandas(work, "level int, ty long, tx long, data binary")
 
 
-def write_cog(grid: DataFrame, path: str, dtype: str = "float32", pixel: float | tuple[float, float] = 1.0, block: int = BLOCK, overwrite: bool = False, geographic: bool = False, resume: bool = False) -> None:
+def write_cog(grid: DataFrame, path: str, dtype: str = "float32", pixel: float | tuple[float, float] = 1.0, block: int = BLOCK, overwrite: bool = False, geographic: bool = False, resume: bool = False, note: str = "") -> None:
     """Write a grid as one cloud-optimized file.
 
     Encoded tiles are kept beside the file until it is complete; with `resume` those that an
@@ -287,7 +289,7 @@ def write_cog(grid: DataFrame, path: str, dtype: str = "float32", pixel: float |
     sizes = {(r["level"], r["ty"], r["tx"]): r["size"] for r in tiles.select("level", "ty", "tx", F.length("data").alias("size")).collect()}  # three numbers for each block
     shapes = [(1, h, w), *((k, -(-h // k), -(-w // k)) for k in levels)]
     plan = [(b_h, b_w, [sizes.get((k, y, x), 0) for y in range(-(-b_h // block)) for x in range(-(-b_w // block))]) for k, b_h, b_w in shapes]
-    header, _ = _header(plan, bounds.r0, bounds.c0, pixel if isinstance(pixel, tuple) else (pixel, pixel), dtype, block, geographic)
+    header, _ = _header(plan, bounds.r0, bounds.c0, pixel if isinstance(pixel, tuple) else (pixel, pixel), dtype, block, geographic, note)
 
     def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with shared.writing(path) as out:
@@ -338,7 +340,8 @@ def metadata(spark: SparkSession, path: str) -> dict:
     at = Layout(order, f)
     if at.pixel is None:
         return {}
-    return {"pixel": (at.pixel[0], -at.pixel[1]), "geographic": at.geographic, "latitude": at.y0 - at.h / 2 * at.pixel[1] if at.geographic else None}
+    said = f[DESCRIPTION][0].split(b"\0")[0].decode() if DESCRIPTION in f else ""
+    return {"note": said, "pixel": (at.pixel[0], -at.pixel[1]), "geographic": at.geographic, "latitude": at.y0 - at.h / 2 * at.pixel[1] if at.geographic else None}
 
 
 def _read_one(spark: SparkSession, path: str) -> DataFrame:

@@ -31,14 +31,14 @@ def _unpack(content: bytes, compressor: dict | None) -> bytes:
     raise ValueError(f"compressor {kind} is not supported")
 
 
-def write(grid: DataFrame, path: str, chunk: int = 512, name: str = "result", overwrite: bool = False, dtype: str = "float64") -> None:
+def write(grid: DataFrame, path: str, chunk: int = 512, name: str = "result", overwrite: bool = False, dtype: str = "float64", note: dict | None = None) -> None:
     """Write a grid as a consolidated store; voids and missing chunks are NaN, or 0 in integer chunks."""
     spark = grid.sparkSession
     shared.claim(spark, path, overwrite)
     h, w = (int(x or 0) for x in grid.agg(F.max("r") + 1, F.max("c") + 1).first())
     kind, fill = {"float64": ("<f8", "NaN"), "float32": ("<f4", "NaN"), "int16": ("<i2", 0), "uint8": ("|u1", 0)}[dtype]
     meta = {"zarr_format": 2, "shape": [h, w], "chunks": [chunk, chunk], "dtype": kind, "compressor": {"id": "zstd", "level": 1}, "fill_value": fill, "order": "C", "filters": None}
-    dims = {"_ARRAY_DIMENSIONS": ["y", "x"]}
+    dims = {"_ARRAY_DIMENSIONS": ["y", "x"]} | (note or {})
 
     def work(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         i, j = (int(x) for x in key)

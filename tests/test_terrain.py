@@ -197,3 +197,18 @@ def test_resolution_rules():
     assert scales.shrink_factor(42, "topousm_fast") == 2 and scales.overview_factor(2048) == 1 and scales.overview_factor(20000) == 16
     with pytest.raises(ValueError):
         registry.register("slope", K.blur, lambda p: 1)
+
+
+def test_tiles_follow_halo_memory_and_cores():
+    assert scales.auto_tile(6, 40_000, 1000) >= 640 and scales.auto_tile(6, 400, 8) == 128
+    assert scales.auto_tile(60, 400, 8) == 128 and scales.auto_tile(6, 1_000_000, 8) == 1504
+    with pytest.warns(UserWarning):
+        scales.auto_tile(700, 40_000, 100)
+
+
+def test_statistics_of_windows(spark):
+    z = np.random.default_rng(10).random((60, 60))
+    a, b = (array_of(registry.run(grid_of(spark, z), "openness", mode="local", max_distance=3, **p), "value", z.shape) for p in ({}, {"sample": "stratified"}))
+    assert np.allclose(a, b)  # one window holds a small raster
+    assert R.stratified(grid_of(spark, z), Bounds(0, 59, 0, 59), side=10).count() == 900
+    assert R.central(grid_of(spark, z), Bounds(0, 59, 0, 59)).count() == 3600
