@@ -87,6 +87,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rat
             hit[deeper] = len(path)
             paths[tuple(sorted(set(path)))] = inside
     kept = list(paths)
+    if not kept:  # too few rows to split
+        return [], float(np.log(y.mean() / (1 - y.mean())))
     w, b = learn.lasso_logistic(np.stack([paths[k] for k in kept], 1).astype(np.float32), y, penalty)
     rules = [([(f, float(edges[f][min(c, len(edges[f]) - 1)]) if len(edges[f]) else 0.0, above) for f, c, above in k], float(v)) for k, v in zip(kept, w, strict=True) if abs(v) > 1e-6]
     return rules, b
