@@ -311,10 +311,10 @@ def _tv(iterations: int, scale: float = 32) -> str:
     return start + f", tv(n, r, c, w, h, f, u, bar, py, px) AS (SELECT 0, r, c, w, h, z, z, z, 0.0::DOUBLE, 0.0::DOUBLE FROM lv UNION ALL SELECT n + 1, r, c, w, h, f, next, 2 * next - u, py, px FROM ({prox})), done AS (SELECT r, c, u, f - u AS v FROM tv WHERE n = {iterations})"
 
 
-def _sampled(value: str, table: str, y: str, x: str) -> str:
-    """Bilinear value of four cells c00, c01, c10, c11 around a place."""
-    a, b = f"({y} - c00.r)", f"({x} - c00.c)"
-    return f"((c00.{value} * (1 - {b}) + c01.{value} * {b}) * (1 - {a}) + (c10.{value} * (1 - {b}) + c11.{value} * {b}) * {a})"
+def _sampled(value: str, y: str, x: str) -> str:
+    """Bilinear value around a place, of the four cells whose values stand in one row c4."""
+    a, b = f"({y} - c4.r)", f"({x} - c4.c)"
+    return f"((c4.{value}00 * (1 - {b}) + c4.{value}01 * {b}) * (1 - {a}) + (c4.{value}10 * (1 - {b}) + c4.{value}11 * {b}) * {a})"
 
 
 def _lic(contour: bool, length: int = 20, sigma: float = 1.5) -> str:
@@ -324,14 +324,17 @@ def _lic(contour: bool, length: int = 20, sigma: float = 1.5) -> str:
     sql += f", gr AS (SELECT r, c, w, h, {_d1('z', 'c')} AS p, {_d1('z', 'r')} AS q FROM sm)"
     u, v = ("-q", "p") if contour else ("p", "q")
     unit = "CASE WHEN sqrt(p*p + q*q) > 1e-12 THEN {0} / greatest(sqrt(p*p + q*q), 1e-12) ELSE 0.0 END"
-    sql += f", fl AS (SELECT gr.r, gr.c, gr.w, gr.h, p, q, {unit.format(u)} AS u, {unit.format(v)} AS v, (sin(lv.z * 127.1 + 311.7) * 43758.5453123) - floor(sin(lv.z * 127.1 + 311.7) * 43758.5453123) AS noise FROM gr JOIN lv USING (r, c))"
-    cells = "JOIN fl c00 ON c00.r = {0} AND c00.c = {1} JOIN fl c01 ON c01.r = {0} AND c01.c = least({1} + 1, {2}.w - 1) JOIN fl c10 ON c10.r = least({0} + 1, {2}.h - 1) AND c10.c = {1} JOIN fl c11 ON c11.r = least({0} + 1, {2}.h - 1) AND c11.c = least({1} + 1, {2}.w - 1)"
-    near = cells.format("CAST(least(floor(a.y), greatest(a.h - 2, 0)) AS BIGINT)", "CAST(least(floor(a.x), greatest(a.w - 2, 0)) AS BIGINT)", "a")
+    sql += f", fl AS MATERIALIZED (SELECT gr.r, gr.c, gr.w, gr.h, p, q, {unit.format(u)} AS u, {unit.format(v)} AS v, (sin(lv.z * 127.1 + 311.7) * 43758.5453123) - floor(sin(lv.z * 127.1 + 311.7) * 43758.5453123) AS noise FROM gr JOIN lv USING (r, c))"
+    names = {"u": "u", "v": "v", "n": "noise"}
+    right = ", ".join(f"{c} AS {k}00, coalesce(lead({c}) OVER (PARTITION BY r ORDER BY c), {c}) AS {k}01" for k, c in names.items())
+    below = ", ".join(f"coalesce(lead({k}0{j}) OVER (PARTITION BY c ORDER BY r), {k}0{j}) AS {k}1{j}" for k in names for j in (0, 1))
+    sql += f", two AS (SELECT r, c, w, h, {right} FROM fl), four AS MATERIALIZED (SELECT *, {below} FROM two)"
+    near = "JOIN four c4 ON c4.r = CAST(least(floor(a.y), greatest(a.h - 2, 0)) AS BIGINT) AND c4.c = CAST(least(floor(a.x), greatest(a.w - 2, 0)) AS BIGINT)"
     clamp = "least(greatest({0}, 0.0), {1} - 1.0)"
-    moved = f"SELECT a.n + 1 AS n, a.way, a.r, a.c, a.w, a.h, a.y0 + a.way * {_sampled('v', 'fl', 'a.y', 'a.x')} AS y0, a.x0 + a.way * {_sampled('u', 'fl', 'a.y', 'a.x')} AS x0 FROM a {near} WHERE a.n < {length}"
+    moved = f"SELECT a.n + 1 AS n, a.way, a.r, a.c, a.w, a.h, a.y0 + a.way * {_sampled('v', 'a.y', 'a.x')} AS y0, a.x0 + a.way * {_sampled('u', 'a.y', 'a.x')} AS x0 FROM a {near} WHERE a.n < {length}"
     # y0, x0 run free; y, x are held inside the grid for sampling
     sql += f", a(n, way, r, c, w, h, y0, x0, y, x) AS (SELECT 0, way, r, c, w, h, r::DOUBLE, c::DOUBLE, r::DOUBLE, c::DOUBLE FROM fl CROSS JOIN (VALUES (1), (-1)) t(way) UNION ALL SELECT n, way, r, c, w, h, y0, x0, {clamp.format('y0', 'h')}, {clamp.format('x0', 'w')} FROM ({moved}))"
-    sql += f", seen AS (SELECT a.r, a.c, sum({_sampled('noise', 'fl', 'a.y', 'a.x')}) AS s FROM a {near} WHERE a.n > 0 GROUP BY a.r, a.c)"
+    sql += f", seen AS (SELECT a.r, a.c, sum({_sampled('n', 'a.y', 'a.x')}) AS s FROM a {near} WHERE a.n > 0 GROUP BY a.r, a.c)"
     n = 2 * length + 1
     return sql + f" SELECT fl.r, fl.c, round({_clip(f'0.5 + ((seen.s + noise) / {n} - 0.5) * sqrt({n})')} * {_SHADE}, 6) AS value FROM fl JOIN seen USING (r, c) JOIN px USING (r, c) WHERE here"
 

@@ -9,7 +9,7 @@ import duckdb
 
 
 def differences(spark, name: str, query, sql: str, sf_dir: str) -> str:
-    con = duckdb.connect()
+    con = duckdb.connect(config={"memory_limit": "8GB"})
     for path in glob.glob(f"{sf_dir}/*.parquet"):
         at = path if os.path.isfile(path) else f"{path}/*.parquet"
         con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{at}'")
