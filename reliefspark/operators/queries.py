@@ -54,12 +54,12 @@ def _d1(value: str, axis: str) -> str:
     return f"CASE WHEN {axis} = 0 THEN lead({value}, 1) OVER {over} - {value} WHEN {axis} = {last} THEN {value} - lag({value}, 1) OVER {over} ELSE (lead({value}, 1) OVER {over} - lag({value}, 1) OVER {over}) / 2 END"
 
 
-def _place(axis: str, mirror: bool) -> str:
+def _place(mirror: bool) -> str:
     """Where a tap falls: beyond the edge the edge cell is repeated, or the grid mirrored as often as it takes."""
-    n, at = ("b.h", "b.r + k.d") if axis == "r" else ("b.w", "b.c + k.d")
+    n, at = "b.n", "(b.p + k.d)"
     if not mirror:
         return f"least(greatest({at}, 0), {n} - 1)"
-    return f"CASE WHEN (({at}) % (2*{n}) + 2*{n}) % (2*{n}) < {n} THEN (({at}) % (2*{n}) + 2*{n}) % (2*{n}) ELSE 2*{n} - 1 - (({at}) % (2*{n}) + 2*{n}) % (2*{n}) END"
+    return f"CASE WHEN ({at} % (2*{n}) + 2*{n}) % (2*{n}) < {n} THEN ({at} % (2*{n}) + 2*{n}) % (2*{n}) ELSE 2*{n} - 1 - ({at} % (2*{n}) + 2*{n}) % (2*{n}) END"
 
 
 def _taps(weights: list[float]) -> str:
@@ -69,10 +69,11 @@ def _taps(weights: list[float]) -> str:
 def _separable(source: str, name: str, columns: dict[str, str], down: list[float], across: list[float], mirror: bool = False, inside: bool = False) -> str:
     """Weighted sums of columns along r, then along c; `inside` leaves out what lies beyond the edge."""
     out = f", {name}a AS (SELECT r, c, w, h, " + ", ".join(f"{v} AS {k}" for k, v in columns.items()) + f" FROM {source})"
-    for axis, other, weights, before, after in (("r", "c", down, "a", "b"), ("c", "r", across, "b", "")):
-        to = f"b.{axis} + k.d" if inside else _place(axis, mirror)
+    for axis, size, other, weights, before, after in (("r", "h", "c", down, "a", "b"), ("c", "w", "r", across, "b", "")):
         sums = ", ".join(f"sum(k.v * a.{k}) AS {k}" for k in columns)
-        out += f", {name}{after} AS (SELECT b.r, b.c, any_value(b.w) AS w, any_value(b.h) AS h, {sums} FROM {name}{before} b CROSS JOIN (VALUES {_taps(weights)}) k(d, v) JOIN {name}{before} a ON a.{other} = b.{other} AND a.{axis} = {to} GROUP BY b.r, b.c)"
+        # the weights of each pair of places first: taps that fall on one cell are one
+        out += f", {name}k{axis} AS (SELECT p, at_, sum(v) AS v FROM (SELECT b.p, {'b.p + k.d' if inside else _place(mirror)} AS at_, k.v, b.n FROM (SELECT unnest(range(n)) AS p, n FROM (SELECT any_value({size}) AS n FROM {name}a)) b CROSS JOIN (VALUES {_taps(weights)}) k(d, v)) WHERE at_ BETWEEN 0 AND n - 1 GROUP BY p, at_)"
+        out += f", {name}{after} AS (SELECT b.r, b.c, any_value(b.w) AS w, any_value(b.h) AS h, {sums} FROM {name}{before} b JOIN {name}k{axis} k ON k.p = b.{axis} JOIN {name}{before} a ON a.{other} = b.{other} AND a.{axis} = k.at_ GROUP BY b.r, b.c)"
     return out
 
 
