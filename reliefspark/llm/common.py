@@ -125,6 +125,17 @@ def held_out(modulus: int) -> Column:
     return own.isNull() | (own == NO_ID) | (F.crc32(own.cast("string").cast("binary")) % modulus == 0)
 
 
+def sampled(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """At most `most` rows, those of the least key, a uniform 64-bit hash.
+
+    Rows far above the cut are left out first, so that no task sends its own `most` rows on.
+    """
+    n = rows.count()
+    if n > 4 * most:
+        rows = rows.where(key < int(-(1 << 63) + 3 * most / n * (1 << 64)))
+    return rows.orderBy(key, *[c for c in ("doc_id", "vec_id") if c in rows.columns]).limit(most)
+
+
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)],

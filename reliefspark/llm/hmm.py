@@ -410,7 +410,7 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
     counted = group_counts(groups, totals, classes).withColumnRenamed("grp", "group")
     seqs = C.cut(sequences(known.where("kind = 0").select("grp", "doc_id", "held_out", "ids"), counted, classes), "class-sequences", known, totals)
     train = seqs.where("not held_out")
-    start = train.where(F.col("n_tokens") <= START_TOKENS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_SAMPLE).select("classes").collect()
+    start = C.sampled(train.where(F.col("n_tokens") <= START_TOKENS), F.xxhash64("doc_id"), START_SAMPLE).select("classes").collect()
     if start:
         first = start_model([np.frombuffer(bytes(r["classes"]), "<u2").astype(np.int64) for r in start], classes.n, states)
         model = baum_welch(train.select("classes"), first, rounds)
