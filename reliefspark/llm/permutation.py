@@ -176,7 +176,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, pivots: int = 25
     if not top["rows"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     norm = float(np.sqrt(top["n"])) * (1 + 1e-12)
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
+    sample = C.sampled(vectors, F.xxhash64("vec_id"), PIVOT_SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
     width = len(sample[0])
     sample = matrix(sample.filter(pa.compute.equal(pa.compute.list_value_length(sample), width)))
     axes = fit_pivots(sample, norm, pivots)
