@@ -20,9 +20,10 @@ counts are 0 and only smoothing is left. Other columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import heapq
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,24 @@ END = "\n"
 ADD = 0.1
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: Python workers live on between tasks, and an executor pays for what they keep."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
+def _lean(work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's work that starts and ends without the memory that work before has freed."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
+        yield from work(batches)
+        _give_back()
+
+    return run
+
+
 def tokens(text: str) -> list[str]:
     out = C.words_of(text)
     out.append(END)
@@ -105,11 +124,10 @@ def coded(rows: DataFrame, buckets: int) -> DataFrame:
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grp, seen, chars, held, trained = TaskContext.get().partitionId() << 32, Vocabulary(), 0, 0, []
+        grp, seen, chars, held, counts = TaskContext.get().partitionId() << 32, Vocabulary(), 0, 0, np.zeros(0, np.int64)
 
         def close() -> Iterator[pa.RecordBatch]:
-            n = np.bincount(np.concatenate(trained), minlength=len(seen)) if trained else np.zeros(len(seen), np.int64)
-            words = list(seen)
+            n, words = np.concatenate([counts, np.zeros(len(seen) - len(counts), np.int64)]), list(seen)
             home = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words)) % buckets
             by = np.argsort(home, kind="stable")
             cuts = np.searchsorted(home[by], np.arange(buckets + 1))
@@ -119,7 +137,7 @@ def coded(rows: DataFrame, buckets: int) -> DataFrame:
                     yield _batch(_CODED, len(parts), kind=[1] * len(parts), grp=[grp] * len(parts), bucket=[k for k, _ in parts], words=[_packed([words[x] for x in at]) for _, at in parts], at=[at.astype("<i4").tobytes() for _, at in parts], n=[n[at].astype("<i8").tobytes() for _, at in parts])
 
         for b in C.slices(batches, "text", 4 << 20):
-            ids = []
+            ids, trained = [], []
             for t, out in zip(b.column("text").to_pylist(), b.column("held_out").to_pylist(), strict=True):
                 w = tokens(t)
                 k = np.fromiter(map(seen.__getitem__, w), np.uint32, len(w))
@@ -127,15 +145,19 @@ def coded(rows: DataFrame, buckets: int) -> DataFrame:
                 ids.append(_squeezed(k))
                 if not out:
                     trained.append(k)
+            if trained:  # added up at once, so that a group's tokens are not held
+                n = np.bincount(np.concatenate(trained), minlength=len(counts))
+                n[: len(counts)] += counts
+                counts = n
             held += b.num_rows
             yield _batch(_CODED, len(ids), kind=[0] * len(ids), grp=[grp] * len(ids), doc_id=b.column("doc_id"), held_out=b.column("held_out"), ids=ids)
             if chars > GROUP_CHARS or held > GROUP_ROWS:
                 yield from close()
-                grp, seen, chars, held, trained = grp + 1, Vocabulary(), 0, 0, []
+                grp, seen, chars, held, counts = grp + 1, Vocabulary(), 0, 0, np.zeros(0, np.int64)
         if held:
             yield from close()
 
-    return rows.mapInArrow(work, _CODED)
+    return rows.mapInArrow(_lean(work), _CODED)
 
 
 #: Global counts of a bucket's tokens (kind 1); a task's tokens and counts by ending (kind 2); its most frequent tokens (kind 3).
@@ -175,7 +197,7 @@ def token_totals(groups: DataFrame) -> DataFrame:
         yield _batch(_TOTALS, len(best), kind=[3] * len(best), token=[w for _, w in best], often=[-n for n, _ in best])
 
     dealt = groups.select("bucket", "words", "n").repartition(C.partitions(groups.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(work, _TOTALS)
+    return dealt.mapInArrow(_lean(work), _TOTALS)
 
 
 class Classes:
@@ -222,7 +244,7 @@ def group_counts(groups: DataFrame, totals: DataFrame, classes: Classes) -> Data
 
     first = totals.where("kind = 1").select(F.lit(0).alias("kind"), "bucket", F.lit(None).cast("long").alias("grp"), "words", F.lit(None).cast("binary").alias("at"), "n")
     both = first.unionByName(groups.select(F.lit(1).alias("kind"), "bucket", "grp", "words", "at", "n"))
-    return both.repartition(C.partitions(groups.sparkSession), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(work, _COUNTED)
+    return both.repartition(C.partitions(groups.sparkSession), "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_lean(work), _COUNTED)
 
 
 def sequences(docs: DataFrame, counted: DataFrame, classes: Classes) -> DataFrame:
@@ -232,6 +254,7 @@ def sequences(docs: DataFrame, counted: DataFrame, classes: Classes) -> DataFram
     total = np.log10(classes.total)
 
     def work(key: tuple, docs: pa.Table, counted: pa.Table) -> pa.Table:
+        _give_back()
         at, n, cls = (np.concatenate([np.frombuffer(x, kind) for x in counted[c].to_pylist()]) for c, kind in (("at", "<i4"), ("n", "<i8"), ("classes", "<u2")))
         count, code = np.zeros(len(at), np.int64), np.zeros(len(at), "<u2")
         count[at], code[at] = n, cls
@@ -264,18 +287,18 @@ def _padded(seqs: list[np.ndarray]) -> tuple[list[int], np.ndarray, np.ndarray]:
     """Longest first, laid out by position: all first tokens, then all second ones, ..."""
     order = sorted(range(len(seqs)), key=lambda i: -len(seqs[i]))
     lengths = np.array([len(seqs[i]) for i in order])
-    flat = np.concatenate([seqs[i] for i in order]).astype(np.int64)
-    place = C.ragged(np.zeros(len(lengths), np.int64), lengths)
+    place = np.arange(lengths.sum(), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
     by = np.argsort(place, kind="stable")
     alive = np.bincount(place)
-    return order, flat[by], alive
+    del place
+    return order, np.concatenate([seqs[i] for i in order])[by], alive
 
 
 def forward(model: Model, seqs: list[np.ndarray], keep: bool = False):
-    """log10 likelihood of each sequence by the scaled forward recursion."""
+    """log10 likelihood of each sequence by the scaled forward recursion; keep: alphas and scales too, laid out as the tokens."""
     order, flat, alive = _padded(seqs)
     at, total = 0, np.zeros(len(seqs))
-    alphas, scales = [], []
+    alphas, scales = (np.empty((len(flat), len(model.start))), np.empty(len(flat))) if keep else (None, None)
     a = np.tile(model.start, (len(seqs), 1))
     for t, n in enumerate(alive.tolist()):
         a = (a[:n] @ model.move if t else a[:n]) * model.emit[flat[at : at + n]]
@@ -283,8 +306,7 @@ def forward(model: Model, seqs: list[np.ndarray], keep: bool = False):
         a /= c[:, None]
         total[:n] += np.log(c)
         if keep:
-            alphas.append(a)
-            scales.append(c)
+            alphas[at : at + n], scales[at : at + n] = a, c
         at += n
     out = np.empty(len(seqs))
     out[order] = total / np.log(10)
@@ -293,20 +315,20 @@ def forward(model: Model, seqs: list[np.ndarray], keep: bool = False):
 
 def expected(model: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, moves and emissions of the sequences (one Baum-Welch E-step), and their log10 likelihood."""
-    likelihood, flat, alive, alphas, scales = forward(model, seqs, True)
+    likelihood, flat, alive, gammas, scales = forward(model, seqs, True)  # alphas, until each has met its beta
     k, classes = len(model.start), len(model.emit)
     move, at = np.zeros((k, k)), len(flat)
-    gammas = np.empty((len(flat), k))
     b = np.zeros((0, k))
     for t in range(len(alive) - 1, -1, -1):
         n, at = alive[t], at - alive[t]
         now = np.ones((n, k))
         if t + 1 < len(alive) and (m := alive[t + 1]):
-            ahead = model.emit[flat[at + n : at + n + m]] * b / scales[t + 1][:, None]
+            ahead = model.emit[flat[at + n : at + n + m]] * b / scales[at + n : at + n + m, None]
             now[:m] = ahead @ model.move.T
-            move += model.move * (alphas[t][:m].T @ ahead)
+            move += model.move * (gammas[at : at + m].T @ ahead)
         b = now
-        gammas[at : at + n] = alphas[t] * b
+        gammas[at : at + n] *= b
+    del scales
     emit = np.stack([np.bincount(flat, gammas[:, s], classes) for s in range(k)], 1)
     return gammas[: alive[0]].sum(0), move, emit, float(likelihood.sum())
 
@@ -384,7 +406,7 @@ def baum_welch(seqs: DataFrame, model: Model, most: int = ROUNDS, settled: float
                 sums += np.concatenate([s, m.ravel(), e.ravel(), [likelihood, sum(map(len, x))]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)], names=["at", "n"])
 
-        rows = seqs.mapInArrow(work, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # one row for each parameter of the model
+        rows = seqs.mapInArrow(_lean(work), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # one row for each parameter of the model
         sums = np.zeros(width + 2)
         sums[rows["at"].to_numpy()] = rows["n"].to_numpy()
         emit = sums[k + k * k : width].reshape(classes, k)
@@ -424,7 +446,7 @@ def score_documents(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS)
                 score[at] = forward(model, x)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(b.column("share").to_numpy() + score)], names=[*b.schema.names[:5], "score"])
 
-    out = seqs.mapInArrow(work, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = seqs.mapInArrow(_lean(work), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return C.given_ids(out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(classes.n_tokens).cast("long").alias("train_tokens"), "base_score", "score"))
 
 

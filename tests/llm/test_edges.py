@@ -1,11 +1,14 @@
 """Every corpus operator and pipeline stage on rows that break things, and the pipeline against a brute-force one."""
 
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from oracle import differences
 from pyspark.sql import functions as F
@@ -234,6 +237,37 @@ def test_op10_expected_counts_equal_sums_over_paths(spark):
     assert np.allclose(one.emit, other.emit) and np.allclose(one.move, other.move) and np.allclose(one.start, other.start)
 
 
+def test_op10_workers_hold_little(monkeypatch):
+    """A few arrays for each token of an E-step; of a group's tokens, while it is numbered, only those of a batch."""
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    rng, k = np.random.default_rng(8), hmm.STATES
+    m = hmm.Model(np.full(k, 1 / k), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(500), k).T)
+    seqs = [rng.integers(0, 500, n).astype("<u2") for n in rng.integers(1, 700, 800)]
+    got, most = peak(lambda: hmm.expected(m, seqs))
+    assert np.isclose(got[2].sum(), sum(map(len, seqs))) and most < 90 * sum(map(len, seqs))
+
+    class Rows:
+        def mapInArrow(self, work, schema):
+            return work
+
+    monkeypatch.setattr(hmm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "held_out": [i % 10 == 0 for i in range(60)], "text": ["a b c d " * 250] * 60})
+
+    def train_counts():
+        groups = (b.to_pylist() for b in hmm.coded(Rows(), 8)([batch] * 20))
+        return Counter({w: c for b in groups for r in b if r["kind"] == 1 for w, c in zip(hmm._unpacked(r["words"]), np.frombuffer(r["n"], "<i8").tolist(), strict=True)})
+
+    got, most = peak(train_counts)
+    assert got == Counter({**dict.fromkeys("abcd", 20 * 54 * 250), hmm.END: 20 * 54}) and most < 8 << 20
+
+
 def test_op8_compares_bytes_not_hashes():
     data = np.frombuffer(b"abcdeabcdfabcde", np.uint8)
     assert substrings._equal(data, np.array([0, 0, 0]), np.array([5, 10, 5]), np.array([5, 5, 4]), step=2).tolist() == [False, True, True]
