@@ -229,20 +229,29 @@ def decode(data: bytes) -> tuple[np.ndarray, int, int, str]:
 
 
 def write(grid: DataFrame, path: str, tile: int = 512, pixel: float | tuple[float, float] = 1.0, overwrite: bool = False, dtype: str = "float64", geographic: bool = False) -> None:
-    """Write a grid as a folder with one file for each tile that has pixels."""
+    """Write a grid as a folder with one file for each tile of its raster; pixels that have no row are voids."""
     spark = grid.sparkSession
     shared.claim(spark, path, overwrite)
+    bounds = bounds_of(grid)
+    if bounds is None:
+        return
 
     def work(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(df.r.min()), int(df.c.min())
-        z = np.full((int(df.r.max()) - r0 + 1, int(df.c.max()) - c0 + 1), np.nan)
+        i, j = (int(k) for k in key)
+        r0, c0 = max(bounds.r0, i * tile), max(bounds.c0, j * tile)
+        z = np.full((min(bounds.r1, (i + 1) * tile - 1) - r0 + 1, min(bounds.c1, (j + 1) * tile - 1) - c0 + 1), np.nan)
+        df = df[df.here]
         z[df.r - r0, df.c - c0] = df.z
-        shared.put(f"{path}/tile_{int(key[0])}_{int(key[1])}.tif", encode(z, r0, c0, pixel, dtype, geographic=geographic))
+        shared.put(f"{path}/tile_{i}_{j}.tif", encode(z, r0, c0, pixel, dtype, geographic=geographic))
         return pd.DataFrame({"n": [len(df)]})
 
     at = [F.floor(F.col(x) / tile).cast("long").alias(k) for x, k in (("r", "i"), ("c", "j"))]
+    # a row for each tile, so that tiles without pixels get their file too
+    (i0, i1), (j0, j1) = ((first // tile, last // tile) for first, last in ((bounds.r0, bounds.r1), (bounds.c0, bounds.c1)))
+    k, n = F.col("id"), j1 - j0 + 1
+    every = spark.range((i1 - i0 + 1) * n).select(F.lit(bounds.r0).cast("long").alias("r"), F.lit(bounds.c0).cast("long").alias("c"), F.lit(None).cast("double").alias("z"), (F.floor(k / n) + i0).cast("long").alias("i"), (k % n + j0).cast("long").alias("j"), F.lit(False).alias("here"))
     try:
-        grid.select("r", "c", F.col("z").cast("double").alias("z"), *at).groupBy("i", "j").applyInPandas(work, "n long").agg(F.sum("n")).first()
+        grid.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("z").cast("double").alias("z"), *at, F.lit(True).alias("here")).unionByName(every).groupBy("i", "j").applyInPandas(work, "n long").agg(F.sum("n")).first()
     except BaseException:
         shared.remove(spark, path)
         raise
