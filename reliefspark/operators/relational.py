@@ -122,17 +122,17 @@ def valid_box(grid: DataFrame) -> DataFrame:
     return grid.where(F.col("z").isNotNull()).agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n"))
 
 
-def central(grid: DataFrame, bounds, halo: int = 0) -> DataFrame:
-    """The pixels of a window in the middle: 4,096 cells or four halos a side, if the raster has so many."""
+def central(grid: DataFrame, bounds, halo: int = 0, most: int = 4096) -> DataFrame:
+    """The pixels of a window in the middle: `most` cells or four halos a side, if the raster has so many."""
     h, w = bounds.shape
-    side = max(256, min(h, w, max(4096, 4 * halo)))
+    side = max(256, min(h, w, max(most, 4 * halo)))
     r, c = bounds.r0 + max(0, (h - side) // 2), bounds.c0 + max(0, (w - side) // 2)
     return grid.where(F.col("r").between(r, r + side - 1) & F.col("c").between(c, c + side - 1))
 
 
-def range_estimate(grid: DataFrame, value: str, bounds) -> tuple[float, float] | None:
+def range_estimate(grid: DataFrame, value: str, bounds, most: int = 4096) -> tuple[float, float] | None:
     """1st and 99th percentile of the window in the middle, as a range for integer codes."""
-    low, high = quantiles(central(grid, bounds), F.col(value), [0.01, 0.99])
+    low, high = quantiles(central(grid, bounds, most=most), F.col(value), [0.01, 0.99])
     return None if low is None or high <= low else (low, high)
 
 

@@ -1,7 +1,10 @@
 """What shows only on grids larger than those of the other tests."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from reliefspark.operators import kernels as K
+from reliefspark.operators import queries as T
 from reliefspark.sources import tiff
 
 
@@ -18,3 +21,12 @@ def test_tile_files_cover_the_whole_raster(spark, tmp_path):
     back = tiff.read(spark, f"file://{tmp_path}/a.tif")
     assert back.count() == back.select("r", "c").distinct().count() == 100
     assert {(r["r"], r["c"]): r["z"] for r in back.where("z IS NOT NULL").collect()} == {(r["r"], r["c"]): r["z"] for r in grid.collect()}
+
+
+def test_range_estimate_takes_the_window_that_its_sql_names(spark):
+    grid = waves(spark, 300, 290)
+    z = np.zeros((300, 290))
+    for r in grid.collect():
+        z[r["r"], r["c"]] = r["z"]
+    found = {r["window"]: r for r in T._range(grid).collect()}["central"]
+    assert np.allclose((found["low"], found["high"]), np.quantile(K.slope(z)[22:278, 17:273], [0.01, 0.99]), atol=1e-9)
