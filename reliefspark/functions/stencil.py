@@ -46,7 +46,8 @@ def _weighed(name: str, order: WindowSpec, weights: list[float]) -> Column:
     """Weighted sum of a column's neighbours; beyond both ends the end cell is repeated."""
     n, value = len(weights) // 2, F.col(name)
     first = F.first(value).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    last = F.last(value).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # of the whole line, which is read once; a frame from the current row on would be read again for every row
+    last = F.last(value).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     out = value * weights[n]
     for k in range(1, n + 1):
         out = out + F.coalesce(F.lag(value, k).over(order), first) * weights[n - k] + F.coalesce(F.lead(value, k).over(order), last) * weights[n + k]

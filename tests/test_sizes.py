@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from reliefspark.functions import stencil
 from reliefspark.operators import kernels as K
 from reliefspark.operators import queries as T
 from reliefspark.sources import tiff
@@ -30,3 +31,9 @@ def test_range_estimate_takes_the_window_that_its_sql_names(spark):
         z[r["r"], r["c"]] = r["z"]
     found = {r["window"]: r for r in T._range(grid).collect()}["central"]
     assert np.allclose((found["low"], found["high"]), np.quantile(K.slope(z)[22:278, 17:273], [0.01, 0.99]), atol=1e-9)
+
+
+def test_void_filling_reads_each_line_once(spark):
+    grid = waves(spark, 12, 12).withColumn("z", F.when(F.col("c") > 4, F.col("z")))
+    plan = stencil.gradient(grid)._jdf.queryExecution().toString()
+    assert "unboundedfollowing" in plan and "currentrow$(), unboundedfollowing$()" not in plan
