@@ -36,15 +36,28 @@ def void(df: DataFrame, nodata: float | None = None) -> DataFrame:
     return df.withColumn("z", F.when(~bad, z))
 
 
+#: Cells a side that a folder of tiles holds, or one tile if that is larger.
+FOLDER = 512
+
+
 def window(df: DataFrame, r0: int, r1: int, c0: int, c1: int, tile: int | None = None) -> DataFrame:
-    """Pixels of a rectangle; of tiles that write_tiles() wrote only those that meet it are read."""
+    """Pixels of a rectangle; of what write_tiles() wrote only folders that meet it are opened, and in these only pages of tiles that do."""
     inside = F.col("r").between(r0, r1) & F.col("c").between(c0, c1)
+    if tile and {"fy", "fx"} <= set(df.columns):
+        side = tile * max(1, FOLDER // tile)
+        inside = F.col("fy").between(r0 // side, r1 // side) & F.col("fx").between(c0 // side, c1 // side) & inside
     if tile and {"ty", "tx"} <= set(df.columns):
         inside = F.col("ty").between(r0 // tile, r1 // tile) & F.col("tx").between(c0 // tile, c1 // tile) & inside
     return df.where(inside)
 
 
 def write_tiles(df: DataFrame, path: str, tile: int = 512, overwrite: bool = False) -> None:
-    """Parquet partitioned by tile, so that windowed reads prune files."""
-    out = df.withColumn("ty", F.floor(F.col("r") / tile).cast("int")).withColumn("tx", F.floor(F.col("c") / tile).cast("int"))
-    out.repartition("ty", "tx").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("ty", "tx").option("compression", "zstd").parquet(path)
+    """Parquet sorted by tile, so that windowed reads prune it.
+
+    Tiles share folders of FOLDER cells a side: with a folder for each small tile a large
+    raster would be hundreds of thousands of files.
+    """
+    each = max(1, FOLDER // tile)
+    out = df.withColumns({k: F.floor(F.col(x) / tile).cast("int") for k, x in (("ty", "r"), ("tx", "c"))})
+    out = out.withColumns({k: F.floor(F.col(x) / each).cast("int") for k, x in (("fy", "ty"), ("fx", "tx"))})
+    out.repartition("fy", "fx").sortWithinPartitions("fy", "fx", "ty", "tx").write.mode("overwrite" if overwrite else "errorifexists").partitionBy("fy", "fx").option("compression", "zstd").parquet(path)

@@ -7,7 +7,7 @@ from reliefspark.functions import stencil
 from reliefspark.operators import kernels as K
 from reliefspark.operators import queries as T
 from reliefspark.sources import tiff
-
+from reliefspark.sources.grids import window, write_tiles
 
 
 def waves(spark, h, w):
@@ -37,3 +37,12 @@ def test_void_filling_reads_each_line_once(spark):
     grid = waves(spark, 12, 12).withColumn("z", F.when(F.col("c") > 4, F.col("z")))
     plan = stencil.gradient(grid)._jdf.queryExecution().toString()
     assert "unboundedfollowing" in plan and "currentrow$(), unboundedfollowing$()" not in plan
+
+
+def test_small_tiles_share_folders(spark, tmp_path):
+    grid, path = waves(spark, 40, 40), f"file://{tmp_path}/tiles"
+    write_tiles(grid, path, 4)
+    assert len(list((tmp_path / "tiles").rglob("*.parquet"))) == 1
+    part = window(spark.read.parquet(path), 5, 11, 30, 33, 4).select("r", "c", "z")
+    want = grid.where("r BETWEEN 5 AND 11 AND c BETWEEN 30 AND 33")
+    assert part.count() == 28 and part.exceptAll(want).isEmpty()
