@@ -84,6 +84,11 @@ def overview_factor(longest: int, most: int = 2048) -> int:
     return 1 if longest <= most else 1 << math.ceil(math.log2(longest / most))
 
 
+def window_budget(halo: int, arrays: int = 15) -> int:
+    """Bytes of a window's arrays: 64 MB, more where wide halos would else send each cell to over two tiles, and 256 MB at most."""
+    return min(256 << 20, max(64 << 20, 8 * arrays * (7 * halo) ** 2))
+
+
 def auto_tile(halo: int, longest: int, cores: int, budget: int = 256 << 20, arrays: int = 15) -> int:
     """Side of a tile: as large as a task's memory allows with its halo, and small enough to keep all cores busy.
 

@@ -7,6 +7,9 @@ import numpy as np
 from ..functions import scales as S
 from ..functions.scales import GAMMA
 
+#: Cells of a strip that is weighed at once.
+STRIP = 1 << 16
+
 
 def taps(sigma: float, order: int = 0) -> np.ndarray:
     n = int(4 * sigma + 0.5)
@@ -22,8 +25,13 @@ def along(z: np.ndarray, w: np.ndarray, axis: int, mode: str = "edge") -> np.nda
     pad = [(0, 0), (0, 0)]
     pad[axis] = (n, n)
     p = np.pad(z, pad, mode=mode)
-    size = z.shape[axis]
-    return sum(v * np.take(p, np.arange(i, i + size), axis=axis) for i, v in enumerate(w))
+    out, (h, width) = np.zeros(z.shape), z.shape
+    rows = max(1, STRIP // max(1, width))
+    for y in range(0, h, rows):  # strips stay in the cache, and no copy of the whole array is made for each weight
+        strip = out[y : y + rows]
+        for i, v in enumerate(w):
+            strip += v * (p[y + i : y + i + len(strip)] if axis == 0 else p[y : y + len(strip), i : i + width])
+    return out
 
 
 def smooth(z: np.ndarray, sigma: float, mode: str = "edge") -> np.ndarray:

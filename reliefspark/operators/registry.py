@@ -338,7 +338,8 @@ def run(grid: DataFrame, algorithm: str = "topousm_fast", tile: int | None = Non
     params = own | {"pixel": pixel, "sample": given.get("sample"), "bounds": bounds}
     if tile is None:
         reach = op.halo(own | ({op.reach: max(radii)} if op.kind == "reach" and max(radii) > 1 else {})) + (2 * min(max(radii), LARGE) if op.kind == "smooth" else 0)
-        tile = S.auto_tile(int(min(reach, 2 * LARGE + 16)), max(bounds.shape), grid.sparkSession.sparkContext.defaultParallelism)
+        reach = int(min(reach, 2 * LARGE + 16))
+        tile = S.auto_tile(reach, max(bounds.shape), grid.sparkSession.sparkContext.defaultParallelism, S.window_budget(reach))
     if op.kind == "own":
         return _own(grid, algorithm, op, tile, bounds, overview, own, params, skip)
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a batch that a tile gives back.
+BATCH = 50_000
+
 
 class Bounds(NamedTuple):
     """First and last row and column of a raster."""
@@ -53,25 +56,38 @@ def on_tiles(
         high = F.least(F.floor((F.col(at) + halo) / tile), F.floor(F.lit(last) / tile))
         return F.explode(F.sequence(low.cast("long"), high.cast("long")))
 
-    dealt = grid.select("r", "c", "z", tiles("r", r_first, r_last).alias("ty")).select("*", tiles("c", c_first, c_last).alias("tx"))
-
-    def work(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = (int(k) for k in key)
-        r, c, v = df.r.to_numpy(), df.c.to_numpy(), df.z.to_numpy(float, na_value=np.nan)
-        core = (r // tile == ty) & (c // tile == tx)
-        r, c, here = r[core], c[core], v[core]
-        void = np.isnan(here)
-        if not core.any() or (skip is not None and void.mean() >= skip):
-            out = np.full((0 if bands else len(here)), np.nan)
-            return pd.DataFrame({"r": r[: len(out)], "c": c[: len(out)], name: [] if bands else out}).astype({name: object if bands else float})
+    top = F.greatest(F.lit(r_first), F.col("ty") * tile - halo)
+    left, right = F.greatest(F.lit(c_first), F.col("tx") * tile - halo), F.least(F.lit(c_last), (F.col("tx") + 1) * tile + halo - 1)
+    # a cell's place in its window is all that travels beside its value; cells beyond given bounds have none, which is an error
+    inside = F.col("r").between(r_first, r_last) & F.col("c").between(c_first, c_last)
+    place = F.when(inside, (F.col("r") - top) * (right - left + 1) + F.col("c") - left).cast("int").alias("place")
+    dealt = grid.select("r", "c", F.col("z").cast("double").alias("z"), tiles("r", r_first, r_last).alias("ty")).select("*", tiles("c", c_first, c_last).alias("tx")).select("ty", "tx", place, "z")
+    kind = {"r": pa.int64(), "c": pa.int64()} | ({"band": pa.int32()} if bands else {}) | {name: pa.float64()}
+
+    def work(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ty, tx = (k.as_py() for k in key)
         top, left = max(r_first, ty * tile - halo), max(c_first, tx * tile - halo)
         z = np.full((min(r_last, (ty + 1) * tile + halo - 1) - top + 1, min(c_last, (tx + 1) * tile + halo - 1) - left + 1), np.nan)
-        z[df.r.to_numpy() - top, df.c.to_numpy() - left] = v
-        value = np.asarray(kernel(z, top, left), float)[..., r - top, c - left]
-        return pd.DataFrame({"r": r, "c": c, name: list(np.where(void, np.nan, value).T) if bands else np.where(void, np.nan, value)})
-
-    made = dealt.groupBy("ty", "tx").applyInPandas(work, f"r long, c long, {name} {'array<double>' if bands else 'double'}")
-    if bands:
-        made = made.select("r", "c", F.posexplode(name).alias("band", name)).withColumn("band", F.col("band") + 1)
-        return made.select("r", "c", "band", F.when(~F.isnan(name), F.col(name)).alias(name))
-    return made.select("r", "c", F.when(~F.isnan(name), F.col(name)).alias(name))
+        own, voids = [np.zeros(0, np.int32)], [np.zeros(0, bool)]
+        for b in batches:  # the window is filled batch by batch, so that its rows are never held beside it
+            at, v = b.column("place").to_numpy(), b.column("z").to_numpy(zero_copy_only=False)
+            z.ravel()[at] = v
+            core = ((at // z.shape[1] + top) // tile == ty) & ((at % z.shape[1] + left) // tile == tx)
+            own.append(at[core])
+            voids.append(np.isnan(v[core]))
+        at, void = np.concatenate(own), np.concatenate(voids)
+        del own, voids
+        if not len(at) or (skip is not None and void.mean() >= skip):
+            value = np.full((0 if bands else 1, *z.shape), np.nan)
+        else:
+            value = np.asarray(kernel(z, top, left), float)
+            value = value if bands else value[None]
+        del z
+        for band, field in enumerate(value, 1):
+            for i in range(0, len(at), BATCH):
+                r, c = np.divmod(at[i : i + BATCH].astype(np.int64), field.shape[1])
+                out = np.where(void[i : i + BATCH], np.nan, field[r, c])
+                more = {"band": pa.array(np.full(len(r), band, np.int32))} if bands else {}
+                yield pa.RecordBatch.from_pydict({"r": pa.array(r + top), "c": pa.array(c + left), **more, name: pa.array(out, from_pandas=True)}, pa.schema(kind))
+
+    return dealt.groupBy("ty", "tx").applyInArrow(work, "r long, c long, " + ("band int, " if bands else "") + f"{name} double")

@@ -1,11 +1,15 @@
 """What shows only on grids larger than those of the other tests."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from reliefspark.functions import stencil
 from reliefspark.operators import kernels as K
 from reliefspark.operators import queries as T
+from reliefspark.operators import registry
+from reliefspark.plans.tiles import Bounds, on_tiles
 from reliefspark.sources import tiff
 from reliefspark.sources.grids import window, write_tiles
 
@@ -46,3 +50,38 @@ def test_small_tiles_share_folders(spark, tmp_path):
     part = window(spark.read.parquet(path), 5, 11, 30, 33, 4).select("r", "c", "z")
     want = grid.where("r BETWEEN 5 AND 11 AND c BETWEEN 30 AND 33")
     assert part.count() == 28 and part.exceptAll(want).isEmpty()
+
+
+def test_windows_of_a_large_raster_stay_small(spark, monkeypatch):
+    seen = []
+
+    def tiles(grid, kernel, halo, tile=512, **more):
+        seen.append((halo, tile))
+        return grid.withColumnRenamed("z", "value")
+
+    monkeypatch.setattr(registry, "bounds_of", lambda grid: Bounds(0, 7347, 0, 7347))
+    monkeypatch.setattr(registry, "on_tiles", tiles)
+    grid = waves(spark, 4, 4)
+    for name, params in (("hillshade", {"radii": (2, 4), "agg": "stack"}), ("lic", {}), ("fractal_anomaly", {"radii": (2, 4, 6, 8, 12)})):
+        registry.run(grid, name, **params)
+    assert len(seen) == 4 and max(tile + 2 * halo for halo, tile in seen) < 800
+
+
+def test_weighing_makes_no_copy_for_each_weight():
+    z, w = np.random.default_rng(3).random((400, 400)), K.taps(5)
+    for axis in (0, 1):
+        tracemalloc.start()
+        found = K.along(z, w, axis)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        p = np.pad(z, [(20, 20), (0, 0)] if axis == 0 else [(0, 0), (20, 20)], mode="edge")
+        assert np.array_equal(found, sum(v * np.take(p, np.arange(i, i + 400), axis=axis) for i, v in enumerate(w)))
+        assert most < 3.2 * z.nbytes
+
+
+def test_bands_and_repeated_pixels_keep_their_rows(spark):
+    z = [(0, 0, 1.0), (0, 0, 1.0), (0, 1, None), (3, 2, 5.0), (-2, -3, 4.0)]
+    out = on_tiles(spark.createDataFrame(z, "r long, c long, z double"), lambda x, top, left: np.stack([x, 2 * x]), 1, 2, bands=True)
+    rows = sorted((r["r"], r["c"], r["band"], r["value"] or 0.0) for r in out.collect())
+    assert rows == sorted((r, c, b, b * (v or 0.0)) for r, c, v in z for b in (1, 2))
+    assert "Generate posexplode" not in out._jdf.queryExecution().toString()
