@@ -118,6 +118,12 @@ _SCALES = _longest("scales")
 _RADII = _longest("radii")
 
 
+def _drift_halo(p: dict) -> float:
+    """The wider Gaussian of each pair of scales, two differences, and the window that sums their products."""
+    scales = sorted(p["scales"]) if len(p["scales"]) >= 2 else [2, 4, 8, 16, 32]
+    return max(len(K.taps(b)) // 2 + len(K.taps(min(max(1.5, a), 24))) // 2 for a, b in zip(scales, scales[1:], strict=False)) + 2
+
+
 @dataclass(frozen=True)
 class Operator:
     """One operator: its kernel, what a radius means to it, its parameters and statistics.
@@ -164,7 +170,7 @@ OPERATORS = {
     "lic": Operator(K.lic, lambda p: min(p["length"], 120) + 4 * p["flow_sigma"] + 4, {"length": 20, "lic_field": "flow", "composite": "hillshade", "flow_sigma": 1.5, "azimuth": 315, "altitude": 45}, level=True, metric=True),
     "phase_congruency": Operator(K.phase_congruency, lambda p: 2 * max(K.wavelengths(p["radii"])) + 16, {"radii": None, "sigma_onf": 0.55, "noise_k": 2.0, "feature_type": "both"}, several=True, before=(K.phase_amplitude, ("radii", "sigma_onf", "mean"), lambda df, p: (_or(quantiles(df, _x(), [0.5])[0], 1e-12),)), level=True),
     "tv_decomposition": Operator(K.tv_decomposition, lambda p: min(p["iterations"], 140) + 2, {"radii": None, "tv_scale": 32, "iterations": 120, "fidelity": "l1", "component": "texture"}, after=_texture, level=True),
-    "scale_drift": Operator(K.scale_drift, lambda p: 4 * max(_SCALES(p), 32) + 100, {"scales": (2, 4, 8, 16, 32), "weights": None, "drift_output": "magnitude"}, several=True, after=_drift),
+    "scale_drift": Operator(K.scale_drift, _drift_halo, {"scales": (2, 4, 8, 16, 32), "weights": None, "drift_output": "magnitude"}, several=True, after=_drift),
 }
 
 RELATIONAL = {

@@ -62,9 +62,9 @@ def test_windows_of_a_large_raster_stay_small(spark, monkeypatch):
     monkeypatch.setattr(registry, "bounds_of", lambda grid: Bounds(0, 7347, 0, 7347))
     monkeypatch.setattr(registry, "on_tiles", tiles)
     grid = waves(spark, 4, 4)
-    for name, params in (("hillshade", {"radii": (2, 4), "agg": "stack"}), ("lic", {}), ("fractal_anomaly", {"radii": (2, 4, 6, 8, 12)})):
+    for name, params in (("hillshade", {"radii": (2, 4), "agg": "stack"}), ("lic", {}), ("fractal_anomaly", {"radii": (2, 4, 6, 8, 12)}), ("scale_drift", {"scales": (2, 4, 8), "drift_output": "direction"})):
         registry.run(grid, name, **params)
-    assert len(seen) == 4 and max(tile + 2 * halo for halo, tile in seen) < 800
+    assert len(seen) == 5 and max(tile + 2 * halo for halo, tile in seen) < 800
 
 
 def test_weighing_makes_no_copy_for_each_weight():
@@ -79,6 +79,14 @@ def test_weighing_makes_no_copy_for_each_weight():
         assert most < 3.2 * z.nbytes
 
 
+def test_drift_reaches_as_far_as_its_gaussians(spark):
+    halo = registry.OPERATORS["scale_drift"].halo({"scales": [2.0, 4.0, 8.0]})
+    z = np.random.default_rng(4).random((150, 150))
+    whole = K.scale_drift(z, (2, 4, 8), drift_output="divergence")
+    part = K.scale_drift(z[70 - halo : 81 + halo, 60 - halo : 71 + halo], (2, 4, 8), drift_output="divergence")
+    assert halo == 50 and np.allclose(part[halo:-halo, halo:-halo], whole[70:81, 60:71], atol=1e-12)
+
+
 def test_bands_and_repeated_pixels_keep_their_rows(spark):
     z = [(0, 0, 1.0), (0, 0, 1.0), (0, 1, None), (3, 2, 5.0), (-2, -3, 4.0)]
     out = on_tiles(spark.createDataFrame(z, "r long, c long, z double"), lambda x, top, left: np.stack([x, 2 * x]), 1, 2, bands=True)
